@@ -1 +1 @@
-
+"""Training-data operators; nothing else in the library imports this subpackage."""
