@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gleaner.llm import q_chat
+from gleaner.llm import q_chat, q_langid
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
+        "op2_language_id": q_langid.op2_language_id,
     }
 
 
