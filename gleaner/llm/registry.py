@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from gleaner.llm import q_chat, q_langid
+from gleaner.llm import q_chat, q_langid, q_tokens
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": q_chat.op1_chat_format,
         "op2_language_id": q_langid.op2_language_id,
+        "op3_pack": q_tokens.op3_pack,
+        "op5_token_file": q_tokens.op5_token_file,
     }
 
 
