@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import q_chat, q_langid, q_tokens
+from gleaner.llm import q_chat, q_dedup, q_langid, q_tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chat_format": q_chat.op1_chat_format,
         "op2_language_id": q_langid.op2_language_id,
         "op3_pack": q_tokens.op3_pack,
+        "op4_suffix_dedup": q_dedup.op4_suffix_dedup,
         "op5_token_file": q_tokens.op5_token_file,
     }
 
