@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_pack": q_tokens.op3_pack,
         "op4_suffix_dedup": q_dedup.op4_suffix_dedup,
         "op5_token_file": q_tokens.op5_token_file,
+        "op7_minhash_dedup": q_dedup.op7_minhash_dedup,
     }
 
 
