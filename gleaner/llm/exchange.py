@@ -73,8 +73,13 @@ def one_argument(f: Callable) -> Callable:
     return lambda group: f(group)
 
 
-def reduce_ranges(sent: DataFrame, ranges: int, resolve: Callable[[list[Entry]], list[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
-    """ANSWER rows: kind 1 from resolve over all entries of a range (block, sorted keys, values), kind 0 handed through."""
+def reduce_ranges(
+    sent: DataFrame, ranges: int, resolve: Callable[[list[Entry]], list[tuple[int, np.ndarray, np.ndarray]]], stats: Callable[[list[Entry]], np.ndarray] | None = None
+) -> DataFrame:
+    """ANSWER rows: kind 1 from resolve over all entries of a range (block, sorted keys, values), kind 0 handed through.
+
+    With stats also one row of kind 2 a range, for block -1, with that range's figures.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         rows, entries = [], []
@@ -83,6 +88,8 @@ def reduce_ranges(sent: DataFrame, ranges: int, resolve: Callable[[list[Entry]],
                 entries.append((block, unpack_sorted(keys), np.frombuffer(counts, dtype=np.uint8).astype(np.int64), extra))
             else:
                 rows.append((block, 0, keys, extra))
+        if stats:
+            rows.append((-1, 2, b"", stats(entries).tobytes()))
         rows += [(block, 1, pack_sorted(keys), values.tobytes()) for block, keys, values in resolve(entries)]
         return to_table(rows, ANSWER)
 
