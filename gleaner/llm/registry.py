@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import q_chat, q_decontam, q_dedup, q_langid, q_tokens
+from gleaner.llm import q_chat, q_decontam, q_dedup, q_langid, q_lm, q_tokens
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_suffix_dedup": q_dedup.op4_suffix_dedup,
         "op5_token_file": q_tokens.op5_token_file,
         "op7_minhash_dedup": q_dedup.op7_minhash_dedup,
+        "op8_lm_score": q_lm.op8_lm_score,
         "op10_decontaminate": q_decontam.op10_decontaminate,
     }
 
