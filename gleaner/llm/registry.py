@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import q_chat, q_decontam, q_dedup, q_langid, q_lm, q_tokens
+from gleaner.llm import q_chat, q_decontam, q_dedup, q_langid, q_lm, q_quality, q_tokens
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_token_file": q_tokens.op5_token_file,
         "op7_minhash_dedup": q_dedup.op7_minhash_dedup,
         "op8_lm_score": q_lm.op8_lm_score,
+        "op9_ordinal_quality": q_quality.op9_ordinal_quality,
         "op10_decontaminate": q_decontam.op10_decontaminate,
     }
 
