@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import q_chat, q_decontam, q_dedup, q_langid, q_lm, q_quality, q_tokens
+from gleaner.llm import q_ann, q_chat, q_decontam, q_dedup, q_langid, q_lm, q_quality, q_tokens
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_pack": q_tokens.op3_pack,
         "op4_suffix_dedup": q_dedup.op4_suffix_dedup,
         "op5_token_file": q_tokens.op5_token_file,
+        "op6_ann_search": q_ann.op6_ann_search,
         "op7_minhash_dedup": q_dedup.op7_minhash_dedup,
         "op8_lm_score": q_lm.op8_lm_score,
         "op9_ordinal_quality": q_quality.op9_ordinal_quality,
