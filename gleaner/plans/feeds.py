@@ -43,7 +43,7 @@ def chapters(items: DataFrame, key: str, order: Sequence[Column | str], name: st
 
 def offsets(total: Column, page_size: int, max_items: int = 1000, ceiling: int = 10_000) -> Column:
     """Offsets of a feed's pages: up to its total (at most the ceiling), or up to max_items where it gives none."""
-    limit = F.coalesce(F.least(total, F.lit(ceiling)), F.lit(max_items)).cast("bigint")
+    limit = F.when(total.isNull(), F.lit(max_items)).otherwise(F.least(total, F.lit(ceiling))).cast("bigint")
     return F.when(limit > 0, F.sequence(F.lit(0).cast("bigint"), limit - 1, F.lit(page_size).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -113,10 +113,11 @@ class _Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.open and (len(self.open) > 1 or data.strip()):
-            if len(self.open) == 1:
-                self._imply("#text")
-            self.pieces.append(data)
+        if len(self.open) <= 1:
+            if not data.strip():
+                return
+            self._imply("#text")
+        self.pieces.append(data)
 
 
 def _rows(html: str) -> list[tuple]:
