@@ -89,9 +89,10 @@ def windows(table: DataFrame, key: str, n: int) -> DataFrame:
         F.transform("shape", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), used(i).alias("slots"))),
         lambda s: (s["slots"] > 0) & (s["slots"] <= n - enough),
     )
-    wording = told.select(key, F.lit(0).alias("form"), F.posexplode("wording").alias("pos", "hash"))
-    shape = told.where(F.col("shape").isNotNull()).select(key, F.lit(1).alias("form"), F.explode(shaped).alias("s")).select(key, "form", "s.pos", "s.hash")
-    return wording.select(key, "pos", "form", "hash").unionByName(shape)
+    wording = F.transform("wording", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), F.lit(0).alias("form")))
+    shaped = F.transform(shaped, lambda s: F.struct(s["pos"].alias("pos"), s["hash"].alias("hash"), F.lit(1).alias("form")))
+    both = F.when(F.col("shape").isNull(), wording).otherwise(F.concat(wording, shaped))
+    return told.select(key, F.explode(both).alias("s")).select(key, "s.pos", "s.form", "s.hash")
 
 
 def matches(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.bytetools import pack_sorted, unpack_sorted
 from gleaner.llm.common import blocks_for, text_bytes
 
-BLOCK_BYTES = 16 << 20
+#: Text in a block: small enough for little memory, larger for corpora where very many blocks would make entries tiny.
+BLOCK_BYTES, LARGEST_BLOCK, MANY_BLOCKS = 8 << 20, 128 << 20, 4000
 SENT = "range int, block int, keys binary, counts binary, extra binary"
 ANSWER = "block int, kind int, keys binary, values binary"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -39,9 +40,11 @@ def to_table(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def blocked(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def blocked(documents: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """documents(doc_id, text) dealt into blocks by both columns, and the number of blocks. Null text becomes empty."""
-    n = blocks_for(documents.sparkSession, text_bytes(documents), block_bytes)
+    total = text_bytes(documents)
+    size = block_bytes or min(max(BLOCK_BYTES, total // MANY_BLOCKS), LARGEST_BLOCK)
+    n = blocks_for(documents.sparkSession, total, size)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     return rows.withColumn("block", block).repartition(n, "block"), n

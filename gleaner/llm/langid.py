@@ -26,6 +26,8 @@ from gleaner.llm.bytetools import groups_of
 
 HALO, CORE = 16, 224
 WINDOW = HALO + CORE + HALO
+#: Slices of a language in which the training documents are picked, so that one language is many tasks.
+SALTS = 30
 UND = "und"
 
 
@@ -124,8 +126,8 @@ def _gradients(net: Net, windows: np.ndarray, target: np.ndarray) -> list[np.nda
     return grads
 
 
-def train(snippets: list[bytes], languages: list[str], hidden: int = 8, epochs: int = 4, batch: int = 128, seed: int = 7) -> Net:
-    """Adam over shuffled batches of fixed windows."""
+def train(snippets: list[bytes], languages: list[str], hidden: int = 8, epochs: int = 4, batch: int = 128, least_steps: int = 160, seed: int = 7) -> Net:
+    """Adam over shuffled batches of fixed windows; small samples get smaller batches and more epochs."""
     labels = sorted(set(languages))
     rng = np.random.default_rng(seed)
     net = _init(labels, hidden, rng)
@@ -134,6 +136,8 @@ def train(snippets: list[bytes], languages: list[str], hidden: int = 8, epochs:
     for i, s in enumerate(snippets):
         x[i, : len(s)] = np.frombuffer(s, dtype=np.uint8)
     y = np.array([labels.index(v) for v in languages], dtype=np.int64)
+    batch = min(batch, max(16, len(x) // 8))
+    epochs = max(epochs, -(-least_steps // max(1, len(x) // batch)))
     params = [net.e[0], net.e[1], net.u[0], net.u[1], net.v, net.c]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
@@ -225,17 +229,14 @@ def predict(net: Net, texts: list[bytes], batch: int = 512) -> np.ndarray:
 
 def training_sample(labelled: DataFrame, docs_per_language: int = 300, snippets: int = 3, width: int = 128) -> list[tuple[str, str]]:
     """(lang, snippet) pairs: of each language the documents with the smallest hashes, evenly spaced windows of each."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    rows = (
-        labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-        .select("lang", "text")
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= docs_per_language)
-    )
     at = lambda i: (F.length("text") - width) * F.lit(i) / F.lit(max(1, snippets - 1))
     cuts = [F.substring(F.col("text"), (F.greatest(at(i), F.lit(0)) + 1).cast("int"), F.lit(width)) for i in range(snippets)]
-    picked = rows.select("lang", F.explode(F.array(*cuts)).alias("snippet")).where(F.col("snippet") != "")
-    return [(r["lang"], r["snippet"]) for r in picked.orderBy("lang", "snippet").collect()]
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", F.xxhash64("text").alias("hash"), F.array(*cuts).alias("cuts"))
+    order = Window.partitionBy("lang", F.pmod("hash", F.lit(SALTS))).orderBy("hash", "cuts")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= -(-docs_per_language // SALTS))
+    picked = rows.select("lang", F.explode("cuts").alias("snippet")).where(F.col("snippet") != "").orderBy("lang", "snippet")
+    return [(r["lang"], r["snippet"]) for r in picked.collect()]
 
 
 def fit(labelled: DataFrame, hidden: int = 8, **sample) -> Net | None:

@@ -9,9 +9,9 @@ similarity; samples are banded, and texts that share a band are compared exactly
 Weights can only be shared where df > 1, so a text whose shared shingles weigh less than the threshold's part of it
 has no near copy; it is set aside exactly, before any sampling. Equal texts meet by their hash and are compared once.
 
-Within a band's bucket, texts are compared with the bucket's first text, then with random neighbours of other
-classes, and last every two texts of different classes whose samples agree often enough. Work is linear in a bucket
-whose texts are alike, and no candidate of different classes goes unchecked.
+Within a band's bucket, a text is compared with the bucket's first text and with its neighbours in the order of the other
+samples. Then every text outside its bucket's largest class meets all others of the bucket, until links have joined their
+classes. Work is about linear in a bucket whose texts are alike, and no candidate of different classes goes unchecked.
 
 Defined results: null text counts as empty; texts without words are copies of each other; equal texts share a class;
 a class is named by its smallest doc_id; no rows give no rows; other columns are ignored.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
@@ -32,6 +32,9 @@ from gleaner.llm.components import components
 BITS = 48
 BANDS, ROWS = 12, 3
 BATCH = 1 << 19
+#: Each text is compared with so many less one neighbours; buckets of up to so many texts are then done.
+SURE = 3
+CHUNK = 64
 TABLE = 1 << 16
 SKETCH = "doc_id long, key long, candidate boolean, bands binary, samples binary, shingles binary, weights binary"
 
@@ -166,14 +169,16 @@ def _sketch(block: pa.Table, answers: pa.Table, n_docs: int, threshold: float) -
     return exchange.to_table(rows, SKETCH)
 
 
-def _to_longs(column: str):
-    def run(batches):
-        for batch in batches:
-            keys, blobs = batch.column(0), batch.column(1).to_pylist()
-            values = np.concatenate([np.frombuffer(b, dtype=np.int64) for b in blobs]) if blobs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys.to_numpy(), BANDS)), pa.array(values)], names=["key", "band"])
-
-    return run
+def _to_longs(batches):
+    """key, samples, bands -> a row a band with its number and the samples from there on, round to its own."""
+    for batch in batches:
+        keys, samples, blobs = (batch.column(i).to_pylist() for i in range(3))
+        rows = []
+        for key, own, blob in zip(keys, samples, blobs, strict=True):
+            for i, band in enumerate(np.frombuffer(blob, dtype=np.int64).tolist()):
+                turn = 4 * ROWS * (i + 1) % len(own)
+                rows.append((key, band, own[turn:] + own[:turn]))
+        yield from exchange.to_table(rows, "key long, band long, others binary").to_batches()
 
 
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -200,60 +205,78 @@ def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
     return both.mapInArrow(run, "a long, b long, similarity double")
 
 
-def _with_component(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    if links is None:
-        return members.withColumn("component", F.col("key"))
-    found = components(links).withColumnRenamed("id", "key")
-    return members.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-
-
-def link_texts(sketches: DataFrame, threshold: float, neighbour_rounds: int = 2) -> DataFrame:
+def link_texts(sketches: DataFrame, threshold: float) -> DataFrame:
     """links(a, b, similarity) between the keys of distinct texts that join them into classes."""
-    members = cut(sketches.select("key", "bands").mapInArrow(_to_longs("bands"), "key long, band long"))
+    members = sketches.select("key", "samples", "bands").mapInArrow(_to_longs, "key long, band long, others binary")
+    members = cut(members)
     crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")).where("n > 1")
-    members = cut(members.join(crowded.select("band", "lead"), "band"))
-    pairs = members.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b")).distinct()
+    members = cut(members.join(crowded, "band"))
+    order = Window.partitionBy("band").orderBy("others", "key")
+    near = members.select("key", F.array("lead", *(F.lag("key", i).over(order) for i in range(1, SURE))).alias("mates"))
+    pairs = near.select("key", F.explode("mates").alias("mate")).where("key <> mate")
+    pairs = pairs.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct()
     links = cut(_verified(pairs, sketches, threshold))
-    for turn in range(neighbour_rounds + 1):
-        placed = _with_component(members.select("key", "band"), links)
-        mixed = placed.groupBy("band").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("band")
-        placed = cut(placed.join(mixed, "band"))
-        if placed.isEmpty():
-            break
-        if turn < neighbour_rounds:
-            pairs = _neighbours(placed, turn)
-        else:
-            pairs = _across(placed, sketches, threshold)
-        pairs = pairs.where("a < b").distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-        links = cut(links.unionByName(_verified(pairs, sketches, threshold)))
-    return links
-
-
-def _neighbours(placed: DataFrame, turn: int) -> DataFrame:
-    """Texts next to each other in a random order of their bucket, where their classes differ.
-
-    Order is by hash within a salted slice of the bucket, so that a bucket of any size is many tasks.
-    """
-    from pyspark.sql import Window
+    large = members.where(F.col("n") > SURE).select("band", "key", "n")
+    if large.isEmpty():
+        return links
+    return links.unionByName(cut(_across(large, sketches, links, threshold)))
 
-    order = Window.partitionBy("band", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(16))).orderBy(F.xxhash64("key", F.lit(turn + 100)))
-    last = placed.withColumns({"before": F.lag("key").over(order), "class_before": F.lag("component").over(order)})
-    return last.where("component <> class_before").select(F.least("key", "before").alias("a"), F.greatest("key", "before").alias("b"))
 
+def _across(members: DataFrame, sketches: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """Links between texts of one bucket that links leave in different classes.
 
-def _across(placed: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Every two texts of a bucket that are of different classes and agree in enough samples for the threshold to be likely."""
+    Every text outside its bucket's largest class meets every other text of the bucket, in chunks of about CHUNK. A pair is
+    compared if its samples agree often enough, in the first of its buckets, and if no link found in the chunk has yet
+    joined its classes; what most agree come first.
+    """
+    found = components(links).withColumnRenamed("id", "key")
+    placed = cut(members.join(found, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    placed = placed.join(mixed.select("band", "main"), "band").join(sketches, "key")
+    chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK).cast("long")).alias("chunk")
+    text = F.struct("key", "component", "bands", "samples", "shingles", "weights")
+    dealt = placed.select("band", chunk, (F.col("component") != F.col("main")).alias("apart"), text.alias("text"))
+    every = dealt.groupBy("band", "chunk").agg(F.collect_list("text").alias("texts"))
+    apart = dealt.where("apart").groupBy("band", "chunk").agg(F.collect_list("text").alias("apart"))
+    met = apart.select("band", "apart").join(every.select("band", "texts"), "band")
+    return met.mapInArrow(lambda batches: _meet(batches, threshold), "a long, b long, similarity double")
+
+
+def _meet(batches, threshold: float):
     draws = BANDS * ROWS
-    least = int(draws * threshold - 5 * (draws * threshold * (1 - threshold)) ** 0.5)
-    sampled = placed.join(sketches.select("key", F.hex("samples").alias("samples")), "key")
-    left = sampled.select("band", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("samples").alias("xa"))
-    right = sampled.select("band", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("samples").alias("xb"))
-    same = sum(F.when(F.substring("xa", 8 * i + 1, 8) == F.substring("xb", 8 * i + 1, 8), 1).otherwise(0) for i in range(draws))
-    return left.join(right, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (same >= least)).select("a", "b")
+    least = draws * threshold - 5 * (draws * threshold * (1 - threshold)) ** 0.5
+    for batch in batches:
+        found = []
+        for band, left, right in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            sides = [
+                [np.stack([np.frombuffer(t[name], kind) for t in side]) for name, kind in (("samples", np.uint32), ("bands", np.int64))] for side in (left, right)
+            ]
+            agree = (sides[0][0][:, None] == sides[1][0][None]).sum(axis=2)
+            first = (sides[0][1][:, None] == sides[1][1][None]).argmax(axis=2)
+            here = np.take_along_axis(sides[0][1], first, axis=1) == band
+            i, j = np.nonzero((agree >= least) & here)
+            root: dict[int, int] = {}
+
+            def top(x: int, root: dict[int, int] = root) -> int:
+                while root.get(x, x) != x:
+                    x = root[x]
+                return x
+
+            for k in np.argsort(-agree[i, j], kind="stable").tolist():
+                x, y = left[i[k]], right[j[k]]
+                cx, cy = top(x["component"]), top(y["component"])
+                if cx == cy:
+                    continue
+                s = weighted_jaccard(*(f(t) for t in (x, y) for f in (lambda t: unpack_sorted(t["shingles"]), lambda t: np.frombuffer(t["weights"], "<f4"))))
+                if s >= threshold - 1e-6:
+                    found.append((min(x["key"], y["key"]), max(x["key"], y["key"]), s))
+                    root[cx] = cy
+        yield from exchange.to_table(found, "a long, b long, similarity double").to_batches()
 
 
 def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id (the class's smallest doc_id), n_links of the document's text to other texts."""
+    """doc_id, class_id (the class's smallest doc_id), class_size."""
     spark = documents.sparkSession
     blocks, n = exchange.blocked(documents)
     n_docs = max(1, documents.select("doc_id").count())
@@ -267,12 +290,10 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8) -> Data
     picked = rows.where(F.col("shingles").isNotNull()).join(one, ["key", "doc_id"]).select("key", "bands", "samples", "shingles", "weights")
     sketches = picked.dropDuplicates(["key"])
     links = link_texts(sketches, threshold)
-    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
-    n_links = ends.groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     texts = rows.where("candidate").select("doc_id", "key")
-    named = texts.join(components(links).withColumnRenamed("id", "key"), "key", "left").join(n_links, "key", "left")
-    named = named.select("doc_id", F.coalesce("component", "key").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    named = named.join(least, "component").select("doc_id", "class_id", "n_links")
-    alone = rows.where(~F.col("candidate")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    named = texts.join(components(links).withColumnRenamed("id", "key"), "key", "left")
+    named = named.select("doc_id", F.coalesce("component", "key").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    named = named.join(least, "component").select("doc_id", "class_id", "class_size")
+    alone = rows.where(~F.col("candidate")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return named.unionByName(alone)

@@ -71,7 +71,7 @@ class Ordinal:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None] - scores[:, None], -40, 40)))
 
 
-def train(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 15, batch: int = 128, rate: float = 0.3, l2: float = 1e-3, least_docs: int | None = None, seed: int = 3) -> Ordinal:
+def train(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, n_grades: int, epochs: int = 15, batch: int = 128, least_steps: int = 800, rate: float = 0.3, l2: float = 1e-3, least_docs: int | None = None, seed: int = 3) -> Ordinal:
     """Maximum likelihood of the cumulative-link model, thresholds kept in order by positive steps.
 
     Features of fewer than least_docs training texts keep weight 0 (by default one in 300, from 3 to 20).
@@ -85,6 +85,7 @@ def train(ids: np.ndarray, first: np.ndarray, grades: np.ndarray, n_grades: int,
     keep = common[ids]
     first = np.concatenate([[0], np.cumsum(keep)])[first]
     ids = ids[keep]
+    epochs = max(epochs, -(-least_steps // max(1, len(grades) // batch)))
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(grades)), max(1, len(grades) // batch)):
             steps = np.exp(theta[BUCKETS + 1 :])
