@@ -240,6 +240,8 @@ def _across(members: DataFrame, sketches: DataFrame, links: DataFrame, threshold
     every = dealt.groupBy("band", "chunk").agg(F.collect_list("text").alias("texts"))
     apart = dealt.where("apart").groupBy("band", "chunk").agg(F.collect_list("text").alias("apart"))
     met = apart.select("band", "apart").join(every.select("band", "texts"), "band")
+    # Spark splits the join's large partitions; a Python start for each small split would cost more than its work.
+    met = met.coalesce(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return met.mapInArrow(lambda batches: _meet(batches, threshold), "a long, b long, similarity double")
 
 
