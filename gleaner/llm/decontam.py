@@ -7,7 +7,9 @@ Matches of a document and an item at one alignment form a candidate; its slots m
 always stands against one document value. A document leaks an item if ``least`` different windows of the item (all, if it
 has fewer) match at consistent alignments.
 
-A template window needs ``LITERAL`` words that are no placeholders. Items shorter than a window are looked up with
+Template windows of placeholders alone are left out. The matched windows of a leak hold together ``LITERAL`` different
+words of the item that are no placeholders, or all the item has, and ``FEWEST`` at least; all words of a wording window
+count. So a question dense in numbers is found, but common phrases of few words and many numbers aren't. Items shorter than a window are looked up with
 windows of their own length, down to ``SHORTEST`` words; shorter ones cannot be told from common phrases and are left out.
 
 Defined results: null text counts as empty; repeated rows of a doc_id count together; repeated items match each; a null
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut
 
-WORDS, LITERAL, SHORTEST = 8, 5, 4
+WORDS, LITERAL, FEWEST, SHORTEST = 8, 5, 3, 4
 NAME, POINT = "", ""
 #: Units of measure, money and time.
 UNITS = (
@@ -75,8 +77,13 @@ def _windows(hashes: Column, n: int) -> Column:
     return F.when(count > 0, each).otherwise(F.array().cast("array<bigint>"))
 
 
+def _literal(template: Column, words: Column) -> Column:
+    """1 for every word that is no placeholder, else 0."""
+    return F.when(template.isNull(), F.transform(words, lambda w: F.lit(1))).otherwise(F.transform(template, lambda w: F.when(w.isin("<name>", "<num>", "<unit>"), 0).otherwise(1)))
+
+
 def windows(table: DataFrame, key: str, n: int) -> DataFrame:
-    """key, pos, form (0 wording, 1 template), hash of every window of n words. Template windows without a placeholder are left out."""
+    """key, pos, form (0 wording, 1 template), hash of every window of n words. Template windows without a placeholder or without any other word are left out."""
     code = lambda column: F.transform(column, lambda w: F.xxhash64(w))
     slot = F.transform("template", lambda w: F.when(w.isin("<name>", "<num>", "<unit>"), 1).otherwise(0))
     parts = F.struct(code(plain(F.col("words"))).alias("plain"), code("template").alias("shape"), slot.alias("slots"))
@@ -84,10 +91,9 @@ def windows(table: DataFrame, key: str, n: int) -> DataFrame:
     forms = F.struct(_windows(F.col("plain"), n).alias("wording"), F.when(F.col("shape").isNotNull(), _windows(F.col("shape"), n)).alias("shape"))
     told = hashed.select(key, "slots", _once(forms).alias("f")).select(key, "slots", "f.*")
     used = lambda i: F.aggregate(F.slice(F.col("slots"), i + 1, n), F.lit(0), lambda a, b: a + b)
-    enough = max(1, min(LITERAL, n - 1))
     shaped = F.filter(
         F.transform("shape", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), used(i).alias("slots"))),
-        lambda s: (s["slots"] > 0) & (s["slots"] <= n - enough),
+        lambda s: (s["slots"] > 0) & (s["slots"] < n),
     )
     wording = F.transform("wording", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), F.lit(0).alias("form")))
     shaped = F.transform(shaped, lambda s: F.struct(s["pos"].alias("pos"), s["hash"].alias("hash"), F.lit(1).alias("form")))
@@ -96,16 +102,17 @@ def windows(table: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def matches(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """doc_id, item_id, pos, item_pos of equal windows."""
+    """doc_id, item_id, pos, item_pos, form of equal windows."""
     wanted = cut(windows(items, "item_id", n).withColumnRenamed("pos", "item_pos"))
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
     found = windows(documents, "doc_id", n).join(wanted, ["form", "hash"])
-    return found.select("doc_id", "item_id", "pos", "item_pos").distinct()
+    return found.select("doc_id", "item_id", "pos", "item_pos", "form").distinct()
 
 
 def _slots(found: DataFrame, documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """found with its alignment, and per alignment whether slots are consistent and whether any value differs."""
+    found = found.select("doc_id", "item_id", "pos", "item_pos", "align").distinct()
     ids = found.select("doc_id").distinct()
     if ids.count() <= BROADCAST_DOCUMENTS:
         ids = F.broadcast(ids)
@@ -126,6 +133,14 @@ def _slots(found: DataFrame, documents: DataFrame, items: DataFrame, n: int) ->
     )
 
 
+def _telling(n: int) -> Column:
+    """Whether the seen windows hold words enough that are no placeholders; all words of a wording window count."""
+    places = lambda w: F.sequence(w["item_pos"], w["item_pos"] + (n - 1))
+    each = F.transform("seen", lambda w: F.when(w["form"] == 0, places(w)).otherwise(F.filter(places(w), lambda p: F.get("literal", p) == 1)))
+    all_of_them = F.aggregate("literal", F.lit(0), lambda a, b: a + b)
+    return F.size(F.array_distinct(F.flatten(each))) >= F.greatest(F.lit(FEWEST), F.least(F.lit(LITERAL), all_of_them))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, coverage, reparameterised of every leak."""
     documents, benchmark = documents.select("doc_id", "text"), benchmark.select("item_id", "text")
@@ -138,8 +153,11 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: int = 3) -> DataFra
         found = cut(matches(documents, own, n).withColumn("align", F.col("pos") - F.col("item_pos")))
         slots = _slots(found, documents, own, n)
         judged = found.join(slots, ["doc_id", "item_id", "align"], "left").where(~F.coalesce("conflict", F.lit(False)))
-        counted = judged.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.max(F.coalesce("other_values", F.lit(False))).alias("reparameterised"))
-        one = counted.join(own.groupBy("item_id").agg(F.max("item_windows").alias("item_windows")), "item_id").where(F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows")))
+        windows_of = F.collect_set(F.struct("item_pos", "form")).alias("seen")
+        counted = judged.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("n_windows"), windows_of, F.max(F.coalesce("other_values", F.lit(False))).alias("reparameterised"))
+        told = _prepared(own, "item_id").select("item_id", _literal(F.col("template"), F.col("words")).alias("literal")).groupBy("item_id").agg(F.max("literal").alias("literal"))
+        about = own.groupBy("item_id").agg(F.max("item_windows").alias("item_windows")).join(told, "item_id")
+        one = counted.join(about, "item_id").where((F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows"))) & _telling(n))
         one = one.select("doc_id", "item_id", "n_windows", "item_windows", F.least(F.col("n_windows") / F.col("item_windows"), F.lit(1.0)).alias("coverage"), "reparameterised")
         out = one if out is None else out.unionByName(one)
     return out
