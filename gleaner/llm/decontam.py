@@ -3,22 +3,26 @@
 Texts become lower-cased words. In the template form numbers, units after numbers and names (capitalised words inside a
 sentence) become typed placeholders. Windows of ``WORDS`` consecutive words are hashed in both forms and joined with the
 benchmark's windows, so a copied question is found with its wording, and one with other numbers or names by its template.
-Matches of a document and an item at one alignment form a candidate; its slots must be consistent: one benchmark value
-always stands against one document value. A document leaks an item if ``least`` different windows of the item (all, if it
-has fewer) match at consistent alignments.
+Matches of a row and an item at one alignment form a candidate. Windows with equal wording always count; template windows
+need consistent slots: one benchmark name always stands against one document name, else none of the candidate's template
+windows counts. Equal numbers or units of an item may be different quantities, so where they stand against several values
+only the windows with the less usual ones don't count (of equally usual values the smallest stays). A document leaks an
+item if ``least`` different windows of the item (all, if it has fewer) count.
 
 Template windows of placeholders alone are left out. The matched windows of a leak hold together ``LITERAL`` different
 words of the item that are no placeholders, or all the item has, and ``FEWEST`` at least; all words of a wording window
-count. So a question dense in numbers is found, but common phrases of few words and many numbers aren't. Items shorter than a window are looked up with
-windows of their own length, down to ``SHORTEST`` words; shorter ones cannot be told from common phrases and are left out.
+count. So a question dense in numbers is found, but common phrases of few words and many numbers aren't. Items shorter
+than a window are looked up with windows of their own length, down to ``SHORTEST`` words; shorter ones cannot be told
+from common phrases and are left out.
 
-Defined results: null text counts as empty; repeated rows of a doc_id count together; repeated items match each; a null
-item_id is kept as it is; no documents or no benchmark give no rows; other columns are ignored.
+Defined results: null text counts as empty; the windows of a doc_id's rows count together, slots are compared by row; of
+the texts of a repeated item_id the best covered is given; a null item_id is kept as it is; no documents or no benchmark
+give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut
@@ -64,11 +68,11 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _prepared(table: DataFrame, key: str) -> DataFrame:
+def _prepared(table: DataFrame, *key: str) -> DataFrame:
     """key, words, and where there are placeholders their template (else null)."""
-    words = table.select(key, _once(marked_words(F.coalesce("text", F.lit("")))).alias("words"))
+    words = table.select(*key, _once(marked_words(F.coalesce("text", F.lit("")))).alias("words"))
     slots = F.exists("words", lambda w: w.rlike(f"^[0-9{NAME}]"))
-    return words.select(key, "words", F.when(slots, template(F.col("words"))).alias("template"))
+    return words.select(*key, "words", F.when(slots, template(F.col("words"))).alias("template"))
 
 
 def _windows(hashes: Column, n: int) -> Column:
@@ -82,14 +86,14 @@ def _literal(template: Column, words: Column) -> Column:
     return F.when(template.isNull(), F.transform(words, lambda w: F.lit(1))).otherwise(F.transform(template, lambda w: F.when(w.isin("<name>", "<num>", "<unit>"), 0).otherwise(1)))
 
 
-def windows(table: DataFrame, key: str, n: int) -> DataFrame:
-    """key, pos, form (0 wording, 1 template), hash of every window of n words. Template windows without a placeholder or without any other word are left out."""
+def windows(table: DataFrame, n: int, *key: str) -> DataFrame:
+    """The key columns, pos, form (0 wording, 1 template), hash of every window of n words. Template windows without a placeholder or without any other word are left out."""
     code = lambda column: F.transform(column, lambda w: F.xxhash64(w))
     slot = F.transform("template", lambda w: F.when(w.isin("<name>", "<num>", "<unit>"), 1).otherwise(0))
     parts = F.struct(code(plain(F.col("words"))).alias("plain"), code("template").alias("shape"), slot.alias("slots"))
-    hashed = _prepared(table, key).select(key, _once(parts).alias("h")).select(key, "h.*")
+    hashed = _prepared(table, *key).select(*key, _once(parts).alias("h")).select(*key, "h.*")
     forms = F.struct(_windows(F.col("plain"), n).alias("wording"), F.when(F.col("shape").isNotNull(), _windows(F.col("shape"), n)).alias("shape"))
-    told = hashed.select(key, "slots", _once(forms).alias("f")).select(key, "slots", "f.*")
+    told = hashed.select(*key, "slots", _once(forms).alias("f")).select(*key, "slots", "f.*")
     used = lambda i: F.aggregate(F.slice(F.col("slots"), i + 1, n), F.lit(0), lambda a, b: a + b)
     shaped = F.filter(
         F.transform("shape", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), used(i).alias("slots"))),
@@ -98,39 +102,42 @@ def windows(table: DataFrame, key: str, n: int) -> DataFrame:
     wording = F.transform("wording", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), F.lit(0).alias("form")))
     shaped = F.transform(shaped, lambda s: F.struct(s["pos"].alias("pos"), s["hash"].alias("hash"), F.lit(1).alias("form")))
     both = F.when(F.col("shape").isNull(), wording).otherwise(F.concat(wording, shaped))
-    return told.select(key, F.explode(both).alias("s")).select(key, "s.pos", "s.form", "s.hash")
+    return told.select(*key, F.explode(both).alias("s")).select(*key, "s.pos", "s.form", "s.hash")
 
 
 def matches(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """doc_id, item_id, pos, item_pos, form of equal windows."""
-    wanted = cut(windows(items, "item_id", n).withColumnRenamed("pos", "item_pos"))
+    """doc_id, doc_row, item_row, pos, item_pos, form of equal windows."""
+    wanted = cut(windows(items, n, "item_row").withColumnRenamed("pos", "item_pos"))
     if wanted.count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
-    found = windows(documents, "doc_id", n).join(wanted, ["form", "hash"])
-    return found.select("doc_id", "item_id", "pos", "item_pos", "form").distinct()
-
-
-def _slots(found: DataFrame, documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """found with its alignment, and per alignment whether slots are consistent and whether any value differs."""
-    found = found.select("doc_id", "item_id", "pos", "item_pos", "align").distinct()
-    ids = found.select("doc_id").distinct()
-    if ids.count() <= BROADCAST_DOCUMENTS:
-        ids = F.broadcast(ids)
-    side = documents.join(ids, "doc_id", "left_semi")
-    own = _prepared(side, "doc_id").select("doc_id", F.col("words").alias("doc_words"))
-    theirs = _prepared(items, "item_id").where(F.col("template").isNotNull()).select("item_id", F.col("words").alias("item_words"), F.col("template").alias("item_template"))
+    found = windows(documents, n, "doc_id", "doc_row").join(wanted, ["form", "hash"])
+    return found.select("doc_id", "doc_row", "item_row", "pos", "item_pos", "form").distinct()
+
+
+def _consistent(found: DataFrame, documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """The template windows of found whose slots are consistent within their alignment, and whether any value differs."""
+    found = found.where("form = 1")
+    rows = found.select("doc_row").distinct()
+    if rows.count() <= BROADCAST_DOCUMENTS:
+        rows = F.broadcast(rows)
+    side = documents.join(rows, "doc_row", "left_semi").dropDuplicates(["doc_row"])
+    own = _prepared(side, "doc_row").select("doc_row", F.col("words").alias("doc_words"))
+    theirs = _prepared(items, "item_row").where(F.col("template").isNotNull()).select("item_row", F.col("words").alias("item_words"), F.col("template").alias("item_template"))
     at = lambda name, pos: F.slice(name, F.col(pos) + 1, n)
+    place = ["doc_id", "doc_row", "item_row", "align"]
     pairs = (
-        found.join(theirs, "item_id")
-        .join(own, "doc_id")
-        .select("doc_id", "item_id", "align", F.explode(F.arrays_zip(at("item_template", "item_pos").alias("kind"), plain(at("item_words", "item_pos")).alias("theirs"), plain(at("doc_words", "pos")).alias("own"))).alias("s"))
-        .select("doc_id", "item_id", "align", "s.*")
+        found.join(theirs, "item_row")
+        .join(own, "doc_row")
+        .select(*place, "item_pos", F.explode(F.arrays_zip(at("item_template", "item_pos").alias("kind"), plain(at("item_words", "item_pos")).alias("theirs"), plain(at("doc_words", "pos")).alias("own"))).alias("s"))
+        .select(*place, "item_pos", "s.*")
         .where(F.col("kind").isin("<name>", "<num>", "<unit>"))
     )
-    values = pairs.groupBy("doc_id", "item_id", "align", "kind", "theirs").agg(F.min("own").alias("least"), F.max("own").alias("most"))
-    return values.groupBy("doc_id", "item_id", "align").agg(
-        F.max(F.col("least") != F.col("most")).alias("conflict"), F.max((F.col("least") != F.col("theirs")) | (F.col("most") != F.col("theirs"))).alias("other_values")
-    )
+    uses = F.count(F.lit(1)).over(Window.partitionBy(*place, "kind", "theirs", "own"))
+    usual = F.first("own").over(Window.partitionBy(*place, "kind", "theirs").orderBy(F.desc("uses"), "own"))
+    judged = pairs.repartition(*place).withColumn("uses", uses).withColumn("odd", F.col("own") != usual)
+    judged = judged.withColumn("mistaken", F.max(F.col("odd") & (F.col("kind") == "<name>")).over(Window.partitionBy(*place)))
+    kept = judged.groupBy(*place, "item_pos").agg(F.max(F.col("odd") | F.col("mistaken")).alias("odd"), F.max(F.col("own") != F.col("theirs")).alias("other_values"))
+    return kept.where(~F.col("odd")).select("doc_id", "item_row", "item_pos", F.lit(1).alias("form"), "other_values")
 
 
 def _telling(n: int) -> Column:
@@ -143,21 +150,23 @@ def _telling(n: int) -> Column:
 
 def leaks(documents: DataFrame, benchmark: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, coverage, reparameterised of every leak."""
-    documents, benchmark = documents.select("doc_id", "text"), benchmark.select("item_id", "text")
+    documents = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_row"))
     size = F.size(marked_words(F.coalesce("text", F.lit(""))))
-    items = cut(benchmark.withColumn("n", F.least(size, F.lit(WORDS)).cast("int")).withColumn("item_windows", (size - F.col("n") + 1).cast("long")).where(F.col("n") >= SHORTEST))
+    items = benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("item_row")).dropDuplicates(["item_row"])
+    items = cut(items.withColumn("n", F.least(size, F.lit(WORDS)).cast("int")).withColumn("item_windows", (size - F.col("n") + 1).cast("long")).where(F.col("n") >= SHORTEST))
     sizes = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]  # at most WORDS - SHORTEST + 1 rows
     out = None
     for n in sizes or [WORDS]:
         own = items.where(F.col("n") == n)
         found = cut(matches(documents, own, n).withColumn("align", F.col("pos") - F.col("item_pos")))
-        slots = _slots(found, documents, own, n)
-        judged = found.join(slots, ["doc_id", "item_id", "align"], "left").where(~F.coalesce("conflict", F.lit(False)))
-        windows_of = F.collect_set(F.struct("item_pos", "form")).alias("seen")
-        counted = judged.groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("n_windows"), windows_of, F.max(F.coalesce("other_values", F.lit(False))).alias("reparameterised"))
-        told = _prepared(own, "item_id").select("item_id", _literal(F.col("template"), F.col("words")).alias("literal")).groupBy("item_id").agg(F.max("literal").alias("literal"))
-        about = own.groupBy("item_id").agg(F.max("item_windows").alias("item_windows")).join(told, "item_id")
-        one = counted.join(about, "item_id").where((F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows"))) & _telling(n))
+        wording = found.where("form = 0").select("doc_id", "item_row", "item_pos", "form", F.lit(False).alias("other_values"))
+        kept = wording.unionByName(_consistent(found, documents, own, n))
+        seen = F.collect_set(F.struct("item_pos", "form")).alias("seen")
+        counted = kept.groupBy("doc_id", "item_row").agg(F.count_distinct("item_pos").alias("n_windows"), seen, F.max("other_values").alias("reparameterised"))
+        about = _prepared(own, "item_row", "item_id", "item_windows").select("item_row", "item_id", "item_windows", _literal(F.col("template"), F.col("words")).alias("literal"))
+        one = counted.join(about, "item_row").where((F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows"))) & _telling(n))
         one = one.select("doc_id", "item_id", "n_windows", "item_windows", F.least(F.col("n_windows") / F.col("item_windows"), F.lit(1.0)).alias("coverage"), "reparameterised")
         out = one if out is None else out.unionByName(one)
-    return out
+    columns = ["coverage", "n_windows", "item_windows", "reparameterised"]
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(*columns)).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "best.reparameterised")
