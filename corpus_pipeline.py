@@ -5,16 +5,17 @@ writes every stage's rows to the shared folder and reads them back as the next s
 
 Defined results, beyond the operators' own: a document without any letter or of uncertain language is rejected; of a
 class of near copies the smallest doc_id stays, and of rows with one doc_id in it the one whose other columns sort
-first; a document of which nothing but white space is left after repeats are cut goes; a null doc_id is a copy of none.
+first; a document of which nothing but white space is left after repeats are cut goes; a null doc_id is a copy of none. Every stage decides by
+row, so different texts with one doc_id, or with none, each stay or go by themselves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontam, langid, neardup, packing, suffixdedup
-from gleaner.llm.common import new_path, table
+from gleaner.llm.common import cut, new_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.4
@@ -29,24 +30,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.where((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with _row, a hash of all columns that is never null: equal for equal rows only."""
+    missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in COLUMNS])
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, missing).alias("_row"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate class."""
-    docs = docs.select(*COLUMNS)
-    classes = neardup.near_duplicate_classes(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(classes, "doc_id", "left_anti").select(*COLUMNS)
-    repeated = kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    first = kept.where(F.col("doc_id").isNotNull()).withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return first.select(*COLUMNS).unionByName(kept.where(F.col("doc_id").isNull()))
+    docs = with_row(docs)
+    classes = neardup.near_duplicate_classes(docs.select(F.col("_row").alias("doc_id"), "text"))
+    classes = cut(classes.where("class_size > 1").select(F.col("doc_id").alias("_row"), "class_id").distinct())
+    known = docs.where(F.col("doc_id").isNotNull())
+    first = known.join(classes, "_row").groupBy("class_id").agg(F.min(F.struct(*COLUMNS)).alias("first")).select("first.*")
+    alone = known.join(classes, "_row", "left_anti").select(*COLUMNS)
+    return alone.unionByName(first).unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every passage of REPEAT_BYTES or more, about 40 words, that stands in two places."""
-    left = suffixdedup.without_repeats(docs.select("doc_id", "text"), REPEAT_BYTES).where("n_removed > 0")
-    left = left.select("doc_id", F.col("text").alias("left"), F.lit(True).alias("cut"))
-    docs = docs.select(*COLUMNS).join(left, "doc_id", "left")
+    docs = with_row(docs)
+    left = suffixdedup.without_repeats(docs.select(F.col("_row").alias("doc_id"), "text"), REPEAT_BYTES).where("n_removed > 0")
+    left = left.select(F.col("doc_id").alias("_row"), F.col("text").alias("left"), F.lit(True).alias("cut")).dropDuplicates(["_row"])
+    docs = docs.join(left, "_row", "left")
     docs = docs.withColumn("text", F.when(F.col("cut"), F.col("left")).otherwise(F.col("text")))
     docs = docs.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return docs.where(F.col("text").rlike(r"\S")).select(*COLUMNS)
@@ -54,8 +60,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that leak no benchmark item."""
-    leaking = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(leaking, "doc_id", "left_anti").select(*COLUMNS)
+    docs = with_row(docs)
+    leaking = decontam.leaks(docs.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_row")).distinct()
+    return docs.join(leaking, "_row", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
