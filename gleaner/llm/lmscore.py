@@ -2,8 +2,8 @@
 
 Texts are lower-cased (A-Z) words between white space and one end each. Over all training texts the corpus gives the
 count of every word and, by expectation over lattices that start from the vocabulary's own scores, new piece
-probabilities; each block counts a distinct word once there, since unseen words resemble types more than tokens. A word
-then has
+probabilities; there every distinct training word counts once, whatever the blocks, since unseen words resemble types
+more than tokens. A word then has
 
     p(word) = max(count - d, 0) / N + d * V / N * marginal(word)
 
@@ -35,6 +35,8 @@ from gleaner.llm.common import new_path
 from gleaner.llm.lattice import PIECES, Lattice, read_pieces, reestimated
 
 BATCH = 1 << 20
+#: Marks the count of a word that goes to the word's own block.
+OWN = np.uint64(1 << 63)
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -89,24 +91,14 @@ class Words:
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
-def _send(block: pa.Table, ranges: int, fold: Fold, pieces: list, log_p: np.ndarray, local_rounds: int) -> pa.Table:
-    """Training counts of the block's words (0 where only held-out texts have them), and expected counts of its pieces."""
+def _send(block: pa.Table, ranges: int, fold: Fold) -> pa.Table:
+    """Training counts of the block's words (0 where only held-out texts have them)."""
     if not block.num_rows:
         return exchange.to_table([], exchange.SENT)
     number, words = block["block"][0].as_py(), Words(block)
     train = ~fold.held_out(block["doc_id"].to_pylist())
     count = np.bincount(words.uses[train[words.owner]], minlength=len(words.keys)).astype("<u4")
-    rows = exchange.send(number, words.keys, np.ones(len(count)), ranges, 64, count)
-    used = np.flatnonzero(count)
-    if len(used):
-        lattice, names = Lattice(pieces, log_p), [words.names[i] for i in used.tolist()]
-        for turn in range(local_rounds):
-            expected = lattice.expected_counts(names, np.ones(len(names)))
-            if turn + 1 < local_rounds:
-                lattice = Lattice(pieces, reestimated(expected))
-        some = np.flatnonzero(expected > 1e-6)
-        rows.append(exchange.hand_through(number, some.astype(np.uint64), expected[some], ranges))
-    return exchange.to_table(rows, exchange.SENT)
+    return exchange.to_table(exchange.send(number, words.keys, np.ones(len(count)), ranges, 64, count), exchange.SENT)
 
 
 def _sum_counts(entries: list[exchange.Entry]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,9 +114,41 @@ def _sum_counts(entries: list[exchange.Entry]) -> tuple[np.ndarray, np.ndarray,
 
 
 def _resolve(entries: list[exchange.Entry]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    blocks, keys, total, _ = _sum_counts(entries)
+    """Counts of training words; the first block of a word is told by OWN that the word is its own."""
+    blocks, keys, total, head = _sum_counts(entries)
+    values = total.astype("<u8")
+    values[head] |= OWN
     known = total > 0
-    return exchange.split_by_block(blocks[known], keys[known], np.minimum(total[known], (1 << 32) - 1).astype("<u4"))
+    return exchange.split_by_block(blocks[known], keys[known], values[known])
+
+
+def _own_words(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """The training words that this block owns."""
+    if not block.num_rows:
+        return exchange.to_table([], "word binary")
+    words = Words(block)
+    keys, values = exchange.received(answers, 1, np.dtype("<u8"))
+    own = np.flatnonzero(exchange.look_up(keys, values, words.keys, 0) >= OWN)
+    return exchange.to_table([(words.names[i],) for i in own.tolist()], "word binary")
+
+
+def learned(words: DataFrame, pieces: list, log_p: np.ndarray, rounds: int) -> np.ndarray:
+    """Log probabilities of the pieces after so many rounds of EM over all words; the driver gets one row a piece and round."""
+    for _ in range(rounds):
+
+        def run(batches, log_p: np.ndarray = log_p):
+            lattice, expected = Lattice(pieces, log_p), np.zeros(len(pieces))
+            for batch in batches:
+                names = batch.column(0).to_pylist()
+                expected += lattice.expected_counts(names, np.ones(len(names)))
+            some = np.flatnonzero(expected)
+            yield from exchange.to_table(list(zip(some.tolist(), expected[some].tolist(), strict=True)), "piece long, used double").to_batches()
+
+        total = np.zeros(len(pieces))
+        for row in words.mapInArrow(run, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():
+            total[row["piece"]] = row["used"]
+        log_p = reestimated(total)
+    return log_p
 
 
 def _stats(entries: list[exchange.Entry]) -> np.ndarray:
@@ -142,25 +166,21 @@ def _decoded(answers: DataFrame, kind: int, schema: str, decode) -> DataFrame:
     return answers.where(F.col("kind") == kind).select("keys", "values").mapInArrow(run, schema)
 
 
-def gathered(answers: DataFrame, n_pieces: int, documents: DataFrame, fold: Fold) -> tuple[Totals, np.ndarray]:
-    """Totals and the pieces' expected counts; the driver gets four numbers and one row a piece."""
+def gathered(answers: DataFrame, documents: DataFrame, fold: Fold) -> Totals:
+    """Totals; the driver gets four numbers."""
     figures = lambda keys, values: [tuple(np.frombuffer(values, dtype="<i8").tolist())]
     sums = _decoded(answers, 2, "tokens long, distinct long, once long, twice long", figures).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "once", "twice")]).first()
-    uses = lambda keys, values: list(zip(exchange.unpack_sorted(keys).astype(np.int64).tolist(), np.frombuffer(values, dtype="<f8").tolist(), strict=True))
-    expected = np.zeros(n_pieces)
-    for r in _decoded(answers, 0, "piece long, used double", uses).groupBy("piece").agg(F.sum("used").alias("used")).collect():
-        expected[r["piece"]] = r["used"]
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold.modulus == fold.remainder, F.lit(False))
     ends = documents.where(~held_out).count()
-    return Totals(sums[0] + ends, sums[1] + bool(ends), sums[2], sums[3], ends), expected
+    return Totals(sums[0] + ends, sums[1] + bool(ends), sums[2], sums[3], ends)
 
 
 def _score(block: pa.Table, answers: pa.Table, fold: Fold, totals: Totals, pieces: list, log_p: np.ndarray) -> pa.Table:
     if not block.num_rows:
         return exchange.to_table([], SCORED)
     words, ids = Words(block), block["doc_id"].to_pylist()
-    keys, counts = exchange.received(answers, 1, np.dtype("<u4"))
-    count = exchange.look_up(keys, counts, words.keys, 0).astype(np.float64)
+    keys, counts = exchange.received(answers, 1, np.dtype("<u8"))
+    count = exchange.look_up(keys, counts & ~OWN, words.keys, 0).astype(np.float64)
     n, v = totals.tokens, totals.distinct
     base = np.log10((count + 1) / (n + v + 1))
     spelt = np.exp(Lattice(pieces, log_p).log_likelihood(words.names)) if words.names else np.empty(0)
@@ -185,11 +205,13 @@ def score_texts(documents: DataFrame, fold: Fold = Fold(), vocabulary: str = PIE
     spark = documents.sparkSession
     pieces, log_p = read_pieces(vocabulary)
     blocks, n = exchange.blocked(documents)
-    sent = blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _send(b, n, fold, pieces, log_p, local_rounds)), exchange.SENT)
+    sent = blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _send(b, n, fold)), exchange.SENT)
     path = new_path(spark, "counts")
     exchange.reduce_ranges(sent, n, _resolve, _stats).write.parquet(path)
     answers = spark.read.parquet(path)
-    totals, expected = gathered(answers, len(pieces), documents, fold)
-    learned = reestimated(expected)
+    totals = gathered(answers, documents, fold)
     about = answers.where(F.col("kind") == 1).groupBy("block")
-    return blocks.groupBy("block").cogroup(about).applyInArrow(lambda b, a: _score(b, a, fold, totals, pieces, learned), SCORED)
+    path = new_path(spark, "words")
+    blocks.groupBy("block").cogroup(about).applyInArrow(_own_words, "word binary").write.parquet(path)
+    log_p = learned(spark.read.parquet(path), pieces, log_p, local_rounds)
+    return blocks.groupBy("block").cogroup(about).applyInArrow(lambda b, a: _score(b, a, fold, totals, pieces, log_p), SCORED)
