@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is set, one process alone gets a temporary one; a cluster raises."""
     context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found:
         return found
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
     return context.getCheckpointDir()
 
 
@@ -47,3 +50,12 @@ def blocks_for(spark: SparkSession, n_bytes: int, block_bytes: int) -> int:
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's text form, modulo modulus."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def give_back() -> None:
+    """Return what a worker has freed to the system; idle workers would hold it until their next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return

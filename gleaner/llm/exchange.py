@@ -2,8 +2,8 @@
 
 A block is a slice of the documents by hash. Blocks send their distinct hashes, packed and dealt by hash range, to one
 task a range, and get back what the whole corpus says about those that matter, for instance that they occur more than
-once. Every hash is counted; nothing is sampled. Traffic is a few bytes a hash, and no range, block or hash gathers more
-than its share: a hash in every document is one entry a block.
+once. Every hash is counted; nothing is sampled. Traffic is a few bytes a hash. Keys must be spread evenly over the key
+space, as mixed hashes are; then no range gathers more than its share, and a hash in every document is one entry a block.
 
 A chain of exchanges reads the blocks again at each step. Spark shuffles the text once and reuses that exchange.
 """
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.bytetools import pack_sorted, unpack_sorted
-from gleaner.llm.common import blocks_for, text_bytes
+from gleaner.llm.common import blocks_for, give_back, text_bytes
 
 #: Text in a block: small enough for little memory, larger for corpora where very many blocks would make entries tiny.
-BLOCK_BYTES, LARGEST_BLOCK, MANY_BLOCKS = 8 << 20, 128 << 20, 4000
+BLOCK_BYTES, LARGEST_BLOCK, MANY_BLOCKS = 4 << 20, 128 << 20, 4000
 SENT = "range int, block int, keys binary, counts binary, extra binary"
 ANSWER = "block int, kind int, keys binary, values binary"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
@@ -40,10 +40,10 @@ def to_table(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def blocked(documents: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
+def blocked(documents: DataFrame, least: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """documents(doc_id, text) dealt into blocks by both columns, and the number of blocks. Null text becomes empty."""
     total = text_bytes(documents)
-    size = block_bytes or min(max(BLOCK_BYTES, total // MANY_BLOCKS), LARGEST_BLOCK)
+    size = min(max(least, total // MANY_BLOCKS), LARGEST_BLOCK)
     n = blocks_for(documents.sparkSession, total, size)
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
@@ -72,8 +72,25 @@ def hand_through(block: int, keys: np.ndarray, values: np.ndarray, ranges: int)
 
 
 def one_argument(f: Callable) -> Callable:
-    """Spark counts parameters to see whether a function wants the key."""
-    return lambda group: f(group)
+    """Spark counts parameters to see whether a function wants the key. Freed memory goes back after each group."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = f(group)
+        give_back()
+        return out
+
+    return run
+
+
+def two_arguments(f: Callable) -> Callable:
+    """The same for a group and what came to it."""
+
+    def run(group: pa.Table, other: pa.Table) -> pa.Table:
+        out = f(group, other)
+        give_back()
+        return out
+
+    return run
 
 
 def reduce_ranges(

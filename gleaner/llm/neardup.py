@@ -9,19 +9,25 @@ similarity; samples are banded, and texts that share a band are compared exactly
 Weights can only be shared where df > 1, so a text whose shared shingles weigh less than the threshold's part of it
 has no near copy; it is set aside exactly, before any sampling. Equal texts meet by their hash and are compared once.
 
-Within a band's bucket, a text is compared with the bucket's first text and with its neighbours in the order of the other
-samples. Then every text outside its bucket's largest class meets all others of the bucket, until links have joined their
-classes. Work is about linear in a bucket whose texts are alike, and no candidate of different classes goes unchecked.
+In a bucket of more than SURE texts, a text is compared with the bucket's least text and with its neighbours in the order of
+other samples. Then every text outside its bucket's largest class meets all others of the bucket, until links have joined
+their classes. Work is about linear in a bucket whose texts are alike, and no candidate of different classes goes
+unchecked. Buckets are sorted over ranges that may cut one; they hold keys and samples, and shingles only join the pairs to
+compare and the chunks of buckets that stay mixed.
+
+Shingles are told apart by 48 bits, texts by 64. A chance equality of shingles moves a similarity or a count by one
+shingle; it never makes texts equal.
 
 Defined results: null text counts as empty; texts without words are copies of each other; equal texts share a class;
-a class is named by its smallest doc_id; no rows give no rows; other columns are ignored.
+a class is named by its smallest doc_id; rows with a null doc_id take part like any other, and a class of none but such rows
+has a null class_id; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
@@ -32,11 +38,12 @@ from gleaner.llm.components import components
 BITS = 48
 BANDS, ROWS = 12, 3
 BATCH = 1 << 19
-#: Each text is compared with so many less one neighbours; buckets of up to so many texts are then done.
+#: In buckets of up to so many texts all pairs are compared; in larger ones each text with so many less one neighbours.
 SURE = 3
-CHUNK = 64
+CHUNK, CHUNK_BYTES = 64, 1 << 20
 TABLE = 1 << 16
-SKETCH = "doc_id long, key long, candidate boolean, bands binary, samples binary, shingles binary, weights binary"
+SKETCH = "block int, doc_id long, key long, candidate boolean, bands binary, samples binary, shingles binary, weights binary"
+LINK = "a long, b long, similarity double"
 
 
 def shingles_of(texts: list[bytes], n_words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -91,7 +98,7 @@ def _resolve_counts(entries: list[exchange.Entry]) -> list[tuple[int, np.ndarray
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     df = np.add.reduceat(count, np.flatnonzero(new))[np.cumsum(new) - 1]
     shared = df > 1
-    return exchange.split_by_block(blocks[shared], keys[shared], df[shared].astype("<u4"))
+    return exchange.split_by_block(blocks[shared], keys[shared], df[shared].astype("<u8"))
 
 
 class Sampler:
@@ -139,8 +146,9 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 def _sketch(block: pa.Table, answers: pa.Table, n_docs: int, threshold: float) -> pa.Table:
     """Rows of SKETCH. The first of equal texts of a block carries its sketch."""
-    shared, df = exchange.received(answers, 1, np.dtype("<u4"))
+    shared, df = exchange.received(answers, 1, np.dtype("<u8"))
     ids, rows, seen, sampler = block["doc_id"].to_pylist(), [], set(), Sampler(BANDS * ROWS)
+    number = block["block"][0].as_py() if block.num_rows else None
     for lo, _, of, shingle, tf, key in _batches(block):
         key = key.view(np.int64).tolist()
         n = len(key)
@@ -165,22 +173,37 @@ def _sketch(block: pa.Table, answers: pa.Table, n_docs: int, threshold: float) -
                 a, b = first[j], stop[j]
                 sketched[i] = (bands[j].tobytes(), samples[j].tobytes(), pack_sorted(s[a:b]), w[a:b].astype("<f4").tobytes())
         for i in range(n):
-            rows.append((ids[lo + i], key[i], bool(candidate[i]), *sketched.get(i, (None,) * 4)))
+            rows.append((number, ids[lo + i], key[i], bool(candidate[i]), *sketched.get(i, (None,) * 4)))
     return exchange.to_table(rows, SKETCH)
 
 
 def _to_longs(batches):
-    """key, samples, bands -> a row a band with its number and the samples from there on, round to its own."""
+    """key, samples, bands -> a row a band with the samples of the next two bands, round to its own."""
     for batch in batches:
         keys, samples, blobs = (batch.column(i).to_pylist() for i in range(3))
         rows = []
         for key, own, blob in zip(keys, samples, blobs, strict=True):
             for i, band in enumerate(np.frombuffer(blob, dtype=np.int64).tolist()):
                 turn = 4 * ROWS * (i + 1) % len(own)
-                rows.append((key, band, own[turn:] + own[:turn]))
+                rows.append((key, band, (own[turn:] + own[:turn])[: 8 * ROWS]))
         yield from exchange.to_table(rows, "key long, band long, others binary").to_batches()
 
 
+def _neighbours(batches):
+    """Pairs of each text and the SURE - 1 before it in its band; rows come sorted."""
+    keys, bands = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    for batch in batches:
+        old = len(keys)
+        keys, bands = (np.concatenate([x, batch.column(i).to_numpy()]) for i, x in enumerate((keys, bands)))
+        found = []
+        for step in range(1, SURE):
+            later = np.arange(max(old, step), len(keys))
+            later = later[bands[later] == bands[later - step]]
+            found.append((np.minimum(keys[later], keys[later - step]), np.maximum(keys[later], keys[later - step])))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*found, strict=True)], names=["a", "b"])
+        keys, bands = keys[1 - SURE :], bands[1 - SURE :]
+
+
 def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     both = float(np.minimum(wa[i], wb[j]).sum())
@@ -192,57 +215,66 @@ def _verified(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFr
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
             found = []
-            for a, b, sa, wa, sb, wb in zip(*columns, strict=True):
+            for row in range(batch.num_rows):
+                a, b, sa, wa, sb, wb = (column[row].as_py() for column in batch.columns)
                 j = weighted_jaccard(unpack_sorted(sa), np.frombuffer(wa, "<f4"), unpack_sorted(sb), np.frombuffer(wb, "<f4"))
                 if j >= threshold - 1e-6:
                     found.append((a, b, j))
-            yield from exchange.to_table(found, "a long, b long, similarity double").to_batches()
+            yield from exchange.to_table(found, LINK).to_batches()
 
     side = lambda x: sketches.select(F.col("key").alias(x), F.col("shingles").alias(f"s{x}"), F.col("weights").alias(f"w{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "wa", "sb", "wb")
-    return both.mapInArrow(run, "a long, b long, similarity double")
-
-
-def link_texts(sketches: DataFrame, threshold: float) -> DataFrame:
-    """links(a, b, similarity) between the keys of distinct texts that join them into classes."""
-    members = sketches.select("key", "samples", "bands").mapInArrow(_to_longs, "key long, band long, others binary")
-    members = cut(members)
-    crowded = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lead")).where("n > 1")
-    members = cut(members.join(crowded, "band"))
-    order = Window.partitionBy("band").orderBy("others", "key")
-    near = members.select("key", F.array("lead", *(F.lag("key", i).over(order) for i in range(1, SURE))).alias("mates"))
-    pairs = near.select("key", F.explode("mates").alias("mate")).where("key <> mate")
-    pairs = pairs.select(F.least("key", "mate").alias("a"), F.greatest("key", "mate").alias("b")).distinct()
-    links = cut(_verified(pairs, sketches, threshold))
-    large = members.where(F.col("n") > SURE).select("band", "key", "n")
-    if large.isEmpty():
-        return links
-    return links.unionByName(cut(_across(large, sketches, links, threshold)))
-
-
-def _across(members: DataFrame, sketches: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """Links between texts of one bucket that links leave in different classes.
-
-    Every text outside its bucket's largest class meets every other text of the bucket, in chunks of about CHUNK. A pair is
-    compared if its samples agree often enough, in the first of its buckets, and if no link found in the chunk has yet
-    joined its classes; what most agree come first.
+    return both.mapInArrow(run, LINK)
+
+
+def linked_texts(sketches: DataFrame, threshold: float) -> DataFrame:
+    """(id, component) of the keys of distinct texts that links join into classes."""
+    members = cut(sketches.select("key", "samples", "bands").mapInArrow(_to_longs, "key long, band long, others binary"))
+    about = (F.count(F.lit(1)).alias("n"), F.min("key").alias("lead"), F.max("key").alias("last"), F.bit_xor("key").alias("odd"))
+    crowded = cut(members.groupBy("band").agg(*about).where("n > 1"))
+    # Of up to three texts, least, greatest and exclusive or give all.
+    third = F.col("lead").bitwiseXOR(F.col("last")).bitwiseXOR(F.col("odd"))
+    pair = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    each = F.when(F.col("n") == 2, F.array(pair("lead", "last"))).otherwise(F.array(pair("lead", "last"), pair("lead", "third"), pair("third", "last")))
+    few = crowded.where(F.col("n") <= SURE).withColumn("third", third).select(F.inline(each))
+    large = cut(members.join(crowded.where(F.col("n") > SURE).select("band", "lead"), "band"))
+    leads = large.where("key <> lead").select(F.col("lead").alias("a"), F.col("key").alias("b"))
+    ordered = large.repartitionByRange("band", "others", "key").sortWithinPartitions("band", "others", "key")
+    near = ordered.select("key", "band").mapInArrow(_neighbours, "a long, b long")
+    pairs = few.unionByName(leads).unionByName(near).distinct()
+    found = components(_verified(pairs, sketches, threshold))
+    more = _across(large.select("band", "key"), sketches, found, threshold)
+    if more is None:
+        return found
+    return components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more.select("a", "b")))
+
+
+def _across(members: DataFrame, sketches: DataFrame, found: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between texts of one bucket that found leaves in different classes; None if there are no such texts.
+
+    Every text outside its bucket's largest class meets every other text of the bucket, in chunks of about CHUNK texts and
+    CHUNK_BYTES. A pair is compared if its samples agree often enough, in the first of its buckets, and if no link found
+    in the chunk has yet joined its classes; what most agree come first.
     """
-    found = components(links).withColumnRenamed("id", "key")
-    placed = cut(members.join(found, "key", "left").withColumn("component", F.coalesce("component", "key")))
-    sizes = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    placed = placed.join(mixed.select("band", "main"), "band").join(sketches, "key")
-    chunk = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK).cast("long")).alias("chunk")
+    placed = cut(members.join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("band")
+    placed = cut(placed.join(mixed, "band"))
+    if placed.isEmpty():
+        return None
+    sizes = placed.join(sketches.select("key", F.octet_length("shingles").alias("size")), "key")
+    sizes = sizes.groupBy("band", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.sum("m") / CHUNK), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("long").alias("chunks")
+    buckets = cut(sizes.groupBy("band").agg(F.max_by("component", F.struct("m", "component")).alias("main"), chunks))
     text = F.struct("key", "component", "bands", "samples", "shingles", "weights")
-    dealt = placed.select("band", chunk, (F.col("component") != F.col("main")).alias("apart"), text.alias("text"))
+    chunk = F.pmod(F.xxhash64("key"), "chunks").alias("chunk")
+    dealt = placed.join(buckets, "band").join(sketches, "key").select("band", chunk, (F.col("component") != F.col("main")).alias("apart"), text.alias("text"))
     every = dealt.groupBy("band", "chunk").agg(F.collect_list("text").alias("texts"))
     apart = dealt.where("apart").groupBy("band", "chunk").agg(F.collect_list("text").alias("apart"))
     met = apart.select("band", "apart").join(every.select("band", "texts"), "band")
     # Spark splits the join's large partitions; a Python start for each small split would cost more than its work.
     met = met.coalesce(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return met.mapInArrow(lambda batches: _meet(batches, threshold), "a long, b long, similarity double")
+    return cut(met.mapInArrow(lambda batches: _meet(batches, threshold), LINK))
 
 
 def _meet(batches, threshold: float):
@@ -250,7 +282,8 @@ def _meet(batches, threshold: float):
     least = draws * threshold - 5 * (draws * threshold * (1 - threshold)) ** 0.5
     for batch in batches:
         found = []
-        for band, left, right in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for row in range(batch.num_rows):
+            band, left, right = (column[row].as_py() for column in batch.columns)
             sides = [
                 [np.stack([np.frombuffer(t[name], kind) for t in side]) for name, kind in (("samples", np.uint32), ("bands", np.int64))] for side in (left, right)
             ]
@@ -274,7 +307,7 @@ def _meet(batches, threshold: float):
                 if s >= threshold - 1e-6:
                     found.append((min(x["key"], y["key"]), max(x["key"], y["key"]), s))
                     root[cx] = cy
-        yield from exchange.to_table(found, "a long, b long, similarity double").to_batches()
+        yield from exchange.to_table(found, LINK).to_batches()
 
 
 def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -284,18 +317,16 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8) -> Data
     n_docs = max(1, documents.select("doc_id").count())
     counts = blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _send_counts(b, n)), exchange.SENT)
     about = exchange.reduce_ranges(counts, n, _resolve_counts)
-    sketch = lambda b, a: _sketch(b, a, n_docs, threshold)
+    sketch = exchange.two_arguments(lambda b, a: _sketch(b, a, n_docs, threshold))
     path = new_path(spark, "sketches")
     blocks.groupBy("block").cogroup(about.groupBy("block")).applyInArrow(sketch, SKETCH).write.parquet(path)
     rows = spark.read.parquet(path)
-    one = rows.where(F.col("shingles").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    picked = rows.where(F.col("shingles").isNotNull()).join(one, ["key", "doc_id"]).select("key", "bands", "samples", "shingles", "weights")
-    sketches = picked.dropDuplicates(["key"])
-    links = link_texts(sketches, threshold)
+    one = rows.where(F.col("shingles").isNotNull()).groupBy("key").agg(F.min("block").alias("block"))
+    sketches = rows.where(F.col("shingles").isNotNull()).join(one, ["key", "block"]).select("key", "bands", "samples", "shingles", "weights")
     texts = rows.where("candidate").select("doc_id", "key")
-    named = texts.join(components(links).withColumnRenamed("id", "key"), "key", "left")
-    named = named.select("doc_id", F.coalesce("component", "key").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    named = texts.join(linked_texts(cut(sketches), threshold).withColumnRenamed("id", "key"), "key", "left")
+    named = cut(named.select("doc_id", F.coalesce("component", "key").alias("component")))
+    least = cut(named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     named = named.join(least, "component").select("doc_id", "class_id", "class_size")
     alone = rows.where(~F.col("candidate")).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return named.unionByName(alone)
