@@ -2,11 +2,13 @@
 
 A word is written with the boundary mark in front. Its lattice has an arc for every vocabulary piece that equals a
 stretch of it; single bytes after the mark have fallback arcs. The forward recursion in log space sums over all paths.
-Words of equal length are handled together, so each step is one numpy operation over all of them.
+Words of equal length are handled together, so each step is one numpy operation over all of them; words of more than LONG
+bytes one by one, with a numpy step over all positions for each length of a piece, so the work grows with their length.
 """
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator
 
@@ -17,6 +19,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _FILTER_BITS = 20
 PIECES = "piece_bpe_32k.model"
 LOG_ZERO = -1e30
+LONG = 64
 
 
 def vocabulary_path(vocabulary: str) -> str:
@@ -114,13 +117,56 @@ class Lattice:
         """Natural-log marginal probability of each word."""
         out = np.empty(len(words))
         for at, x in self._by_length(words):
-            out[at] = self._forward(x, list(self._arcs(x)))[-1]
+            if x.shape[1] > LONG:
+                out[at] = [self._along(row)[1][-1] for row in x]
+            else:
+                out[at] = self._forward(x, list(self._arcs(x)))[-1]
         return out
 
+    def _along(self, x: np.ndarray) -> tuple[list[tuple[int, int, int]], list[float]]:
+        """Arcs (start, end, piece) of one long word by end, and the forward values of all its positions."""
+        n, mark = len(x), len(MARK)
+        codes, h = x.astype(np.uint64) + np.uint64(1), np.zeros(n, dtype=np.uint64)
+        starts, ends, ids = [np.arange(mark, n)], [np.arange(mark, n) + 1], [self.byte_id[x[mark:]]]
+        for size in range(1, min(n, self.longest) + 1):
+            h = h[: n - size + 1] * _BASE + codes[size - 1 :]
+            hit = np.flatnonzero(self.present[self._slot(h)])
+            hit = hit[((hit == 0) | (hit >= mark)) & (hit + size >= mark)]
+            at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
+            same = self.keys[at] == h[hit]
+            starts.append(hit[same])
+            ends.append(hit[same] + size)
+            ids.append(self.ids[at[same]])
+        start, end, piece = (np.concatenate(c) for c in (starts, ends, ids))
+        start, end, piece = (c[piece >= 0] for c in (start, end, piece))
+        order = np.lexsort((start, end))
+        arcs = list(zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), strict=True))
+        weight, alpha = self.log_p[piece[order]].tolist(), [LOG_ZERO] * (n + 1)
+        alpha[0] = 0.0
+        for (a, b, _), w in zip(arcs, weight, strict=True):
+            alpha[b] = _log_add(alpha[b], alpha[a] + w)
+        return arcs, alpha
+
+    def _expected_along(self, x: np.ndarray, times: float, out: np.ndarray) -> None:
+        arcs, alpha = self._along(x)
+        beta = [LOG_ZERO] * len(alpha)
+        beta[-1] = 0.0
+        used = np.empty(len(arcs))
+        for k in range(len(arcs) - 1, -1, -1):
+            a, b, i = arcs[k]
+            path = float(self.log_p[i]) + beta[b]
+            used[k] = math.exp(min(alpha[a] + path - alpha[-1], 0.0)) * times
+            beta[a] = _log_add(beta[a], path)
+        np.add.at(out, [i for _, _, i in arcs], used)
+
     def expected_counts(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over words that occur so many times."""
         out = np.zeros(len(self.log_p))
         for at, x in self._by_length(words):
+            if x.shape[1] > LONG:
+                for row, t in zip(x, times[at], strict=True):
+                    self._expected_along(row, t, out)
+                continue
             arcs = list(self._arcs(x))
             alpha = self._forward(x, arcs)
             beta = np.full_like(alpha, LOG_ZERO)
@@ -148,7 +194,13 @@ class Lattice:
                 yield at, np.frombuffer(b"".join(MARK + words[i] for i in at), dtype=np.uint8).reshape(len(at), n)
 
 
-def reestimated(counts: np.ndarray, floor: float = 0.1) -> np.ndarray:
-    """Log probabilities from expected counts; every piece keeps a floor, so every word stays possible."""
-    smooth = counts + floor
-    return np.log(smooth / smooth.sum())
+def reestimated(log_p: np.ndarray, used: np.ndarray, prior_uses: float) -> np.ndarray:
+    """Log probabilities from expected uses and the vocabulary's own scores, which count as prior_uses uses in all."""
+    weight = prior_uses * np.exp(log_p) + used
+    return np.log(weight / weight.sum())
+
+
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if b > LOG_ZERO else a

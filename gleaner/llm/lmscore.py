@@ -1,18 +1,19 @@
-"""LM scoring: subword lattices mixed with corpus word counts.
+"""LM scoring: the marginal probability of a text over all its segmentations.
 
-Texts are lower-cased (A-Z) words between white space and one end each. Over all training texts the corpus gives the
-count of every word and, by expectation over lattices that start from the vocabulary's own scores, new piece
-probabilities; there every distinct training word counts once, whatever the blocks, since unseen words resemble types
-more than tokens. A word then has
+A text is a row of lower-cased (A-Z) words between white space and one end. Its lattice has two kinds of arcs. Pieces of an
+existing vocabulary spell a word; the vocabulary's own scores weight all segmentations, moved towards the corpus by one
+pass of expected uses over the distinct training words (the scores count as ``prior_uses`` uses beside them). A whole
+training word also has an arc of its own, weighted by its count c over all training texts. With N training tokens, V
+distinct ones and the discount d = n1 / (n1 + 2 n2) from the words seen once and twice,
 
-    p(word) = max(count - d, 0) / N + d * V / N * marginal(word)
+    log p(word) = logadd( log((c - d) / N), log(d V / N) + log sum over segmentations )
 
-where marginal sums over all its segmentations, V is the number of distinct tokens and the discount d is
-n1 / (n1 + 2 n2) from the words seen once and twice. So a word that training never saw has its spelling's probability.
-Texts sum the logarithms of their words and their end.
+where no path leaves log space, so no text is too long or too odd for a finite score. No segmentation crosses white space,
+so the forward recursion over a text is the sum over its words, and each distinct word of the corpus is spelled once.
 
-Counts meet by hash range and go back to the blocks whose texts hold the word, so neither the words nor the counts
-are gathered anywhere.
+Every block of texts gives its distinct words and counts; Spark sums them by word, spells them, and joins them back. All
+words are compared as they are, not by hash, and neither words nor counts are gathered anywhere: the driver gets five
+totals and one number for each piece of the vocabulary.
 
 Defined results: null text counts as empty (its score is the end's); equal texts score alike; a null doc_id is never
 held out; without training texts counts are zero; no rows give no rows; other columns are ignored.
@@ -31,12 +32,11 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
 from gleaner.llm.bytetools import groups_of, prefix, span_hash, word_spans
-from gleaner.llm.common import new_path
+from gleaner.llm.common import cut, new_path
 from gleaner.llm.lattice import PIECES, Lattice, read_pieces, reestimated
 
-BATCH = 1 << 20
-#: Marks the count of a word that goes to the word's own block.
-OWN = np.uint64(1 << 63)
+BATCH, LEAST_BLOCK = 1 << 20, 8 << 20
+WORDS = "block int, word binary, place int, n long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -65,9 +65,17 @@ class Totals:
     def discount(self) -> float:
         return self.once / (self.once + 2 * self.twice) if self.once else 0.001
 
+    def log_word(self, count: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        """Natural-log probability of words with these training counts and log-probabilities of their spellings."""
+        if not self.tokens:
+            return spelled
+        with np.errstate(divide="ignore"):
+            whole = np.log(np.maximum(count - self.discount, 0.0) / self.tokens)
+        return np.logaddexp(whole, math.log(self.discount * self.distinct / self.tokens) + spelled)
+
 
 class Words:
-    """The distinct words of a block: sorted keys, bytes, and the words of each text as places in the keys."""
+    """The distinct words of a block and the words of each text as places among them."""
 
     def __init__(self, block: pa.Table):
         texts = exchange.block_texts(block)
@@ -84,108 +92,72 @@ class Words:
             first = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in lowered)]))
             sizes.append(np.diff(first))
         every = np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)
-        self.keys, example = np.unique(every, return_index=True)
+        keys, example = np.unique(every, return_index=True)
         self.names = [names[i] for i in example.tolist()]
         self.sizes = np.concatenate(sizes) if sizes else np.empty(0, dtype=np.int64)
-        self.uses = np.searchsorted(self.keys, np.concatenate(uses)) if uses else np.empty(0, dtype=np.int64)
+        self.uses = np.searchsorted(keys, np.concatenate(uses)) if uses else np.empty(0, dtype=np.int64)
         self.owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
 
-def _send(block: pa.Table, ranges: int, fold: Fold) -> pa.Table:
-    """Training counts of the block's words (0 where only held-out texts have them)."""
-    if not block.num_rows:
-        return exchange.to_table([], exchange.SENT)
-    number, words = block["block"][0].as_py(), Words(block)
-    train = ~fold.held_out(block["doc_id"].to_pylist())
-    count = np.bincount(words.uses[train[words.owner]], minlength=len(words.keys)).astype("<u4")
-    return exchange.to_table(exchange.send(number, words.keys, np.ones(len(count)), ranges, 64, count), exchange.SENT)
-
-
-def _sum_counts(entries: list[exchange.Entry]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks and keys sorted by key, each key's total, and where keys begin."""
-    blocks, keys, _ = exchange.join_entries(entries)
-    count = np.concatenate([np.frombuffer(e[3], dtype="<u4") for e in entries]).astype(np.int64) if entries else np.empty(0, dtype=np.int64)
-    order = np.argsort(keys, kind="stable")
-    blocks, keys, count = blocks[order], keys[order], count[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, dtype=bool)
-    head = np.flatnonzero(new)
-    total = np.add.reduceat(count, head) if len(head) else count
-    return blocks, keys, total[np.cumsum(new) - 1] if len(head) else total, head
-
-
-def _resolve(entries: list[exchange.Entry]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Counts of training words; the first block of a word is told by OWN that the word is its own."""
-    blocks, keys, total, head = _sum_counts(entries)
-    values = total.astype("<u8")
-    values[head] |= OWN
-    known = total > 0
-    return exchange.split_by_block(blocks[known], keys[known], values[known])
-
-
-def _own_words(block: pa.Table, answers: pa.Table) -> pa.Table:
-    """The training words that this block owns."""
-    if not block.num_rows:
-        return exchange.to_table([], "word binary")
+def _counted(block: pa.Table, fold: Fold) -> pa.Table:
+    """The distinct words of a block with their training counts (0 where only held-out texts have them)."""
     words = Words(block)
-    keys, values = exchange.received(answers, 1, np.dtype("<u8"))
-    own = np.flatnonzero(exchange.look_up(keys, values, words.keys, 0) >= OWN)
-    return exchange.to_table([(words.names[i],) for i in own.tolist()], "word binary")
-
-
-def learned(words: DataFrame, pieces: list, log_p: np.ndarray, rounds: int) -> np.ndarray:
-    """Log probabilities of the pieces after so many rounds of EM over all words; the driver gets one row a piece and round."""
-    for _ in range(rounds):
+    train = ~fold.held_out(block["doc_id"].to_pylist())
+    count = np.bincount(words.uses[train[words.owner]], minlength=len(words.names)) if len(words.names) else np.empty(0)
+    n = len(words.names)
+    number = block["block"][0].as_py() if n else 0
+    columns = [np.full(n, number, dtype=np.int32), pa.array(words.names, pa.binary()), np.arange(n, dtype=np.int32), count.astype(np.int64)]
+    return pa.table([pa.array(c) for c in columns], schema=exchange.arrow_schema(WORDS))
 
-        def run(batches, log_p: np.ndarray = log_p):
-            lattice, expected = Lattice(pieces, log_p), np.zeros(len(pieces))
-            for batch in batches:
-                names = batch.column(0).to_pylist()
-                expected += lattice.expected_counts(names, np.ones(len(names)))
-            some = np.flatnonzero(expected)
-            yield from exchange.to_table(list(zip(some.tolist(), expected[some].tolist(), strict=True)), "piece long, used double").to_batches()
 
-        total = np.zeros(len(pieces))
-        for row in words.mapInArrow(run, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():
-            total[row["piece"]] = row["used"]
-        log_p = reestimated(total)
-    return log_p
+def adjusted(words: DataFrame, pieces: list, log_p: np.ndarray, prior_uses: float) -> np.ndarray:
+    """Log probabilities of the pieces after one pass over words(word), each counted once; unseen words resemble types more than tokens."""
 
+    def run(batches):
+        lattice, expected = Lattice(pieces, log_p), np.zeros(len(pieces))
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            expected += lattice.expected_counts(names, np.ones(len(names)))
+        some = np.flatnonzero(expected)
+        yield from exchange.to_table(list(zip(some.tolist(), expected[some].tolist(), strict=True)), "piece long, used double").to_batches()
+
+    used = np.zeros(len(pieces))
+    for row in words.mapInArrow(run, "piece long, used double").groupBy("piece").agg(F.sum("used").alias("used")).collect():
+        used[row["piece"]] = row["used"]
+    return reestimated(log_p, used, prior_uses)
+
+
+def gathered(vocabulary: DataFrame, documents: DataFrame, fold: Fold) -> Totals:
+    """Totals; the driver gets five numbers."""
+    seen = lambda test: F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0))
+    n = F.col("n")
+    sums = vocabulary.agg(F.coalesce(F.sum(n), F.lit(0)), seen(n > 0), seen(n == 1), seen(n == 2)).first()
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold.modulus == fold.remainder, F.lit(False))
+    ends = documents.where(~held_out).count()
+    return Totals(sums[0] + ends, sums[1] + bool(ends), sums[2], sums[3], ends)
 
-def _stats(entries: list[exchange.Entry]) -> np.ndarray:
-    _, _, total, head = _sum_counts(entries)
-    each = total[head]
-    return np.array([each.sum(), (each > 0).sum(), (each == 1).sum(), (each == 2).sum()], dtype="<i8")
 
+def _spelled(vocabulary: DataFrame, pieces: list, log_p: np.ndarray, totals: Totals) -> DataFrame:
+    """word, n, log_p of every distinct word of the corpus."""
 
-def _decoded(answers: DataFrame, kind: int, schema: str, decode) -> DataFrame:
     def run(batches):
+        lattice = Lattice(pieces, log_p)
         for batch in batches:
-            for keys, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from exchange.to_table(decode(keys, values), schema).to_batches()
+            spelled = totals.log_word(batch.column(1).to_numpy().astype(np.float64), lattice.log_likelihood(batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spelled, pa.float64())], names=["word", "n", "log_p"])
 
-    return answers.where(F.col("kind") == kind).select("keys", "values").mapInArrow(run, schema)
-
-
-def gathered(answers: DataFrame, documents: DataFrame, fold: Fold) -> Totals:
-    """Totals; the driver gets four numbers."""
-    figures = lambda keys, values: [tuple(np.frombuffer(values, dtype="<i8").tolist())]
-    sums = _decoded(answers, 2, "tokens long, distinct long, once long, twice long", figures).agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "distinct", "once", "twice")]).first()
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold.modulus == fold.remainder, F.lit(False))
-    ends = documents.where(~held_out).count()
-    return Totals(sums[0] + ends, sums[1] + bool(ends), sums[2], sums[3], ends)
+    return vocabulary.mapInArrow(run, "word binary, n long, log_p double")
 
 
-def _score(block: pa.Table, answers: pa.Table, fold: Fold, totals: Totals, pieces: list, log_p: np.ndarray) -> pa.Table:
+def _score(block: pa.Table, known: pa.Table, fold: Fold, totals: Totals) -> pa.Table:
     if not block.num_rows:
         return exchange.to_table([], SCORED)
     words, ids = Words(block), block["doc_id"].to_pylist()
-    keys, counts = exchange.received(answers, 1, np.dtype("<u8"))
-    count = exchange.look_up(keys, counts & ~OWN, words.keys, 0).astype(np.float64)
+    place = known["place"].to_numpy()
+    count, log_p = np.zeros(len(words.names)), np.zeros(len(words.names))
+    count[place], log_p[place] = known["n"].to_numpy(), known["log_p"].to_numpy()
     n, v = totals.tokens, totals.distinct
     base = np.log10((count + 1) / (n + v + 1))
-    spelt = np.exp(Lattice(pieces, log_p).log_likelihood(words.names)) if words.names else np.empty(0)
-    kept, left = np.maximum(count - totals.discount, 0) / max(n, 1), totals.discount * v / n if n else 1.0
-    own = np.log10(np.maximum(kept + left * spelt, 1e-300))
     end = math.log10((totals.ends + 1) / (n + v + 1))
     add = lambda x: np.bincount(words.owner, weights=x[words.uses], minlength=len(ids)) if len(words.uses) else np.zeros(len(ids))
     columns = (
@@ -195,23 +167,22 @@ def _score(block: pa.Table, answers: pa.Table, fold: Fold, totals: Totals, piece
         (add((count > 0).astype(np.float64)).astype(np.int64) + bool(totals.ends)).tolist(),
         [n] * len(ids),
         (add(base) + end).tolist(),
-        (add(own) + end).tolist(),
+        (add(log_p / math.log(10)) + end).tolist(),
     )
     return exchange.to_table(list(zip(*columns, strict=True)), SCORED)
 
 
-def score_texts(documents: DataFrame, fold: Fold = Fold(), vocabulary: str = PIECES, local_rounds: int = 2) -> DataFrame:
-    """SCORED rows of every document."""
+def score_texts(documents: DataFrame, fold: Fold = Fold(), vocabulary: str = PIECES, prior_uses: float | None = None) -> DataFrame:
+    """SCORED rows of every document. prior_uses: one for each piece, if none are given."""
     spark = documents.sparkSession
     pieces, log_p = read_pieces(vocabulary)
-    blocks, n = exchange.blocked(documents)
-    sent = blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _send(b, n, fold)), exchange.SENT)
-    path = new_path(spark, "counts")
-    exchange.reduce_ranges(sent, n, _resolve, _stats).write.parquet(path)
-    answers = spark.read.parquet(path)
-    totals = gathered(answers, documents, fold)
-    about = answers.where(F.col("kind") == 1).groupBy("block")
+    blocks, _ = exchange.blocked(documents, least=LEAST_BLOCK)
     path = new_path(spark, "words")
-    blocks.groupBy("block").cogroup(about).applyInArrow(_own_words, "word binary").write.parquet(path)
-    log_p = learned(spark.read.parquet(path), pieces, log_p, local_rounds)
-    return blocks.groupBy("block").cogroup(about).applyInArrow(lambda b, a: _score(b, a, fold, totals, pieces, log_p), SCORED)
+    blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _counted(b, fold)), WORDS).write.parquet(path)
+    words = spark.read.parquet(path)
+    distinct = cut(words.groupBy("word").agg(F.sum("n").alias("n")))
+    totals = gathered(distinct, documents, fold)
+    log_p = adjusted(distinct.where("n > 0").select("word"), pieces, log_p, len(pieces) if prior_uses is None else prior_uses)
+    known = words.select("block", "place", "word").join(_spelled(distinct, pieces, log_p, totals), "word").select("block", "place", "n", "log_p")
+    score = exchange.two_arguments(lambda b, k: _score(b, k, fold, totals))
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, SCORED)

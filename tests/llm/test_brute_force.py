@@ -245,6 +245,7 @@ def test_samples_estimate_similarity():
 
 
 def test_lm_scores(spark, texts):
+    """Every column against a plain computation with dictionaries and a recursion over each word."""
     rows = {r["doc_id"]: r for r in queries()["op8_lm_score"](spark, SF).collect()}
     held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
     count = Counter()
@@ -252,13 +253,50 @@ def test_lm_scores(spark, texts):
         if not held(i):
             count.update([*t.encode().lower().split(), None])
     n, v = sum(count.values()), len(count)
+    pieces, log_p = lattice.read_pieces()
+    place = {p: k for k, p in enumerate(pieces)}
+    longest = max(len(p) for p in pieces if isinstance(p, bytes))
+
+    def arcs(word):
+        x = lattice.MARK + word
+        for end in range(3, len(x) + 1):
+            for start in [0, *range(3, end)]:
+                if end - start <= longest and (k := place.get(x[start:end])) is not None:
+                    yield start, end, k
+            if end > 3 and (k := place.get(x[end - 1])) is not None:
+                yield end - 1, end, k
+
+    def sums(word, log_p):
+        alpha = {0: 0.0}
+        for start, end, k in arcs(word):
+            if start in alpha:
+                alpha[end] = np.logaddexp(alpha.get(end, -np.inf), alpha[start] + log_p[k])
+        return alpha
+
+    used = np.zeros(len(pieces))
+    for word in (w for w in count if w is not None):
+        alpha, beta, size = sums(word, log_p), {len(word) + 3: 0.0}, len(word) + 3
+        for start, end, k in sorted(arcs(word), key=lambda a: -a[0]):
+            if start in alpha and end in beta:
+                used[k] += math.exp(alpha[start] + log_p[k] + beta[end] - alpha[size])
+                beta[start] = np.logaddexp(beta.get(start, -np.inf), log_p[k] + beta[end])
+    prior = len(pieces) * np.exp(log_p) + used
+    log_p = np.log(prior / prior.sum())
+    ones, twos = (sum(c == k for w, c in count.items() if w is not None) for k in (1, 2))
+    d = ones / (ones + 2 * twos)
+    end = math.log10((count[None] + 1) / (n + v + 1))
+
+    def scored(word):
+        spelled = math.log(d * v / n) + sums(word, log_p)[len(word) + 3]
+        return np.logaddexp(math.log(max(count[word] - d, 1e-300) / n), spelled) / math.log(10)
+
     for i, t in texts.items():
-        words = [*t.encode().lower().split(), None]
-        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words)
+        words = t.encode().lower().split()
+        base = sum(math.log10((count[w] + 1) / (n + v + 1)) for w in words) + end
         r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(words), sum(count[w] > 0 for w in words), n)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(words) + 1, sum(count[w] > 0 for w in words) + 1, n)
         assert abs(r["base_score"] - base) < 1e-6 * abs(base)
-        assert r["score"] < 0
+        assert abs(r["score"] - sum(map(scored, words)) - end) < 1e-6 * abs(r["score"])
 
 
 def test_marginals_sum_all_segmentations():
@@ -273,18 +311,19 @@ def test_marginals_sum_all_segmentations():
 
     model = lattice.Lattice(pieces, log_p)
     words = [b"abc", b"a", b"zz", b"", b"bcb"]
+    assert all(abs(model._along(np.frombuffer(lattice.MARK + w, np.uint8))[1][-1] - model.log_likelihood([w])[0]) < 1e-12 for w in words)
     assert np.allclose(np.exp(model.log_likelihood(words)), [total(lattice.MARK + w, True) for w in words])
 
 
 def test_expected_counts_add_up():
     pieces, log_p = lattice.read_pieces()
     model = lattice.Lattice(pieces, log_p)
-    words = [b"walking", "éçqueê".encode(), b"the"]
+    words = [b"walking", "éçqueê".encode(), b"the" * 40]
     times = np.array([1.0, 2.0, 3.0])
     used = model.expected_counts(words, times)
     length = np.array([1 if isinstance(p, int) else len(p) for p in pieces])
     assert abs((used * length).sum() - sum(t * (len(w) + 3) for w, t in zip(words, (1, 2, 3), strict=True))) < 1e-6
-    better = lattice.Lattice(pieces, lattice.reestimated(used, floor=1e-9))
+    better = lattice.Lattice(pieces, lattice.reestimated(log_p, used, prior_uses=1e-9))
     assert (times * better.log_likelihood(words)).sum() > (times * model.log_likelihood(words)).sum()
 
 
