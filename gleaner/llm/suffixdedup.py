@@ -1,20 +1,25 @@
-"""Exact removal of repeated substrings by sparse prefix doubling.
+"""Exact removal of repeated substrings by distributed prefix doubling from sparse positions.
 
 Every byte covered by a ``threshold``-byte string that starts at two places, in whatever documents, is removed. Prefix
-doubling ranks positions by the string of some length that starts there, and gets the ranks of twice the length from
-the pair of ranks at a position and at that offset. Positions whose rank is unique drop out; at the threshold the
-positions that still share a rank are the repeated ones. Done for every byte this moves the text many times over, so
-positions stand for their neighbours until that can hide a repeat:
-
-1. Rank of ``threshold / 2`` bytes. Of the positions in a threshold-long string only the one with the least hash counts
-   (winnowing), so equal strings choose equal positions and share a rank. Starts that choose the same position form a
-   run. Spark sorts the ranks of all runs of the corpus; runs with a unique rank drop out.
-2. Pair of that rank with the whole string the run's starts cover, sorted in the same exchange. Runs that share the pair
-   repeat entirely. Of each such run one stays on, since others may share a part of it.
-3. The rank pairs of the positions in the runs that are left: half-threshold ranks at p and at p + threshold / 2. Spark
-   sorts them; pairs seen twice are the repeated strings. The threshold is reached.
-
-Ranks are 48 to 64-bit hashes, not numbers, so no step waits for a global order.
+doubling ranks positions by the string of some length that starts there, and gets the ranks of twice the length from the
+pair of ranks at a position and at an offset. Spark sorts the pairs, equal pairs get one rank, and positions whose pair is
+unique drop out; offsets grow until the threshold is passed.
+
+A prefilter comes first, because ranking every byte would move the text many times over: of each threshold-long string
+only the position with the least hash of threshold / 2 bytes stands for it (winnowing), so equal strings choose equal
+positions, about one in threshold / 4 bytes. Starts that choose the same position form a run; what the run's strings cover
+is its content.
+
+1. At the chosen positions the first ranks are hashes of an eighth of the threshold, at four offsets. Spark sorts the pairs
+   at the small offset, then the pairs of the new ranks at twice the offset. Positions still not unique share a string of
+   half the threshold.
+2. Spark sorts the runs of those positions by rank and content. Runs that share both repeat entirely. Where a rank has
+   several contents, or its string stands in a run twice, one run of each content has to show its starts.
+3. Those starts pair the half-threshold rank at p with the one at p + threshold / 2; pairs seen twice are repeats.
+
+Only the first ranks and contents are hashes (a rank of half the threshold compares 256 bits, a content 64 more, a pair of
+starts 128); the ranks of later rounds are places in Spark's order. A key has one row a block at most, except for contents,
+whose order is cut at will: a rank cut between two tasks simply shows its starts.
 
 Defined results: null text counts as empty; texts shorter than the threshold keep every byte; equal rows repeat each
 other; no rows give no rows; other columns are ignored.
@@ -26,16 +31,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
 from gleaner.llm.bytetools import groups_of, joined, mix, powers, prefix, span_hash
+from gleaner.llm.common import cut, new_path
 
 BATCH = 1 << 19
-BITS = 48
 LONGEST_RUN = 256
 RESOLVED, SUPPLIES = 1, 2
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+RUNS = "id long, content long, n long, periodic boolean, uses long, k0 long, k1 long, k2 long, k3 long"
+RANKED = "id long, side int, rank long, uses long"
+JUDGED = "block int, content long, flags int"
 
 
 class Ranks:
@@ -49,6 +59,7 @@ class Ranks:
         if n < threshold:
             self.first = self.stop = np.empty(0, dtype=np.int64)
             self.rank = self.v = self.content = np.empty(0, dtype=np.uint64)
+            self.leaves = np.empty((4, 0), dtype=np.uint64)
             self.periodic = np.empty(0, dtype=bool)
             return
         self.rank = mix((sums[k:] - sums[:-k]) * powers(n + 1)[1][: n - k + 1])
@@ -77,28 +88,31 @@ class Ranks:
             first, stop = np.repeat(first, pieces) + nth * LONGEST_RUN, np.repeat(stop, pieces)
             stop = np.minimum(first + LONGEST_RUN, stop)
         self.first, self.stop = first, stop
-        least = low[first]
-        self.v = least >> np.uint64(64 - BITS)
+        self.v = low[first]
         self.content = span_hash(sums, first, stop + (threshold - 1))
-        self.periodic = self._periodic(least, width)
+        place, self.periodic = self._chosen(width)
+        quarter = -(-k // 2)
+        size = -(-quarter // 2)
+        self.leaves = np.stack([span_hash(sums, place + at, place + at + size) for at in (0, quarter - size, k - quarter, k - size)])
 
-    def _periodic(self, least: np.ndarray, width: int) -> np.ndarray:
-        """Runs in which the least hash stands at more than one position: their starts may repeat within the run."""
+    def _chosen(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen position of each run, and whether its hash stands at more than one: starts may repeat within the run."""
         window = np.lib.stride_tricks.sliding_window_view(self.rank, width)
-        out = np.empty(len(least), dtype=bool)
-        for at in range(0, len(least), 2048):
+        place, periodic = np.empty(len(self.v), dtype=np.int64), np.empty(len(self.v), dtype=bool)
+        for at in range(0, len(self.v), 2048):
             part = slice(at, at + 2048)
-            left = (window[self.first[part]] == least[part, None]).argmax(axis=1) + self.first[part]
-            right = width - 1 - (window[self.stop[part] - 1][:, ::-1] == least[part, None]).argmax(axis=1) + self.stop[part] - 1
-            out[part] = left != right
-        return out
-
-    def pairs(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts in the given runs, and the pair of half-threshold ranks of each as one key."""
+            least = self.v[part, None]
+            place[part] = (window[self.first[part]] == least).argmax(axis=1) + self.first[part]
+            last = width - 1 - (window[self.stop[part] - 1][:, ::-1] == least).argmax(axis=1) + self.stop[part] - 1
+            periodic[part] = place[part] != last
+        return place, periodic
+
+    def pairs(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts in the given runs, the pair of half-threshold ranks of each as one key, and the first rank, which makes the key one-to-one."""
         size = self.stop[runs] - self.first[runs]
         starts = np.repeat(self.first[runs] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        key = mix(self.rank[starts] * np.uint64(3) + mix(self.rank[starts + self.half]))
-        return starts, key
+        own = self.rank[starts]
+        return starts, mix(own * np.uint64(3) + mix(self.rank[starts + self.half])), own
 
 
 def _batches(block: pa.Table, threshold: int):
@@ -107,78 +121,143 @@ def _batches(block: pa.Table, threshold: int):
         yield lo, hi, texts[lo:hi], Ranks(texts[lo:hi], threshold)
 
 
-def _send_runs(block: pa.Table, ranges: int, threshold: int) -> pa.Table:
-    if not block.num_rows:
-        return exchange.to_table([], exchange.SENT)
-    v, content, periodic = [], [], []
-    for _, _, _, ranks in _batches(block, threshold):
-        v.append(ranks.v)
-        content.append(ranks.content)
-        periodic.append(ranks.periodic)
-    v, content, periodic = np.concatenate(v), np.concatenate(content), np.concatenate(periodic)
-    order = np.lexsort((content, v))
-    v, content, periodic = v[order], content[order], periodic[order]
-    if not len(v):
-        return exchange.to_table([], exchange.SENT)
-    head = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (content[1:] != content[:-1])]))
-    count = np.minimum(np.diff(np.append(head, len(v))), 127) | (np.logical_or.reduceat(periodic, head).astype(np.int64) << 7)
-    rows = exchange.send(block["block"][0].as_py(), v[head], count, ranges, BITS, content[head])
-    return exchange.to_table(rows, exchange.SENT)
+def _runs(block: pa.Table, threshold: int) -> pa.Table:
+    """RUNS rows: the distinct runs of a block by half-threshold string (id) and content.
 
-
-def _resolve_runs(entries: list[exchange.Entry]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Which contents repeat entirely and which must supply their starts; unique ranks get no answer."""
-    blocks, v, count = exchange.join_entries(entries)
-    if not len(v):
-        return []
-    content = np.concatenate([np.frombuffer(e[3], dtype=np.uint64) for e in entries])
-    order = np.lexsort((blocks, content, v))
-    blocks, v, content, count = blocks[order], v[order], content[order], count[order]
-    periodic, count = count >> 7, count & 127
+    The first of an id has its first ranks and its uses, two or more for each run that holds the string more than once.
+    """
+    schema = exchange.arrow_schema(RUNS)
+    parts = [(r.v, r.content, r.periodic, r.leaves) for _, _, _, r in _batches(block, threshold)]
+    if not sum(len(p[0]) for p in parts):
+        return schema.empty_table()
+    v, content, periodic, leaves = (np.concatenate(c, axis=-1) for c in zip(*parts, strict=True))
+    order = np.lexsort((content, v))
+    v, content, periodic, leaves = v[order], content[order], periodic[order], leaves[:, order]
     new_v = np.concatenate([[True], v[1:] != v[:-1]])
-    new_c = new_v | np.concatenate([[True], content[1:] != content[:-1]])
-    head_v, head_c = np.flatnonzero(new_v), np.flatnonzero(new_c)
-    of_v, of_c = np.cumsum(new_v) - 1, np.cumsum(new_c) - 1
-    many_contents = np.add.reduceat(new_c.astype(np.int64), head_v) > 1
-    doubtful = (many_contents | (np.add.reduceat(periodic, head_v) > 0))[of_v]
-    resolved = (np.add.reduceat(count, head_c) > 1)[of_c]
-    flags = (resolved * RESOLVED + (doubtful & new_c) * SUPPLIES).astype(np.uint8)
-    told = flags > 0
-    return exchange.split_by_block(blocks[told], content[told], flags[told])
-
-
-def _send_pairs(block: pa.Table, answers: pa.Table, ranges: int, threshold: int) -> pa.Table:
+    head = np.flatnonzero(new_v | np.concatenate([[True], content[1:] != content[:-1]]))
+    head_v = np.flatnonzero(new_v)
+    uses = np.zeros(len(v), dtype=np.int64)
+    uses[head_v] = np.add.reduceat(1 + periodic.astype(np.int64), head_v)
+    ids = (np.int64(block["block"][0].as_py()) << np.int64(32)) + np.cumsum(new_v) - 1
+    n = np.diff(np.append(head, len(v)))
+    columns = [ids[head], content[head].view(np.int64), n, np.logical_or.reduceat(periodic, head), uses[head], *leaves[:, head].view(np.int64)]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _whole_groups(batches, keys: int):
+    """Columns of sorted rows in pieces that cut no group of equal first columns, and whether a piece is the first and the last."""
+    held, first = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        columns = columns if held is None else [np.concatenate(c) for c in zip(held, columns, strict=True)]
+        other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in columns[:keys]]))
+        end = int(other[-1]) + 1 if len(other) else 0
+        if end:
+            yield [c[:end] for c in columns], first, False
+            first = False
+        held = [c[end:] for c in columns]
+    if held is not None:
+        yield held, first, True
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+
+def _rerank(batches):
+    """Sorted (hi, lo, id, side, uses) -> RANKED: the place of each pair in the order, without pairs used once."""
+    base = TaskContext.get().partitionId() << 40
+    for (hi, lo, ids, side, uses), _, _ in _whole_groups(batches, 2):
+        new = _heads(hi, lo)
+        group = np.cumsum(new) - 1
+        keep = (np.add.reduceat(uses, np.flatnonzero(new)) > 1)[group]
+        columns = [ids[keep], side[keep].astype(np.int32), base + group[keep], uses[keep]]
+        base += int(group[-1]) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=exchange.arrow_schema(RANKED))
+
+
+def _sorted_ranks(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.select("hi", "lo", "id", "side", "uses")
+    return pairs.repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo").mapInArrow(_rerank, RANKED)
+
+
+def _judge(batches):
+    """Sorted (rank, content, id, n, periodic) -> JUDGED: contents that repeat entirely and those that show their starts."""
+    for (rank, content, ids, n, periodic), first, last in _whole_groups(batches, 1):
+        new_rank = _heads(rank)
+        new = new_rank | _heads(content)
+        head_rank, head, of_rank, of = np.flatnonzero(new_rank), np.flatnonzero(new), np.cumsum(new_rank) - 1, np.cumsum(new) - 1
+        doubtful = (np.add.reduceat(new.astype(np.int64), head_rank) > 1) | np.logical_or.reduceat(periodic, head_rank)
+        if first:
+            doubtful[0] = True
+        if last:
+            doubtful[-1] = True
+        flags = (np.add.reduceat(n, head) > 1)[of] * RESOLVED + (doubtful[of_rank] & new) * SUPPLIES
+        told = flags > 0
+        columns = [(ids[told] >> 32).astype(np.int32), content[told], flags[told].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=exchange.arrow_schema(JUDGED))
+
+
+def judged_runs(runs: DataFrame) -> DataFrame:
+    """JUDGED rows of RUNS rows, by two rounds of doubling and one sort of contents."""
+    nodes = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"k{2 * i}").alias("hi"), F.col(f"k{2 * i + 1}").alias("lo")) for i in range(2)])
+    ranked = cut(_sorted_ranks(runs.where("uses > 0").select("id", "uses", F.inline(nodes))))
+    side = lambda i: F.max(F.when(F.col("side") == i, F.col("rank")))
+    pairs = ranked.groupBy("id").agg(side(0).alias("hi"), side(1).alias("lo"), F.max("uses").alias("uses")).where("hi is not null and lo is not null")
+    alive = cut(_sorted_ranks(cut(pairs.withColumn("side", F.lit(0)))))
+    rows = cut(runs.select("id", "content", "n", "periodic").join(alive.select("id", "rank"), "id").select("rank", "content", "id", "n", "periodic"))
+    return rows.repartitionByRange("rank", "content").sortWithinPartitions("rank", "content").mapInArrow(_judge, JUDGED)
+
+
+def _told(judged: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Contents of a block, sorted, and their flags."""
+    content = judged["content"].to_numpy().view(np.uint64)
+    order = np.argsort(content)
+    return content[order], judged["flags"].to_numpy()[order].astype(np.uint8)
+
+
+def _send_pairs(block: pa.Table, judged: pa.Table, ranges: int, threshold: int) -> pa.Table:
     if not block.num_rows:
         return exchange.to_table([], exchange.SENT)
     number = block["block"][0].as_py()
-    content, flags = exchange.received(answers, 1, np.uint8)
-    keys, done = [], np.empty(0, dtype=np.uint64)
+    content, flags = _told(judged)
+    keys, owns, done = [], [], np.empty(0, dtype=np.uint64)
     for _, _, _, ranks in _batches(block, threshold):
         told = exchange.look_up(content, flags, ranks.content, 0)
         supplies = np.flatnonzero(told & SUPPLIES)
         fresh, at = np.unique(ranks.content[supplies], return_index=True)  # one copy of a content speaks for all
         fresh_at = at[~np.isin(fresh, done)]
         done = np.union1d(done, fresh)
-        keys.append(ranks.pairs(supplies[fresh_at])[1])
-    found, count = np.unique(np.concatenate(keys), return_counts=True)
-    rows = exchange.send(number, found, count, ranges, 64) if len(found) else []
+        _, key, own = ranks.pairs(supplies[fresh_at])
+        keys.append(key)
+        owns.append(own)
+    key, own = np.concatenate(keys), np.concatenate(owns)
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    head = np.flatnonzero(_heads(key, own)) if len(key) else np.empty(0, dtype=np.int64)
+    rows = exchange.send(number, key[head], np.diff(np.append(head, len(key))), ranges, 64, own[head]) if len(key) else []
     if len(content):
         rows.append(exchange.hand_through(number, content, flags, ranges))
     return exchange.to_table(rows, exchange.SENT)
 
 
 def _resolve_pairs(entries: list[exchange.Entry]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """The pairs that stand at two starts, as key and first rank."""
     blocks, keys, count = exchange.join_entries(entries)
     if not len(keys):
         return []
-    order = np.argsort(keys, kind="stable")
-    blocks, keys, count = blocks[order], keys[order], count[order]
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
+    own = np.concatenate([np.frombuffer(e[3], dtype=np.uint64) for e in entries])
+    order = np.lexsort((own, keys))
+    blocks, keys, own, count = blocks[order], keys[order], own[order], count[order]
+    new = _heads(keys, own)
     twice = (np.add.reduceat(count, np.flatnonzero(new)) > 1)[np.cumsum(new) - 1]
-    return exchange.split_by_block(blocks[twice], keys[twice], np.ones(int(twice.sum()), dtype=np.uint8))
+    return exchange.split_by_block(blocks[twice], keys[twice], own[twice])
 
 
-def repeated_starts(ranks: Ranks, content: np.ndarray, flags: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def repeated_starts(ranks: Ranks, content: np.ndarray, flags: np.ndarray, pairs: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Whether the threshold-long string that starts at each position of the batch repeats."""
     out = np.zeros(len(ranks.data) + 1, dtype=bool)
     if not len(ranks.first):
@@ -187,8 +266,10 @@ def repeated_starts(ranks: Ranks, content: np.ndarray, flags: np.ndarray, pairs:
     whole = np.flatnonzero(told & RESOLVED)
     size = ranks.stop[whole] - ranks.first[whole]
     out[np.repeat(ranks.first[whole] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = True
-    starts, keys = ranks.pairs(np.flatnonzero(told == SUPPLIES))
-    out[starts[exchange.look_up(pairs, np.ones(len(pairs), dtype=np.uint8), keys, 0) > 0]] = True
+    starts, keys, own = ranks.pairs(np.flatnonzero(told == SUPPLIES))
+    if len(pairs):
+        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        out[starts[(pairs[at] == keys) & (first[at] == own)]] = True
     return out
 
 
@@ -201,10 +282,10 @@ def covered(starts: np.ndarray, threshold: int) -> np.ndarray:
 
 def _apply(block: pa.Table, answers: pa.Table, threshold: int, emit, ddl: str) -> pa.Table:
     content, flags = exchange.received(answers, 0, np.uint8)
-    pairs, _ = exchange.received(answers, 1, np.uint8)
+    pairs, first = exchange.received(answers, 1, np.uint64)
     ids, rows = block["doc_id"].to_pylist(), []
     for lo, hi, texts, ranks in _batches(block, threshold):
-        gone = covered(repeated_starts(ranks, content, flags, pairs), threshold)
+        gone = covered(repeated_starts(ranks, content, flags, pairs, first), threshold)
         for doc_id, text, a, b in zip(ids[lo:hi], texts, ranks.starts.tolist(), ranks.ends.tolist(), strict=True):
             rows.append(emit(doc_id, text, gone[a:b], ranks.data[a:b]))
     return exchange.to_table(rows, ddl)
@@ -214,7 +295,7 @@ def _digest(doc_id, text: bytes, gone: np.ndarray, data: np.ndarray) -> tuple:
     removed = int(gone.sum())
     spans = int((gone[1:] & ~gone[:-1]).sum()) + bool(len(gone) and gone[0])
     kept = data[~gone].tobytes() if removed else text
-    return doc_id, len(text), removed, spans, hashlib.sha256(kept).hexdigest()
+    return doc_id, len(text), removed, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
 
 def _kept_text(doc_id, text: bytes, gone: np.ndarray, data: np.ndarray) -> tuple:
@@ -224,16 +305,20 @@ def _kept_text(doc_id, text: bytes, gone: np.ndarray, data: np.ndarray) -> tuple
 
 def _chain(documents: DataFrame, threshold: int, emit, ddl: str) -> DataFrame:
     blocks, n = exchange.blocked(documents)
-    runs = blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _send_runs(b, n, threshold)), exchange.SENT)
-    about_runs = exchange.reduce_ranges(runs, n, _resolve_runs)
-    meet = lambda answers, f, schema: blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(f, schema)
-    pairs = meet(about_runs, lambda b, a: _send_pairs(b, a, n, threshold), exchange.SENT)
+    path = new_path(documents.sparkSession, "runs")
+    blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _runs(b, threshold)), RUNS).write.parquet(path)
+    judged = judged_runs(documents.sparkSession.read.parquet(path))
+
+    def meet(answers: DataFrame, f, schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(exchange.two_arguments(f), schema)
+
+    pairs = meet(judged, lambda b, a: _send_pairs(b, a, n, threshold), exchange.SENT)
     about_pairs = exchange.reduce_ranges(pairs, n, _resolve_pairs)
     return meet(about_pairs, lambda b, a: _apply(b, a, threshold, emit, ddl), ddl)
 
 
 def removal_digests(documents: DataFrame, threshold: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and the text that is left, without characters cut in two."""
     return _chain(documents, threshold, _digest, OUT)
 
 
