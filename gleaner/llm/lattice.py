@@ -16,7 +16,8 @@ import numpy as np
 
 MARK = "▁".encode()
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_FILTER_BITS = 20
+_FILTER_BITS = 21
+_PREFIX, _PIECE = 1, 2
 PIECES = "piece_bpe_32k.model"
 LOG_ZERO = -1e30
 LONG = 64
@@ -54,18 +55,21 @@ def read_pieces(vocabulary: str = PIECES) -> tuple[list[bytes | int], np.ndarray
     return pieces, log_weight - np.log(np.exp(log_weight).sum())
 
 
-def _hash(piece: bytes) -> int:
-    h = 0
+def _prefix_hashes(piece: bytes) -> list[int]:
+    """Hashes of the first byte, the first two, and so on to the whole piece."""
+    out, h = [], 0
     for b in piece:
         h = (h * int(_BASE) + b + 1) & ((1 << 64) - 1)
-    return h
+        out.append(h)
+    return out
 
 
 class Lattice:
     def __init__(self, pieces: list[bytes | int], log_p: np.ndarray):
         self.log_p = np.asarray(log_p, dtype=np.float64)
         text = [i for i, p in enumerate(pieces) if isinstance(p, bytes)]
-        hashes = np.array([_hash(pieces[i]) for i in text], dtype=np.uint64)
+        prefixes = [_prefix_hashes(pieces[i]) for i in text]
+        hashes = np.array([p[-1] for p in prefixes], dtype=np.uint64)
         order = np.argsort(hashes)
         self.keys, self.ids = hashes[order], np.array(text, dtype=np.int64)[order]
         self.byte_id = np.full(256, -1, dtype=np.int64)
@@ -73,8 +77,9 @@ class Lattice:
             if isinstance(p, int):
                 self.byte_id[p] = i
         self.longest = max((len(pieces[i]) for i in text), default=1)
-        self.present = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        self.present[self._slot(self.keys)] = True
+        self.filter = np.zeros(1 << _FILTER_BITS, dtype=np.uint8)
+        self.filter[self._slot(np.array([h for p in prefixes for h in p], dtype=np.uint64))] = _PREFIX
+        self.filter[self._slot(self.keys)] |= _PIECE
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -83,19 +88,24 @@ class Lattice:
     def _arcs(self, x: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, end, words, piece ids) of all arcs of words x [words, bytes], by end, then start."""
         n = x.shape[1]
-        codes = x.astype(np.uint64) + np.uint64(1)
+        codes = np.ascontiguousarray(x.T).astype(np.uint64) + np.uint64(1)
         found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for start in [0, *range(len(MARK), n)]:
-            h = np.zeros(len(x), dtype=np.uint64)
+            h, alive = np.zeros(len(x), dtype=np.uint64), np.arange(len(x))
             for end in range(start + 1, min(n, start + self.longest) + 1):
-                h = h * _BASE + codes[:, end - 1]
-                hit = np.flatnonzero(self.present[self._slot(h)])
+                h = h * _BASE + codes[end - 1][alive]
+                told = self.filter[self._slot(h)]
+                go_on = np.flatnonzero(told)  # others begin no piece
+                if not len(go_on):
+                    break
+                h, alive, told = h[go_on], alive[go_on], told[go_on]
+                hit = np.flatnonzero(told & _PIECE)
                 if not len(hit) or 0 < end < len(MARK):
                     continue
                 at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
                 same = self.keys[at] == h[hit]
                 if same.any():
-                    found[start, end] = hit[same], self.ids[at[same]]
+                    found[start, end] = alive[hit[same]], self.ids[at[same]]
         rows = np.arange(len(x))
         for end in range(len(MARK), n + 1):
             for start in range(max(0, end - self.longest), end):
@@ -130,7 +140,7 @@ class Lattice:
         starts, ends, ids = [np.arange(mark, n)], [np.arange(mark, n) + 1], [self.byte_id[x[mark:]]]
         for size in range(1, min(n, self.longest) + 1):
             h = h[: n - size + 1] * _BASE + codes[size - 1 :]
-            hit = np.flatnonzero(self.present[self._slot(h)])
+            hit = np.flatnonzero(self.filter[self._slot(h)] & _PIECE)
             hit = hit[((hit == 0) | (hit >= mark)) & (hit + size >= mark)]
             at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
             same = self.keys[at] == h[hit]
