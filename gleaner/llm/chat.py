@@ -73,45 +73,43 @@ def format_conversations(conversations: DataFrame, trainable: Sequence[str] = ("
     )
 
 
-def expand_targets(formatted: DataFrame, materialize: bool = False) -> DataFrame:
-    """One row a trainable turn: conv_id, seq, context_chars, loss_start, loss_end; with materialize also context and target."""
-    out = formatted.select("conv_id", *(["formatted"] if materialize else []), F.explode("examples").alias("e")).select(
-        "*", "e.*"
-    ).drop("e")
-    if not materialize:
-        return out
-    part = lambda start, end: F.substring(F.col("formatted"), (start + 1).cast("int"), (end - start).cast("int"))
-    return out.select(
-        "conv_id",
-        "seq",
-        "context_chars",
-        "loss_start",
-        "loss_end",
-        part(F.lit(0), F.col("context_chars")).alias("context"),
-        part(F.col("loss_start"), F.col("loss_end")).alias("target"),
-    )
+def _part(start: Column, end: Column) -> Column:
+    return F.substring(F.col("formatted"), (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def expand_targets(formatted: DataFrame, materialize: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+    """One row a trainable turn: conv_id, seq, context_chars, loss_start, loss_end, target; with materialize also context.
+
+    With columns to keep, a conversation without a trainable turn keeps one row of nulls beside them. A context that does
+    not end where its turn begins is an error.
+    """
+    explode = F.explode_outer if keep else F.explode
+    out = formatted.select("conv_id", *keep, "formatted", explode("examples").alias("e")).select("conv_id", *keep, "formatted", "e.*")
+    start = F.col("context_chars")
+    ends = (start == 0) | (_part(start - len(TURN_CLOSE), start) == TURN_CLOSE)
+    opens = _part(start, start + len(TURN_OPEN + ROLE_OPEN)) == TURN_OPEN + ROLE_OPEN
+    target = F.when(ends & opens, _part(F.col("loss_start"), F.col("loss_end"))).when(start.isNotNull(), F.raise_error(F.lit("a context ends inside a turn")))
+    context = [_part(F.lit(0), start).alias("context")] if materialize else []
+    return out.select("conv_id", *keep, "seq", "context_chars", "loss_start", "loss_end", target.alias("target"), *context)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Turns, and the texts under the loss mask, read from the formatted text: conv_id, turns (role, text), targets, formatted."""
+    """Turns read from the formatted text: conv_id, turns (role, text), formatted, examples."""
     pieces = F.split(F.col("formatted"), TURN_CLOSE)
     inner = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.substring(p, len(TURN_OPEN + ROLE_OPEN) + 1, F.length(p)))
     parts = F.transform(inner, lambda p: F.split(p, r"\[/ROLE\]", 2))
     turn = lambda p: F.struct(unescape(p[0]).alias("role"), unescape(p[1]).alias("text"))
-    masked = lambda e: F.substring(F.col("formatted"), (e["loss_start"] + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int"))
-    targets = F.transform("examples", lambda e: unescape(masked(e)))
-    return formatted.select("conv_id", "formatted", F.transform(parts, turn).alias("turns"), targets.alias("targets"))
+    return formatted.select("conv_id", "formatted", "examples", F.transform(parts, turn).alias("turns"))
 
 
-def digests(parsed: DataFrame) -> DataFrame:
-    """The digest columns of read_back's rows."""
+def digests(formatted: DataFrame) -> DataFrame:
+    """Digests of format_conversations' rows: the turns read back, and the targets of the expanded examples."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("targets", "")
-    return parsed.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
-    )
+    whole = [F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("formatted").cast("long").alias("formatted_chars")]
+    keep = ["n_turns", "turns_sha256", "formatted_chars"]
+    examples = expand_targets(read_back(formatted).select("conv_id", "formatted", "examples", *whole), keep=keep)
+    # Spark leaves nulls out of the list, so a conversation without examples has an empty one.
+    target = F.when(F.col("seq").isNotNull(), F.struct("seq", unescape(F.col("target")).alias("text")))
+    told = examples.groupBy("conv_id", *keep).agg(F.array_sort(F.collect_list(target)).alias("targets"))
+    loss = F.array_join(F.col("targets.text"), "")
+    return told.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")

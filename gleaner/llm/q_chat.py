@@ -15,7 +15,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = [F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role")) for i, role in enumerate(("user", "assistant"))]
     probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(F.array(*said)), F.lit(PROBE_TEXT).alias("text"))
-    return chat.digests(chat.read_back(chat.format_conversations(rows.unionByName(probe))))
+    return chat.digests(chat.format_conversations(rows.unionByName(probe)))
 
 
 ORACLE = r"""
