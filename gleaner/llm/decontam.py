@@ -12,11 +12,11 @@ item if ``least`` different windows of the item (all, if it has fewer) count.
 Template windows of placeholders alone are left out. The matched windows of a leak hold together ``LITERAL`` different
 words of the item that are no placeholders, or all the item has, and ``FEWEST`` at least; all words of a wording window
 count. So a question dense in numbers is found, but common phrases of few words and many numbers aren't. Items shorter
-than a window are looked up with windows of their own length, down to ``SHORTEST`` words; shorter ones cannot be told
-from common phrases and are left out.
+than a window are looked up with windows of their own length, down to ``SHORTEST`` words; shorter ones, which cannot be told
+from common phrases, are leaked by documents whose whole text has just their words.
 
 Defined results: null text counts as empty; the windows of a doc_id's rows count together, slots are compared by row; of
-the texts of a repeated item_id the best covered is given; a null item_id is kept as it is; no documents or no benchmark
+the texts of a repeated item_id the best covered is given; a null item_id is kept as it is; no documents, no benchmark and items without words
 give no rows; other columns are ignored.
 """
 
@@ -148,12 +148,23 @@ def _telling(n: int) -> Column:
     return F.size(F.array_distinct(F.flatten(each))) >= F.greatest(F.lit(FEWEST), F.least(F.lit(LITERAL), all_of_them))
 
 
+def _whole(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """Leaks of items of few words: documents with the same words and no others."""
+    run, gap = r"[\p{L}\p{N}][\p{L}\p{N}%.,]*+", r"[^\p{L}\p{N}]*+"
+    said = lambda table: F.array_join(plain(marked_words(table["text"])), " ").alias("said")
+    few = documents.where(F.col("text").rlike(rf"^{gap}(?:{run}{gap}){{1,{SHORTEST - 1}}}$"))  # at least those that can match
+    both = few.select("doc_id", said(few)).join(items.select("item_id", said(items)), "said")
+    one = F.lit(1).cast("long")
+    return both.select("doc_id", "item_id", one.alias("n_windows"), one.alias("item_windows"), F.lit(1.0).alias("coverage"), F.lit(False).alias("reparameterised"))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, item_id, n_windows, item_windows, coverage, reparameterised of every leak."""
     documents = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc_row"))
     size = F.size(marked_words(F.coalesce("text", F.lit(""))))
     items = benchmark.select("item_id", "text", F.xxhash64("item_id", "text").alias("item_row")).dropDuplicates(["item_row"])
-    items = cut(items.withColumn("n", F.least(size, F.lit(WORDS)).cast("int")).withColumn("item_windows", (size - F.col("n") + 1).cast("long")).where(F.col("n") >= SHORTEST))
+    items = cut(items.withColumn("n", F.least(size, F.lit(WORDS)).cast("int")).withColumn("item_windows", (size - F.col("n") + 1).cast("long")).where("n > 0"))
+    short, items = items.where(F.col("n") < SHORTEST), items.where(F.col("n") >= SHORTEST)
     sizes = [r["n"] for r in items.select("n").distinct().orderBy("n").collect()]  # at most WORDS - SHORTEST + 1 rows
     out = None
     for n in sizes or [WORDS]:
@@ -167,6 +178,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, least: int = 3) -> DataFra
         one = counted.join(about, "item_row").where((F.col("n_windows") >= F.least(F.lit(least), F.col("item_windows"))) & _telling(n))
         one = one.select("doc_id", "item_id", "n_windows", "item_windows", F.least(F.col("n_windows") / F.col("item_windows"), F.lit(1.0)).alias("coverage"), "reparameterised")
         out = one if out is None else out.unionByName(one)
+    if not short.isEmpty():
+        out = out.unionByName(_whole(documents, short))
     columns = ["coverage", "n_windows", "item_windows", "reparameterised"]
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct(*columns)).alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "best.reparameterised")

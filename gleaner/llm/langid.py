@@ -239,15 +239,21 @@ def training_sample(labelled: DataFrame, docs_per_language: int = 300, snippets:
     return [(r["lang"], r["snippet"]) for r in picked.collect()]
 
 
+def _bytes(text: str) -> bytes:
+    """UTF-8 with blanks for NUL, which marks where there is no text."""
+    return text.encode("utf-8").replace(b"\0", b" ")
+
+
 def fit(labelled: DataFrame, hidden: int = 8, **sample) -> Net | None:
     found = training_sample(labelled, **sample)
     if not found:
         return None
-    return train([s.encode("utf-8")[:192] for _, s in found], [v for v, _ in found], hidden=hidden)
+    return train([_bytes(s) for _, s in found], [v for v, _ in found], hidden=hidden)
 
 
 def identify(documents: DataFrame, net: Net | None, text: str = "text") -> DataFrame:
-    """documents with lang_pred and score; the text column alone decides them."""
+    """documents with lang_pred and score; the text column alone decides them. Input columns of these names are replaced."""
+    documents = documents.drop("lang_pred", "score", "_has_letter")
     known: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if net is None:
         return documents.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
@@ -258,7 +264,7 @@ def identify(documents: DataFrame, net: Net | None, text: str = "text") -> DataF
             has = np.array(batch.column(batch.num_columns - 1).to_pylist(), dtype=bool)
             values = batch.column(batch.schema.get_field_index(text))
             rows = np.flatnonzero(has)
-            texts = [values[int(i)].as_py().encode("utf-8") for i in rows]
+            texts = [_bytes(values[int(i)].as_py()) for i in rows]
             p = predict(net, texts) if texts else np.zeros((0, len(net.labels)))
             best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
             named, score = np.full(len(has), UND, dtype=object), np.zeros(len(has))

@@ -4,7 +4,8 @@ Documents become pieces of at most ``capacity`` tokens; only longer documents ar
 sequence each. The others are dealt to partitions by hash and packed there by best-fit decreasing. Dual feasible
 functions bound each partition's bins from below. Then every partition hands its loosest bins back, more of them the
 wider its gap, and the returned pieces meet in fewer partitions and are packed again, until the count reaches the
-bound over all pieces or one partition has seen the rest.
+bound over all pieces or one partition has seen the rest. If after ``max_rounds`` more is left than a partition takes, the
+last round packs it where it is, in as many partitions as it needs.
 
 Defined results: null text counts as empty, so its piece holds the end id alone; repeated rows are packed each;
 equal lengths are taken in doc_id and piece order; no rows give no sequences; other columns are ignored.
@@ -132,8 +133,8 @@ def pack(rows: DataFrame, capacity: int = 4096, part_pieces: int = 20_000, sprea
     schema = f"{_PIECE}, part long, bin long, offset long, open boolean, gap long"
     packed = 0
     for turn in range(max_rounds):
-        parts = max(1, -(-left // part_pieces)) if turn + 1 < max_rounds else 1
-        last = parts == 1
+        parts = max(1, -(-left // part_pieces))
+        last = parts == 1 or turn + 1 == max_rounds
         dealt = todo.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start", "length", F.lit(turn)), F.lit(parts)).alias("part"))
 
         def run(group: pa.Table, last: bool = last) -> pa.Table:

@@ -119,7 +119,10 @@ def graded(labels: DataFrame, grade: Column) -> DataFrame:
 
 
 def fit(documents: DataFrame, grades: DataFrame, n_grades: int, train_docs: int = 16_000) -> Ordinal:
-    """grades(doc_id, grade) with grades from 0; only train_docs rows of features reach the driver."""
+    """grades(doc_id, grade) with grades from 0; only train_docs rows of features reach the driver.
+
+    Of the texts of a repeated doc_id the one with the least hash is learned.
+    """
     sample = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
 
     def run(batches):
@@ -129,8 +132,9 @@ def fit(documents: DataFrame, grades: DataFrame, n_grades: int, train_docs: int
             blobs = [ids[a:b].astype("<i4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], names=["grade", "ids"])
 
-    joined = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text")
-    rows = sorted((r["grade"], bytes(r["ids"])) for r in joined.mapInArrow(run, "grade int, ids binary").limit(2 * train_docs).collect())
+    joined = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade")
+    joined = joined.agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).select("grade", "least.text")
+    rows = sorted((r["grade"], bytes(r["ids"])) for r in joined.mapInArrow(run, "grade int, ids binary").collect())
     if not rows:
         return Ordinal(np.zeros(BUCKETS, np.float32), -np.log(n_grades / np.arange(1, n_grades) - 1))
     ids = np.concatenate([np.frombuffer(b, "<i4") for _, b in rows]).astype(np.int64)

@@ -5,8 +5,8 @@ value: magic, dictionary hash, the index (doc_id, null flag, token count and fra
 zstandard frame a document. Reading one document touches the index and its own frame. Segments and the dictionary
 are written and read by Spark, so they live in any store that Spark reaches.
 
-The dictionary is trained on a bounded sample of serialised id arrays (``dictionary_docs`` documents with the smallest
-hashes); without enough of them it is empty and frames stand alone.
+The dictionary is trained on a bounded sample of serialised id arrays: of the documents of up to ``dictionary_text_bytes``
+bytes the ``dictionary_docs`` with the smallest hashes. Without enough of them it is empty and frames stand alone.
 
 Defined results: null text counts as empty (only the end id); a null doc_id sorts first and is kept; rows with equal
 doc_id sort by text; no rows give no segments; other columns are ignored.
@@ -51,13 +51,13 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def train_dictionary(documents: DataFrame, vocabulary: str = WORD_BPE, dictionary_docs: int = 400, dictionary_bytes: int = 32 << 10) -> bytes:
+def train_dictionary(documents: DataFrame, vocabulary: str = WORD_BPE, dictionary_docs: int = 400, dictionary_bytes: int = 32 << 10, dictionary_text_bytes: int = 1 << 16) -> bytes:
     def run(batches):
         for batch in batches:
             ids = tokenizer(vocabulary).encode(_texts(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([_serialise(x) for x in ids], pa.binary())], names=["data"])
 
-    sample = documents.where(F.octet_length("text") <= 1 << 16).select("text").orderBy(F.xxhash64("text"), "text").limit(dictionary_docs)
+    sample = documents.where(F.octet_length("text") <= dictionary_text_bytes).select("text").orderBy(F.xxhash64("text"), "text").limit(dictionary_docs)
     found = [bytes(r["data"]) for r in sample.mapInArrow(run, "data binary").collect()]
     try:
         return zstandard.train_dictionary(dictionary_bytes, sorted(found)).as_bytes()

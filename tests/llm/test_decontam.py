@@ -45,6 +45,7 @@ def _brute_force(documents, items, least=3):
     for item_id, item, item_template in items:
         n = min(len(item), decontam.WORDS)
         if n < decontam.SHORTEST:
+            best |= {(doc_id, item_id): (1.0, 1, 1, False) for doc_id, doc, _ in documents if n and doc == item}
             continue
         total = len(item) - n + 1
         literal = {i for i in range(len(item)) if item_template[i] not in placeholders}
@@ -82,6 +83,9 @@ def test_leaks_are_those_of_a_brute_force_search(spark):
         return " ".join(word() if rng.random() < 0.04 else rng.choice("235789") if w.isdigit() and rng.random() < 0.6 else w for w in t.split())
 
     documents = [(i % 50, text(rng.randint(0, 5)) + " " + changed(rng.choice(items)[1] or "") + " " + text(rng.randint(0, 20))) for i in range(70)]
+    documents += [(70, f"The  {word()}!"), (71, "-- Tiny item."), (72, "tiny item more"), (None, "tiny ITEM")]
+    items += [(30, "tiny item"), (31, "12.5"), (32, "%")]
+    documents += [(73, " 12.5 "), (74, "% %")]
     documents += [(None, changed(TRAIN)), (None, None), (60, documents[0][1]), (60, documents[0][1])]
     docs, asked = spark.createDataFrame(documents, "id long, text string"), spark.createDataFrame(items, "id long, text string")
     sides = []

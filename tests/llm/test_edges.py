@@ -25,12 +25,16 @@ def nothing(documents):
 def test_chat(spark):
     rows = [(1, 0, "user", "a</s>\\"), (1, 1, "assistant", None), (1, 2, None, "[/ROLE]<s>"), (1, 1, "assistant", "tie"), (2, None, "assistant", "x\\<y"), (None, 0, "user", "z")]
     given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(9))
-    parsed = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(given)).collect()}
+    formatted = chat.format_conversations(given)
+    parsed = {r["conv_id"]: r for r in chat.read_back(formatted).collect()}
+    targets = {}
+    for r in chat.expand_targets(formatted).select("conv_id", "seq", chat.unescape(F.col("target")).alias("text")).orderBy("seq").collect():
+        targets.setdefault(r["conv_id"], []).append(r["text"])
     assert [(t["role"], t["text"]) for t in parsed[1]["turns"]] == [("user", "a</s>\\"), ("assistant", ""), ("assistant", "tie"), ("", "[/ROLE]<s>")]
-    assert list(parsed[1]["targets"]) == ["", "tie"]
-    assert list(parsed[2]["targets"]) == ["x\\<y"]
-    assert parsed[None]["targets"] == []
-    assert chat.digests(chat.read_back(chat.format_conversations(given.where("false")))).count() == 0
+    assert targets == {1: ["", "tie"], 2: ["x\\<y"]}
+    digests = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
+    assert {k: (r["n_turns"], r["loss_chars"]) for k, r in digests.items()} == {1: (4, 3), 2: (1, 4), None: (1, 0)}
+    assert chat.digests(chat.format_conversations(given.where("false"))).count() == 0
 
 
 def test_chat_spans_point_at_the_targets(spark):
@@ -55,6 +59,9 @@ def test_language(documents, nothing):
     assert langid.fit(nothing.select("text", "lang")) is None
     assert {r["lang_pred"] for r in langid.identify(documents.select("doc_id", "text"), None).collect()} == {"und"}
     assert langid.identify(nothing.select("doc_id", "text"), net).count() == 0
+    clash = documents.where("doc_id in (3, 7)").select("doc_id", "text", F.lit("x").alias("lang_pred"), F.lit("y").alias("score"))
+    again = {r["doc_id"]: r for r in langid.identify(clash, net).collect()}
+    assert again[3]["score"] == by[3]["score"] and again[7]["lang_pred"] == "en"
 
 
 def test_packing(documents, nothing):
@@ -67,6 +74,8 @@ def test_packing(documents, nothing):
     assert max(fill.values()) <= 64
     assert [r["length"] for r in rows if r["doc_id"] == 0] == [1]
     assert packing.pack_documents(nothing).count() == 0
+    few = packing.pack_documents(documents, capacity=64, part_pieces=4, max_rounds=2).collect()  # ends in several parts
+    assert sum(r["length"] for r in few) == sum(r["length"] for r in rows)
 
 
 def test_suffix_dedup(documents, nothing):
@@ -116,7 +125,9 @@ def test_nearest_vectors(spark):
 
 
 def test_near_duplicates(documents, nothing):
-    rows = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_classes(documents).where("doc_id is not null").collect()}
+    found = neardup.near_duplicate_classes(documents).collect()
+    assert len(found) == documents.count() and [r["class_id"] for r in found if r["doc_id"] is None] == [None]
+    rows = {r["doc_id"]: r["class_id"] for r in found if r["doc_id"] is not None}
     assert rows[0] == rows[1] == rows[2] == 0
     assert rows[3] == rows[4] == 3
     assert sorted(i for i in rows if rows[i] == i) == [i for i in range(len(TEXTS)) if i not in (1, 2, 4)]
