@@ -5,8 +5,9 @@ along the vector, so codebooks and codes minimise |r|^2 + (eta - 1) (r . x / |x|
 Codebooks are fitted on a bounded sample (``train_rows`` vectors with the smallest hashes); every vector is coded.
 
 A query's table has its products with all centroids. Rows and queries stand in blocks of fixed size; every block of
-queries scans every block of rows, two codes a byte looked up at once, and the best ``rerank`` rows of the block are
-scored exactly on the original vectors in double precision. Each block hands on its exact top k, and those meet by query.
+queries scans the codes of every block of rows, two codes a byte looked up at once, and hands on the ``rerank`` best. The
+``rerank`` best of all blocks are joined with the original vectors and scored exactly in double precision. Scans move
+codes, a byte for four components, and the queries; of the vectors only those of the shortlists are moved.
 
 Defined results: vectors that are null, zero, or hold a null, NaN or infinity take no part, as query or candidate, nor do
 vectors whose length is not the commonest one; equal scores go to the smaller vec_id; a null vec_id takes no part; rows
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import cut
 
 CENTROIDS = 16
-ROW_BLOCK, QUERY_BLOCK = 8192, 512
+ROW_BLOCK, QUERY_BLOCK = 1 << 15, 512
+ENCODED, TABLES = 4096, 32
 
 
 @dataclass
@@ -103,9 +105,9 @@ def train(x: np.ndarray, rounds: int = 6, threshold: float = 0.2, seed: int = 5)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding, in doubles, of the rows that take part."""
+    """vec_id and embedding of the rows that take part."""
     bad: Column = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = vectors.select("vec_id", "embedding")
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     rows = rows.where(~bad & F.exists("embedding", lambda v: v != 0))
     lengths = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -117,66 +119,90 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _in_blocks(rows: DataFrame, n: int, name: str, coder: Quantiser | None) -> DataFrame:
-    """One row a block: name, ids, vectors and (with a coder) packed codes as bytes."""
+def _coded(rows: DataFrame, n: int, coder: Quantiser) -> DataFrame:
+    """One row a block of rows: row_block, row and vec ids in order of vec_id, packed codes."""
 
     def run(group: pa.Table) -> pa.Table:
-        order = np.argsort(group["vec_id"].to_numpy(), kind="stable")
-        ids, x = group["vec_id"].to_numpy()[order], _matrix(group["embedding"])[order]
-        codes = packed(coder.encode(x)).T.tobytes() if coder else b""
-        return pa.table({name: pa.array([group["block"][0].as_py()], pa.int32()), "ids": [ids.astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "codes": [codes]})
+        group = group.sort_by([("vec_id", "ascending"), ("row_id", "ascending")])
+        ids, names, codes = [], [], []
+        for at in range(0, group.num_rows, ENCODED):
+            part = group.slice(at, ENCODED)
+            ids.append(part["row_id"].to_numpy())
+            names.append(part["vec_id"].to_numpy())
+            codes.append(packed(coder.encode(_matrix(part["embedding"]).astype(np.float64))))
+        blobs = [np.concatenate(ids).astype("<i8"), np.concatenate(names).astype("<i8"), np.ascontiguousarray(np.concatenate(codes).T)]
+        return pa.table({"row_block": pa.array([group["row_block"][0].as_py()], pa.int32()), **{k: [b.tobytes()] for k, b in zip(("rows", "ids", "codes"), blobs, strict=True)}})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(lambda g: run(g), f"{name} int, ids binary, vectors binary, codes binary")
+    dealt = rows.withColumn("row_block", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int"))
+    return dealt.groupBy("row_block").applyInArrow(lambda g: run(g), "row_block int, rows binary, ids binary, codes binary")
 
 
-def _scan(coder: Quantiser, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, k: int, rerank: int):
-    """(query ids, row ids, exact scores) of each query's best k rows of the block."""
-    out = []
+def _asked(rows: DataFrame, n: int) -> DataFrame:
+    """One row a block of queries: their row ids, vec ids and vectors in single precision."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = [group["row_id"].to_numpy().astype("<i8"), group["vec_id"].to_numpy().astype("<i8"), _matrix(group["embedding"]).astype("<f4")]
+        return pa.table({k: [b.tobytes()] for k, b in zip(("q_rows", "q_ids", "queries"), blobs, strict=True)})
+
+    dealt = rows.withColumn("query_block", F.pmod(F.xxhash64("row_id"), F.lit(n)).cast("int"))
+    return dealt.groupBy("query_block").applyInArrow(lambda g: run(g), "q_rows binary, q_ids binary, queries binary")
+
+
+def _scan(coder: Quantiser, q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, codes: np.ndarray, rerank: int):
+    """For each query the places of the block's best rows by their codes, and their rough scores."""
     near = min(len(ids), rerank + 1)
-    tables = coder.tables(queries)
-    for i, q in enumerate(queries):
-        rough = np.zeros(len(ids), dtype=np.float32)
-        for j, code in enumerate(codes):
-            rough += tables[i, j][code]
-        if near < len(ids):
-            # Rows as good as the last place are taken by id, so equal vectors leave the smallest ids.
-            last = np.partition(rough, len(ids) - near)[len(ids) - near]
-            picked = np.flatnonzero(rough > last)
-            picked = np.concatenate([picked, np.flatnonzero(rough == last)[: near - len(picked)]])
-        else:
-            picked = np.arange(len(ids))
-        picked = picked[ids[picked] != q_ids[i]]
-        score = (vectors[picked] * q).sum(axis=1)
-        best = np.lexsort((ids[picked], -score))[:k]
-        out.append((np.full(len(best), q_ids[i]), ids[picked[best]], score[best]))
-    return [np.concatenate(c) for c in zip(*out, strict=True)]
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 20, rerank: int = 160, train_rows: int = 3000) -> DataFrame:
+    for at in range(0, len(queries), TABLES):
+        for i, table in enumerate(coder.tables(queries[at : at + TABLES]), at):
+            rough = np.zeros(len(ids), dtype=np.float32)
+            for products, code in zip(table, codes, strict=True):
+                rough += products[code]
+            if near < len(ids):
+                # Rows as good as the last place are taken by id, so equal vectors leave the smallest ids.
+                last = np.partition(rough, len(ids) - near)[len(ids) - near]
+                picked = np.flatnonzero(rough > last)
+                picked = np.concatenate([picked, np.flatnonzero(rough == last)[: near - len(picked)]])
+            else:
+                picked = np.arange(len(ids))
+            picked = picked[ids[picked] != q_ids[i]]
+            yield i, picked, rough[picked]
+
+
+def _exact(batches):
+    """(query_row, query_id, vec_id, q, x) -> the same ids with the inner products in double precision."""
+    for batch in batches:
+        q, x = (_matrix(batch.column(i)).astype(np.float64) for i in (3, 4))
+        score = (q * x).sum(axis=1) if batch.num_rows else np.empty(0)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score, pa.float64())], names=["query_row", "query_id", "vec_id", "score"])
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, rerank: int = 240, train_rows: int = 3000) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best rows found."""
-    rows = cut(usable(vectors))
+    rows = cut(cut(usable(vectors)).withColumn("row_id", F.monotonically_increasing_id()))
     n_rows, n_queries = rows.count(), rows.where(is_query).count()
-    schema = "query_id long, vec_id long, score double"
     sample = [r["embedding"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train_rows).select("embedding").collect()]
     if not sample:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where(F.lit(False))
-    coder = train(np.array(sample))
+    coder = train(np.array(sample, dtype=np.float64))
     row_blocks, query_blocks = -(-n_rows // ROW_BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
-    base = _in_blocks(rows, row_blocks, "row_block", coder)
-    asked = _in_blocks(rows.where(is_query), query_blocks, "query_block", None)
-    asked = asked.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("row_block"))
-    work = base.repartition(row_blocks, "row_block").join(asked, "row_block").select("q_ids", "queries", "ids", "vectors", "codes")
+    asked = _asked(rows.where(is_query), query_blocks).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
+    work = cut(_coded(rows, row_blocks, coder)).join(asked, "row_block").select("q_rows", "q_ids", "queries", "rows", "ids", "codes")
     work = work.repartition(min(row_blocks * query_blocks, 100_000))
 
     def run(batches):
         for batch in batches:
-            for q_ids, queries, ids, x, codes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
-                queries, x = np.frombuffer(queries, "<f8").reshape(len(q_ids), -1), np.frombuffer(x, "<f8").reshape(len(ids), -1)
-                found = _scan(coder, q_ids, queries, ids, x, np.frombuffer(codes, np.uint8).reshape(-1, len(ids)), k, rerank)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
-
-    found = work.mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for row in range(batch.num_rows):
+                q_rows, q_ids, queries, own, ids, codes = (c[row].as_py() for c in batch.columns)
+                q_rows, q_ids, own, ids = (np.frombuffer(x, "<i8") for x in (q_rows, q_ids, own, ids))
+                queries, codes = np.frombuffer(queries, "<f4").reshape(len(q_ids), -1), np.frombuffer(codes, np.uint8).reshape(-1, len(ids))
+                found = [(np.full(len(at), q_rows[i]), own[at], ids[at], rough) for i, at, rough in _scan(coder, q_ids, queries, ids, codes, rerank)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_row", "row_id", "vec_id", "rough"])
+
+    rough = work.mapInArrow(run, "query_row long, row_id long, vec_id long, rough float")
+    best = Window.partitionBy("query_row").orderBy(F.desc("rough"), "vec_id", "row_id")
+    short = rough.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_row", "row_id")
+    theirs = rows.select("row_id", "vec_id", F.col("embedding").alias("x"))
+    own = rows.where(is_query).select(F.col("row_id").alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    both = short.join(theirs, "row_id").join(own, "query_row").select("query_row", "query_id", "vec_id", "q", "x")
+    scored = both.mapInArrow(_exact, "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
