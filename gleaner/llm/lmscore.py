@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
 from gleaner.llm.bytetools import groups_of, prefix, span_hash, word_spans
-from gleaner.llm.common import cut, new_path
+from gleaner.llm.common import new_path, written
 from gleaner.llm.lattice import PIECES, Lattice, read_pieces, reestimated
 
-BATCH, LEAST_BLOCK = 1 << 20, 8 << 20
+BATCH, LEAST_BLOCK = 1 << 20, 16 << 20
 WORDS = "block int, word binary, place int, n long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -177,10 +177,8 @@ def score_texts(documents: DataFrame, fold: Fold = Fold(), vocabulary: str = PIE
     spark = documents.sparkSession
     pieces, log_p = read_pieces(vocabulary)
     blocks, _ = exchange.blocked(documents, least=LEAST_BLOCK)
-    path = new_path(spark, "words")
-    blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _counted(b, fold)), WORDS).write.parquet(path)
-    words = spark.read.parquet(path)
-    distinct = cut(words.groupBy("word").agg(F.sum("n").alias("n")))
+    words = written(blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _counted(b, fold)), WORDS), new_path(spark, "words"))
+    distinct = written(words.groupBy("word").agg(F.sum("n").alias("n")), new_path(spark, "distinct"))
     totals = gathered(distinct, documents, fold)
     log_p = adjusted(distinct.where("n > 0").select("word"), pieces, log_p, len(pieces) if prior_uses is None else prior_uses)
     known = words.select("block", "place", "word").join(_spelled(distinct, pieces, log_p, totals), "word").select("block", "place", "n", "log_p")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
 from gleaner.llm.bytetools import groups_of, mix, pack_sorted, prefix, span_hash, unpack_sorted, word_spans
-from gleaner.llm.common import cut, new_path
+from gleaner.llm.common import cut, new_path, remove, written
 from gleaner.llm.components import components
 
 BITS = 48
@@ -318,13 +318,16 @@ def near_duplicate_classes(documents: DataFrame, threshold: float = 0.8) -> Data
     counts = blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _send_counts(b, n)), exchange.SENT)
     about = exchange.reduce_ranges(counts, n, _resolve_counts)
     sketch = exchange.two_arguments(lambda b, a: _sketch(b, a, n_docs, threshold))
-    path = new_path(spark, "sketches")
-    blocks.groupBy("block").cogroup(about.groupBy("block")).applyInArrow(sketch, SKETCH).write.parquet(path)
-    rows = spark.read.parquet(path)
+    paths = [new_path(spark, name) for name in ("sketches", "picked", "keys")]
+    rows = written(blocks.groupBy("block").cogroup(about.groupBy("block")).applyInArrow(sketch, SKETCH), paths[0])
     one = rows.where(F.col("shingles").isNotNull()).groupBy("key").agg(F.min("block").alias("block"))
     sketches = rows.where(F.col("shingles").isNotNull()).join(one, ["key", "block"]).select("key", "bands", "samples", "shingles", "weights")
+    sketches = written(sketches, paths[1])
+    rows = written(rows.select("doc_id", "key", "candidate"), paths[2])
     texts = rows.where("candidate").select("doc_id", "key")
-    named = texts.join(linked_texts(cut(sketches), threshold).withColumnRenamed("id", "key"), "key", "left")
+    found = linked_texts(sketches, threshold)
+    remove(spark, *paths[:2])
+    named = texts.join(found.withColumnRenamed("id", "key"), "key", "left")
     named = cut(named.select("doc_id", F.coalesce("component", "key").alias("component")))
     least = cut(named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     named = named.join(least, "component").select("doc_id", "class_id", "class_size")

@@ -17,8 +17,8 @@ is its content.
    several contents, or its string stands in a run twice, one run of each content has to show its starts.
 3. Those starts pair the half-threshold rank at p with the one at p + threshold / 2; pairs seen twice are repeats.
 
-Only the first ranks and contents are hashes (a rank of half the threshold compares 256 bits, a content 64 more, a pair of
-starts 128); the ranks of later rounds are places in Spark's order. A key has one row a block at most, except for contents,
+Only the first ranks and contents are hashes (two first ranks share a long, so a rank of half the threshold compares 128
+bits, a content 64 more, a pair of starts 128); the ranks of later rounds are places in Spark's order. A key has one row a block at most, except for contents,
 whose order is cut at will: a rank cut between two tasks simply shows its starts.
 
 Defined results: null text counts as empty; texts shorter than the threshold keep every byte; equal rows repeat each
@@ -37,13 +37,13 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
 from gleaner.llm.bytetools import groups_of, joined, mix, powers, prefix, span_hash
-from gleaner.llm.common import cut, new_path
+from gleaner.llm.common import new_path, remove, written
 
 BATCH = 1 << 19
 LONGEST_RUN = 256
 RESOLVED, SUPPLIES = 1, 2
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
-RUNS = "id long, content long, n long, periodic boolean, uses long, k0 long, k1 long, k2 long, k3 long"
+RUNS = "id long, content long, n long, periodic boolean, uses long, p0 long, p1 long"
 RANKED = "id long, side int, rank long, uses long"
 JUDGED = "block int, content long, flags int"
 
@@ -59,7 +59,7 @@ class Ranks:
         if n < threshold:
             self.first = self.stop = np.empty(0, dtype=np.int64)
             self.rank = self.v = self.content = np.empty(0, dtype=np.uint64)
-            self.leaves = np.empty((4, 0), dtype=np.uint64)
+            self.leaves = np.empty((2, 0), dtype=np.uint64)
             self.periodic = np.empty(0, dtype=bool)
             return
         self.rank = mix((sums[k:] - sums[:-k]) * powers(n + 1)[1][: n - k + 1])
@@ -93,7 +93,8 @@ class Ranks:
         place, self.periodic = self._chosen(width)
         quarter = -(-k // 2)
         size = -(-quarter // 2)
-        self.leaves = np.stack([span_hash(sums, place + at, place + at + size) for at in (0, quarter - size, k - quarter, k - size)])
+        leaf = [span_hash(sums, place + at, place + at + size) >> np.uint64(32) for at in (0, quarter - size, k - quarter, k - size)]
+        self.leaves = np.stack([leaf[i] << np.uint64(32) | leaf[i + 1] for i in (0, 2)])
 
     def _chosen(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The chosen position of each run, and whether its hash stands at more than one: starts may repeat within the run."""
@@ -167,11 +168,11 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
 
 
-def _rerank(batches):
-    """Sorted (hi, lo, id, side, uses) -> RANKED: the place of each pair in the order, without pairs used once."""
+def _rerank(batches, keys: int):
+    """Sorted (id, side, uses) behind keys -> RANKED: the place of each pair in the order, without pairs used once."""
     base = TaskContext.get().partitionId() << 40
-    for (hi, lo, ids, side, uses), _, _ in _whole_groups(batches, 2):
-        new = _heads(hi, lo)
+    for (*pair, ids, side, uses), _, _ in _whole_groups(batches, keys):
+        new = _heads(*pair)
         group = np.cumsum(new) - 1
         keep = (np.add.reduceat(uses, np.flatnonzero(new)) > 1)[group]
         columns = [ids[keep], side[keep].astype(np.int32), base + group[keep], uses[keep]]
@@ -179,9 +180,9 @@ def _rerank(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=exchange.arrow_schema(RANKED))
 
 
-def _sorted_ranks(pairs: DataFrame) -> DataFrame:
-    pairs = pairs.select("hi", "lo", "id", "side", "uses")
-    return pairs.repartitionByRange("hi", "lo").sortWithinPartitions("hi", "lo").mapInArrow(_rerank, RANKED)
+def _sorted_ranks(pairs: DataFrame, *pair: str) -> DataFrame:
+    rows = pairs.select(*pair, "id", "side", "uses").repartitionByRange(*pair).sortWithinPartitions(*pair)
+    return rows.mapInArrow(lambda batches: _rerank(batches, len(pair)), RANKED)
 
 
 def _judge(batches):
@@ -201,15 +202,20 @@ def _judge(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=exchange.arrow_schema(JUDGED))
 
 
-def judged_runs(runs: DataFrame) -> DataFrame:
-    """JUDGED rows of RUNS rows, by two rounds of doubling and one sort of contents."""
-    nodes = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"k{2 * i}").alias("hi"), F.col(f"k{2 * i + 1}").alias("lo")) for i in range(2)])
-    ranked = cut(_sorted_ranks(runs.where("uses > 0").select("id", "uses", F.inline(nodes))))
+def judged_runs(blocks: DataFrame, threshold: int) -> DataFrame:
+    """JUDGED rows of all blocks, by two rounds of doubling and one sort of contents."""
+    spark = blocks.sparkSession
+    paths = [new_path(spark, name) for name in ("runs", "first-ranks", "pairs", "ranks", "contents", "judged")]
+    runs = written(blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _runs(b, threshold)), RUNS), paths[0])
+    nodes = F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"p{i}").alias("pair")) for i in range(2)])
+    ranked = written(_sorted_ranks(runs.where("uses > 0").select("id", "uses", F.inline(nodes)), "pair"), paths[1])
     side = lambda i: F.max(F.when(F.col("side") == i, F.col("rank")))
-    pairs = ranked.groupBy("id").agg(side(0).alias("hi"), side(1).alias("lo"), F.max("uses").alias("uses")).where("hi is not null and lo is not null")
-    alive = cut(_sorted_ranks(cut(pairs.withColumn("side", F.lit(0)))))
-    rows = cut(runs.select("id", "content", "n", "periodic").join(alive.select("id", "rank"), "id").select("rank", "content", "id", "n", "periodic"))
-    return rows.repartitionByRange("rank", "content").sortWithinPartitions("rank", "content").mapInArrow(_judge, JUDGED)
+    pairs = ranked.groupBy("id").agg(side(0).alias("one"), side(1).alias("two"), F.max("uses").alias("uses")).where("one is not null and two is not null")
+    alive = written(_sorted_ranks(written(pairs.withColumn("side", F.lit(0)), paths[2]), "one", "two"), paths[3])
+    rows = written(runs.select("id", "content", "n", "periodic").join(alive.select("id", "rank"), "id").select("rank", "content", "id", "n", "periodic"), paths[4])
+    judged = written(rows.repartitionByRange("rank", "content").sortWithinPartitions("rank", "content").mapInArrow(_judge, JUDGED), paths[5])
+    remove(spark, *paths[:5])
+    return judged
 
 
 def _told(judged: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -305,9 +311,7 @@ def _kept_text(doc_id, text: bytes, gone: np.ndarray, data: np.ndarray) -> tuple
 
 def _chain(documents: DataFrame, threshold: int, emit, ddl: str) -> DataFrame:
     blocks, n = exchange.blocked(documents)
-    path = new_path(documents.sparkSession, "runs")
-    blocks.groupBy("block").applyInArrow(exchange.one_argument(lambda b: _runs(b, threshold)), RUNS).write.parquet(path)
-    judged = judged_runs(documents.sparkSession.read.parquet(path))
+    judged = judged_runs(blocks, threshold)
 
     def meet(answers: DataFrame, f, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(exchange.two_arguments(f), schema)
