@@ -49,13 +49,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut every passage of REPEAT_BYTES or more, about 40 words, that stands in two places."""
-    docs = with_row(docs)
-    left = suffixdedup.without_repeats(docs.select(F.col("_row").alias("doc_id"), "text"), REPEAT_BYTES).where("n_removed > 0")
-    left = left.select(F.col("doc_id").alias("_row"), F.col("text").alias("left"), F.lit(True).alias("cut")).dropDuplicates(["_row"])
-    docs = docs.join(left, "_row", "left")
-    docs = docs.withColumn("text", F.when(F.col("cut"), F.col("left")).otherwise(F.col("text")))
-    docs = docs.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return docs.where(F.col("text").rlike(r"\S")).select(*COLUMNS)
+    left = suffixdedup.without_repeats(docs.select(*COLUMNS), REPEAT_BYTES, keep=COLUMNS[2:])
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).where(F.col("text").rlike(r"\S")).select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

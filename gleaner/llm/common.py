@@ -38,8 +38,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
-    """df written to a folder and read back: cut() for large tables, as compressed columns that remove() can drop early."""
+    """df written to a folder and read back: cut() for large tables, as compressed columns that remove() can drop early.
+
+    Spark deletes the shuffles behind the write when the driver collects garbage, which may be long after; so it does now.
+    """
     df.write.parquet(path)
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

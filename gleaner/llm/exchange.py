@@ -10,7 +10,7 @@ A chain of exchanges reads the blocks again at each step. Spark shuffles the tex
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,12 @@ def to_table(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def blocked(documents: DataFrame, least: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """documents(doc_id, text) dealt into blocks by both columns, and the number of blocks. Null text becomes empty."""
+def blocked(documents: DataFrame, least: int = BLOCK_BYTES, keep: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """documents(doc_id, text) dealt into blocks by both columns, with others to keep, and the number of blocks. Null text becomes empty."""
     total = text_bytes(documents)
     size = min(max(least, total // MANY_BLOCKS), LARGEST_BLOCK)
     n = blocks_for(documents.sparkSession, total, size)
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
     return rows.withColumn("block", block).repartition(n, "block"), n
 

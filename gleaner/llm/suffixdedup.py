@@ -28,6 +28,7 @@ other; no rows give no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -286,7 +287,7 @@ def covered(starts: np.ndarray, threshold: int) -> np.ndarray:
     return seen[1:] > seen[np.maximum(np.arange(n) - threshold + 1, 0)]
 
 
-def _apply(block: pa.Table, answers: pa.Table, threshold: int, emit, ddl: str) -> pa.Table:
+def _apply(block: pa.Table, answers: pa.Table, threshold: int, emit, ddl: str, keep: Sequence[str]) -> pa.Table:
     content, flags = exchange.received(answers, 0, np.uint8)
     pairs, first = exchange.received(answers, 1, np.uint64)
     ids, rows = block["doc_id"].to_pylist(), []
@@ -294,7 +295,10 @@ def _apply(block: pa.Table, answers: pa.Table, threshold: int, emit, ddl: str) -
         gone = covered(repeated_starts(ranks, content, flags, pairs, first), threshold)
         for doc_id, text, a, b in zip(ids[lo:hi], texts, ranks.starts.tolist(), ranks.ends.tolist(), strict=True):
             rows.append(emit(doc_id, text, gone[a:b], ranks.data[a:b]))
-    return exchange.to_table(rows, ddl)
+    out = exchange.to_table(rows, ddl)
+    for name in keep:
+        out = out.append_column(name, block[name])
+    return out
 
 
 def _digest(doc_id, text: bytes, gone: np.ndarray, data: np.ndarray) -> tuple:
@@ -309,16 +313,17 @@ def _kept_text(doc_id, text: bytes, gone: np.ndarray, data: np.ndarray) -> tuple
     return doc_id, int(gone.sum()), kept.decode("utf-8", "ignore")
 
 
-def _chain(documents: DataFrame, threshold: int, emit, ddl: str) -> DataFrame:
-    blocks, n = exchange.blocked(documents)
-    judged = judged_runs(blocks, threshold)
+def _chain(documents: DataFrame, threshold: int, emit, ddl: str, keep: Sequence[str] = ()) -> DataFrame:
+    blocks, n = exchange.blocked(documents, keep=keep)
+    judged = judged_runs(blocks.select("doc_id", "text", "block"), threshold)
 
     def meet(answers: DataFrame, f, schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(exchange.two_arguments(f), schema)
 
     pairs = meet(judged, lambda b, a: _send_pairs(b, a, n, threshold), exchange.SENT)
     about_pairs = exchange.reduce_ranges(pairs, n, _resolve_pairs)
-    return meet(about_pairs, lambda b, a: _apply(b, a, threshold, emit, ddl), ddl)
+    kept = [f"{name} {documents.schema[name].dataType.simpleString()}" for name in keep]
+    return meet(about_pairs, lambda b, a: _apply(b, a, threshold, emit, ddl, keep), ", ".join([ddl, *kept]))
 
 
 def removal_digests(documents: DataFrame, threshold: int = 400) -> DataFrame:
@@ -326,6 +331,6 @@ def removal_digests(documents: DataFrame, threshold: int = 400) -> DataFrame:
     return _chain(documents, threshold, _digest, OUT)
 
 
-def without_repeats(documents: DataFrame, threshold: int = 400) -> DataFrame:
-    """doc_id, n_removed and the text that is left; bytes of a character cut in two go with it."""
-    return _chain(documents, threshold, _kept_text, "doc_id long, n_removed long, text string")
+def without_repeats(documents: DataFrame, threshold: int = 400, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, n_removed, the text that is left and the columns to keep; bytes of a character cut in two go with it."""
+    return _chain(documents, threshold, _kept_text, "doc_id long, n_removed long, text string", keep)
