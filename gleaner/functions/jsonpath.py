@@ -1,20 +1,20 @@
 """Dotted JSON paths as Spark columns over JSON text.
 
 Segments: ``key``, ``key[3]``, ``key[name=value]`` (the first element whose name has that value), ``*`` (the first value
-of an object in document order, or the first element). An empty segment stands for the value itself. Any miss is null.
+of an object in document order, or the first element); selectors may follow each other and ``*``. An empty segment stands
+for the value itself. Any miss is null.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import col, first_filled, joined, render
 
-_SEGMENT = re.compile(r"([^\[\]]*)((?:\[[^\[\]]*\])*)")
 OBJECT, LIST, OBJECTS = "map<string,string>", "array<string>", "array<map<string,string>>"
 
 
@@ -42,20 +42,30 @@ def _pick(node: Column, selector: str) -> Column:
     return F.get(F.filter(objects, lambda e: F.element_at(F.from_json(e, OBJECT), F.lit(name)) == value), F.lit(0))
 
 
+def _selectors(text: str) -> Iterator[str]:
+    """The contents of "[a][b]..."; brackets that don't pair are an error."""
+    while text:
+        inner, closing, text = text[1:].partition("]")
+        if not closing or "[" in inner or text[:1] not in ("", "["):
+            raise ValueError("unpaired brackets")
+        yield inner
+
+
 def path(node: Column | str, dotted: str) -> Column:
     out = col(node)
     for segment in dotted.split("."):
-        if segment == "":
-            continue
-        if segment == "*":
-            out = F.get(items(out, values=True), F.lit(0))
-            continue
-        m = _SEGMENT.fullmatch(segment)
-        if not m:
+        name, opening, rest = segment.partition("[")
+        try:
+            selectors = list(_selectors(opening + rest))
+        except ValueError:
             return F.lit(None).cast("string")
-        if m[1]:
-            out = _key(out, m[1])
-        for selector in re.findall(r"\[([^\[\]]*)\]", m[2]):
+        if "]" in name:
+            return F.lit(None).cast("string")
+        if name == "*":
+            out = F.get(items(out, values=True), F.lit(0))
+        elif name:
+            out = _key(out, name)
+        for selector in selectors:
             out = _pick(out, selector)
     return out
 

@@ -161,14 +161,36 @@ def holds(value: Column | str, needle: str) -> Column:
     return F.contains(col(value), F.lit(needle)) if needle else F.lit(False)
 
 
+# Named character references; the ampersand comes last.
+ENTITIES = {
+    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
+    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "deg": "°", "times": "×", "euro": "€",
+    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "amp": "&",
+}
+
+
+def _numeric_entities(text: Column) -> Column:
+    """&#233; and &#xE9; as their characters."""
+
+    def character(entity: Column) -> Column:
+        digits = F.regexp_extract(entity, "([0-9a-fA-F]+);", 1)
+        code = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(&#(?:[0-9]+|[xX][0-9a-fA-F]+);)"), 1))
+    return F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, lambda t, e: F.replace(t, e, character(e)))).otherwise(text)
+
+
 def plain_text(value: Column | str) -> Column:
-    """Text of an HTML fragment: breaks and block ends become line ends, tags go, common entities are decoded."""
+    """Text of an HTML fragment: breaks and block ends become line ends, tags go, entities are decoded. Text without tags stays as it is."""
     text = F.regexp_replace(col(value), r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for name, mark in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+    text = _numeric_entities(text)
+    for name, mark in ENTITIES.items():
         text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
     text = trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
-    return F.when(col(value).rlike(r"<[a-zA-Z/!][^>]*>|&[a-zA-Z#0-9]+;"), text).otherwise(col(value))
+    return F.when(col(value).rlike("<[a-zA-Z/!]"), text).otherwise(col(value))
 
 
 def content_hash(value: Column | str) -> Column:

@@ -36,11 +36,11 @@ def present(nodes: DataFrame, key: str, selector: str, name: str = "present") ->
 
 
 def inside(nodes: DataFrame, key: str, items: DataFrame, selector: str) -> DataFrame:
-    """Elements that match below each item (item_node, pos of items), joined by document and ancestor node."""
+    """Elements that match an item or within it (item_node, pos of items); what stands in a nested item is that item's."""
     below = select(nodes, key, selector)
-    item = items.select(key, F.col("node").alias("item_node"), F.size("ancestors").alias("depth"), "pos")
+    item = items.select(key, F.col("node").alias("item_node"), F.col("last").alias("item_last"), "pos")
     nxt = item.withColumn("until", F.coalesce(F.lead("item_node").over(Window.partitionBy(key).orderBy("item_node")), F.lit(2**31 - 1)))
-    return below.join(nxt, key).where((F.col("node") >= F.col("item_node")) & (F.col("node") < F.col("until")) & ((F.size("ancestors") > F.col("depth")) | (F.col("node") == F.col("item_node"))))
+    return below.join(nxt, key).where((F.col("node") >= F.col("item_node")) & (F.col("node") < F.col("until")) & (F.col("node") <= F.col("item_last")))
 
 
 def label_rows(rows: DataFrame, key: str, labels: Mapping[str, Sequence[str]], joins: Mapping[str, str] | None = None) -> DataFrame:

@@ -77,10 +77,10 @@ def shared_requests(spark, sf_dir):
     return responses.shared_requests(rows).select("url")
 
 
-@query("""SELECT user_id FROM (SELECT user_id, list(DISTINCT event_type) AS tags FROM events GROUP BY user_id) WHERE list_has_all(tags, ['click', 'view']) AND NOT list_has_any(tags, ['error'])""")
+@query("""SELECT user_id, CAST(day AS VARCHAR) AS day FROM (SELECT user_id, ts::DATE AS day, list(DISTINCT event_type) AS tags FROM events GROUP BY ALL) WHERE list_has_all(tags, ['click', 'view']) AND NOT list_has_any(tags, ['error'])""")
 def tag_browse(spark, sf_dir):
-    tags = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))
-    return tags.where(feeds.tagged(F.col("tags"), ["click", "view"], ["error"])).select("user_id")
+    tags = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.collect_set("event_type").alias("tags"))
+    return tags.where(feeds.tagged(F.col("tags"), ["click", "view"], ["error"])).select("user_id", "day")
 
 
 @query("""SELECT group_id, (row_number() OVER (ORDER BY CASE WHEN group_id = 'r2' THEN 0 ELSE 1 END, seen, group_id))::INT AS group_pos, options FROM (SELECT 'r' || n_regionkey AS group_id, min(n_nationkey) AS seen, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_name, n_nationkey::VARCHAR) AS options FROM nation GROUP BY ALL HAVING true)""".replace(" GROUP BY ALL HAVING true", " GROUP BY n_regionkey"))
@@ -89,9 +89,9 @@ def filter_groups(spark, sf_dir):
     return feeds.filter_groups(options, ["r2"]).withColumn("options", F.array_join("options", ","))
 
 
-@query("""SELECT c_nationkey, c_custkey, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM (SELECT c_nationkey, c_custkey, count(o_orderkey)::BIGINT AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderkey % 7 = 0 GROUP BY ALL)) WHERE rn <= 5 AND n > 0) WHERE k = 1""")
+@query("""SELECT c_nationkey, c_custkey, n FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM (SELECT c_nationkey, c_custkey, count(o_orderkey)::BIGINT AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY ALL)) WHERE rn <= 5 AND n > 0) WHERE k = 1""")
 def first_candidate(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     customers = table(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_nationkey", "c_custkey", F.coalesce("n", F.lit(0)).alias("n"))
     return feeds.first_candidate(customers, "c_nationkey", "c_custkey", "n")
 

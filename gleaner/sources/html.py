@@ -41,6 +41,7 @@ _NODE = [
     *_ELEMENT.fields,
     T.StructField("text", T.StringType()),
     T.StructField("children", T.IntegerType()),
+    T.StructField("last", T.IntegerType()),
     T.StructField("ancestors", T.ArrayType(_ELEMENT)),
 ]
 
@@ -138,12 +139,16 @@ def _rows(html: str) -> list[tuple]:
             tag = tree.tags[i]
             seen[tag] = seen.get(tag, 0) + 1
             elements[i] = {"tag": tag, "attrs": list(tree.attrs[i].items()), "nth": nth, "siblings": len(own), "nth_of_type": seen[tag], "of_type": total[tag]}
+    last = list(range(len(tree.tags)))  # the last element inside each
+    for i in range(len(last) - 1, -1, -1):
+        if (p := tree.parents[i]) >= 0:
+            last[p] = max(last[p], last[i])
     chains: list[list[dict]] = []
     out = []
     for i, p in enumerate(tree.parents):
         chains.append([*chains[p], elements[p]] if p >= 0 else [])
         e, (a, b) = elements[i], tree.spans[i]
-        out.append((i, p, e["tag"], e["attrs"], e["nth"], e["siblings"], e["nth_of_type"], e["of_type"], "".join(tree.pieces[a:b]), len(children.get(i, ())), chains[i]))
+        out.append((i, p, e["tag"], e["attrs"], e["nth"], e["siblings"], e["nth_of_type"], e["of_type"], "".join(tree.pieces[a:b]), len(children.get(i, ())), last[i], chains[i]))
     return out
 
 

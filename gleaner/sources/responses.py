@@ -17,7 +17,7 @@ RESPONSES = (
 KEY = ["method", "url", "body_key", "transport"]
 
 # What a challenge page says, and the first bytes of image formats.
-CHALLENGE_MARKS = ("Just a moment", "cf-chl", "challenge-platform", "cf_chl_opt", "Checking your browser", "Attention Required! | Cloudflare")
+CHALLENGE_MARKS = ("Just a moment", "/cdn-cgi/challenge-platform", "challenge-platform", "__cf_chl", "cf_chl_opt", "cf-chl")
 MAGIC = (("jpeg", 1, "FFD8FF"), ("png", 1, "89504E47"), ("gif", 1, "47494638"), ("webp", 9, "57454250"), ("bmp", 1, "424D"), ("avif", 5, "66747970"), ("jxl", 1, "FF0A"), ("jxl", 1, "0000000C4A584C20"))
 
 
@@ -99,7 +99,7 @@ def image_outcome(status: Column, challenge: Column, kind: Column, empty: Column
 def decoded(body: Column | str, content_type: Column) -> Column:
     """Text by the charset of the header, of a meta tag in the first 1024 bytes, or UTF-8; broken bytes are replaced."""
     head = F.make_valid_utf8(F.substring(col(body), 1, 1024).cast("string"))
-    name = F.lower(F.coalesce(F.nullif(F.regexp_extract(content_type, r"(?i)charset=\s*[\"']?([\w-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]+charset=\s*[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8")))
+    name = F.lower(F.coalesce(F.nullif(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8")))
     plain = F.make_valid_utf8(col(body).cast("string"))
     return F.when(name.isin("iso-8859-1", "latin1", "windows-1252"), F.decode(col(body), "ISO-8859-1")).when(name == "us-ascii", F.decode(col(body), "US-ASCII")).when(name == "utf-16", F.decode(col(body), "UTF-16")).otherwise(plain)
 
@@ -134,8 +134,9 @@ def icon_candidates(pages: DataFrame, key: str, html: str = "html") -> DataFrame
     tags = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)).alias("pos", "tag"))
     attr = lambda n: F.regexp_extract("tag", rf"(?i)\b{n}=[\"']?([^\"'\s>]*)", 1)
     rows = tags.select(key, "pos", F.lower(F.regexp_extract("tag", r"(?i)\brel=[\"']?([^\"'>]*)", 1)).alias("rel"), F.lower(attr("name")).alias("name"), attr("href").alias("link"), attr("content").alias("content"), attr("sizes").alias("sizes"))
-    touch, tile = F.contains("rel", F.lit("apple-touch-icon")), F.col("name") == "msapplication-tileimage"
-    rows = rows.where(touch | F.contains("rel", F.lit("icon")) | tile)
+    names = F.split("rel", r"\s+")
+    touch, tile = F.arrays_overlap(names, F.array(F.lit("apple-touch-icon"), F.lit("apple-touch-icon-precomposed"))), F.col("name") == "msapplication-tileimage"
+    rows = rows.where(touch | F.array_contains(names, "icon") | tile)
     order = Window.partitionBy(key).orderBy(F.when(touch, 0).when(tile, 2).otherwise(1), F.desc(F.coalesce(F.regexp_extract("sizes", r"(\d+)", 1).try_cast("int"), F.lit(0))), "pos")
     return rows.select(key, F.row_number().over(order).alias("rank"), F.when(tile, F.col("content")).otherwise(F.col("link")).alias("href"))
 

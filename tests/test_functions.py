@@ -138,3 +138,32 @@ def test_rate_limited_stream_equals_batch(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(map(tuple, spark.table("admitted").collect())) == sorted(map(tuple, limiter.rate_limited(frame, "source", 3, 100).collect()))
+
+
+def test_first_value_then_index(spark):
+    rows = spark.createDataFrame([('{"a":[7,8],"b":[9]}',), ("[[1,2],[3]]",), ('{"a":{"c":5}}',)], "j string")
+    found = rows.select(jsonpath.path("j", "*[0]").alias("x"), jsonpath.path("j", "*.c").alias("y"), jsonpath.path("j", "a[0").alias("z")).collect()
+    assert [tuple(r) for r in found] == [("7", None, None), ("1", None, None), (None, "5", None)]
+
+
+def test_plain_text_decodes_only_markup(spark):
+    given = ["a &amp; b", "<p>caf&eacute; &#233;&#xe9; &amp;lt; &#0;</p><p>x</p>", "1 < 2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string").select("i", text.plain_text("t").alias("p"))
+    assert [r["p"] for r in rows.orderBy("i").collect()] == ["a &amp; b", "café éé &lt; �\nx", "1 < 2"]
+
+
+def test_schedules_go_from_batch_to_batch(spark):
+    rows = [(k, 10 * i, 100 * k + i, 25) for k in (1, 2) for i in range(40)]
+    given = spark.createDataFrame(rows, "k long, arrived_ms long, request_id long, took_ms long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for n in ("7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            frames = limiter.rate_limited(given, "k", 2, 100), limiter.gated(given, "k", 2)
+            found.append([sorted(tuple(r) for r in f.collect()) for f in frames])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1]
+    assert [r[3] for r in found[0][0][:5]] == [0, 10, 100, 110, 200]
+    assert [r[3] for r in found[0][1][:5]] == [0, 10, 25, 35, 50]

@@ -73,3 +73,23 @@ def test_markdown_and_icons(spark):
     assert [tuple(r) for r in responses.catalog_rows(lines).collect()] == [("s1", "works", "fine")]
     page = spark.createDataFrame([(1, '<link rel="icon" sizes="16x16" href="/a"><link rel="apple-touch-icon" href="/b"><meta name="msapplication-TileImage" content="/c"><link rel="icon" sizes="32x32" href="/d">')], "id long, html string")
     assert [r["href"] for r in responses.icon_candidates(page, "id").orderBy("rank").collect()] == ["/b", "/d", "/a", "/c"]
+
+
+def test_what_stands_after_an_item_is_not_inside_it(spark):
+    page = spark.createDataFrame([(1, "<ul><li><a>in</a><ul><li><a>nested</a></li></ul></li></ul><div><section><p><a>out</a></p></section></div>")], "id long, html string")
+    nodes = html.nodes(page, "id")
+    found = extract.inside(nodes, "id", extract.unnest(nodes, "id", "li"), "a").orderBy("node").collect()
+    assert [(r["pos"], r["text"]) for r in found] == [(0, "in"), (1, "nested")]
+
+
+def test_mask_icons_are_no_icons_and_blanks_around_charset(spark):
+    page = spark.createDataFrame([(1, '<link rel="mask-icon" href="/m"><link rel="shortcut icon" href="/s"><link rel="apple-touch-icon-precomposed" href="/p">')], "id long, html string")
+    assert [r["href"] for r in responses.icon_candidates(page, "id").orderBy("rank").collect()] == ["/p", "/s"]
+    row = spark.sql("SELECT X'E9' AS b").select(responses.decoded("b", F.lit("text/html; charset = latin1")).alias("t"))
+    assert row.first()["t"] == "é"
+
+
+def test_challenge_pages(spark):
+    rows = spark.createDataFrame([(1, "<script>window.__cf_chl_x</script>"), (2, "Checking your browser"), (3, "Just a moment...")], "id long, body string")
+    headers = F.create_map(F.lit("server"), F.lit("Cloudflare"))
+    assert [r["c"] for r in rows.orderBy("id").select(responses.is_challenge(F.lit(503), headers, F.col("body")).alias("c")).collect()] == [True, False, True]
