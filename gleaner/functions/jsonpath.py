@@ -111,3 +111,9 @@ def unwrapped(node: Column, times: int = 5) -> Column:
         inner = F.get_json_object(F.concat(F.lit('{"v":'), node, F.lit("}")), "$.v")
         node = F.when(_is(node, '"'), F.coalesce(inner, node)).otherwise(node)
     return node
+
+
+def number(node: Column | str, dotted: str) -> Column:
+    """The number at a path of keys and positions; null for anything else, digits inside a JSON string included."""
+    whole = F.try_variant_get(F.try_parse_json(col(node)), "$." + dotted, "variant")
+    return F.when(F.schema_of_variant(whole).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(F.try_parse_json(col(node)), "$." + dotted, "double"))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import tidy, trim
-from gleaner.sources.html import attribute, select, text
+from gleaner.sources.html import attribute, has_siblings, matches, select, text
+
+Wanted = Mapping[str, tuple[str, str, bool]]
 
 
 def unnest(nodes: DataFrame, key: str, selector: str) -> DataFrame:
@@ -23,6 +25,57 @@ def first_of(nodes: DataFrame, key: str, selector: str, attr: str | None = None,
     return select(nodes, key, selector).groupBy(key).agg(F.min_by(value, F.col("node")).alias(name))
 
 
+def _first(selector: str, attr: str, exists: bool, name: str) -> Column:
+    """Over a group of elements: the first match's value, or '1' where only its presence is asked; no selector takes all."""
+    hit = matches(selector) if selector else F.lit(True)
+    if exists:
+        return F.max(F.when(hit, "1")).alias(name)
+    return F.min_by(attribute(attr) if attr else text(), F.when(hit, F.col("node"))).alias(name)
+
+
+def firsts(nodes: DataFrame, key: str, wanted: Wanted) -> DataFrame:
+    """For name: (selector, attribute or '', presence only), each document's first match, in one pass: key and the names.
+
+    A selector with sibling combinators needs a pass of its own. Documents without any match have no row.
+    """
+    plain = {name: at for name, at in wanted.items() if not has_siblings(at[0])}
+    out = nodes.where(matches(", ".join(at[0] for at in plain.values()))).groupBy(key).agg(*[_first(*at, name) for name, at in plain.items()]) if plain else None
+    for name, (selector, attr, exists) in wanted.items():
+        if name not in plain:
+            value = F.max(F.lit("1")) if exists else F.min_by(attribute(attr) if attr else text(), F.col("node"))
+            one = select(nodes, key, selector).groupBy(key).agg(value.alias(name))
+            out = one if out is None else out.join(one, key, "full")
+    return out.select(key, *wanted)
+
+
+def item_fields(nodes: DataFrame, key: str, items: DataFrame, wanted: Wanted) -> DataFrame:
+    """The same within each item of unnest: key, pos and the names; no selector reads the item's own element.
+
+    All fields without sibling combinators share one join and one grouping by item.
+    """
+    out = items.select(key, "pos")
+    own = {name: at for name, at in wanted.items() if not at[0]}
+    plain = {name: at for name, at in wanted.items() if at[0] and not has_siblings(at[0])}
+    if own:
+        out = items.select(key, "pos", *[(F.lit("1") if exists else attribute(attr) if attr else text()).alias(name) for name, (_, attr, exists) in own.items()])
+    if plain:
+        within = inside(nodes, key, items, ", ".join(at[0] for at in plain.values()))
+        out = out.join(within.groupBy(key, "pos").agg(*[_first(*at, name) for name, at in plain.items()]), [key, "pos"], "left")
+    for name, (selector, attr, exists) in wanted.items():
+        if name not in own and name not in plain:
+            value = F.max(F.lit("1")) if exists else F.min_by(attribute(attr) if attr else text(), F.col("node"))
+            out = out.join(inside(nodes, key, items, selector).groupBy(key, "pos").agg(value.alias(name)), [key, "pos"], "left")
+    return out.select(key, "pos", *wanted)
+
+
+def label_table(nodes: DataFrame, key: str, row: str, label: str, value: str = "") -> DataFrame:
+    """Rows for label_rows: every value of every row element that has a label; without a value selector, the row's text."""
+    rows = unnest(nodes, key, row)
+    labels = item_fields(nodes, key, rows, {"label": (label, "", False)}).where("label <> ''")
+    values = inside(nodes, key, rows, value) if value else rows
+    return labels.join(values.select(key, "pos", F.col("node").alias("value_pos"), F.col("text").alias("value")), [key, "pos"]).withColumnRenamed("pos", "row_pos")
+
+
 def texts_of(nodes: DataFrame, key: str, selector: str, attr: str | None = None, name: str = "values") -> DataFrame:
     """All filled texts or attributes of each document's matches, in order."""
     rows = select(nodes, key, selector).select(key, "node", (attribute(attr) if attr else text()).alias("v")).where("v <> ''")

@@ -8,23 +8,27 @@ response that is missing or not 200 ends its run without rows; a body that canno
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import jsonpath, text, urls
 from gleaner.operators import extract
 from gleaner.sources import html, responses
 
+Runtime = Callable[[str, Column], Column]
 PARSES = ("html", "json", "regexJson", "jsonHtml")
 _SCRIPT = r"data:text/javascript;base64,([A-Za-z0-9+/=]+)"
 
 
 @dataclass(frozen=True)
 class Locator:
-    """Where a value stands: a pattern over the body, a selector with an attribute, or a JSON path with a template."""
+    """Where a value stands: a pattern over the body, a selector with an attribute, or a JSON path with a template.
+
+    exists gives '1' or '' for whether the selector matches; otherwise are locators to try in order where nothing is found.
+    """
 
     path: str = ""
     template: str = ""
@@ -32,6 +36,32 @@ class Locator:
     attr: str = ""
     regex: str = ""
     default: str = ""
+    exists: bool = False
+    otherwise: tuple[Locator, ...] = ()
+
+    def chain(self) -> list[Locator]:
+        return [self, *[later for one in self.otherwise for later in one.chain()]]
+
+
+@dataclass(frozen=True)
+class Script:
+    """Code for a script runtime: args are filled from the variables; the trimmed result is captured, or paths of its JSON."""
+
+    code: str
+    args: Mapping[str, str] = field(default_factory=dict)
+    capture: str = ""
+    capture_json: Mapping[str, str] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Pagination:
+    """How a pipeline is run page after page: by a meta that says a page follows, or by a current and a last number."""
+
+    page_var: str = "page"
+    current_page_meta: str = ""
+    last_page_meta: str = ""
+    has_next_meta: str = ""
+    max_pages: int = 50
 
 
 @dataclass(frozen=True)
@@ -53,6 +83,7 @@ class Step:
     html_from: str = ""
     capture: Mapping[str, Locator] = field(default_factory=dict)
     output: Output | None = None
+    script: Script | None = None
 
     def __post_init__(self):
         if self.parse not in PARSES:
@@ -88,22 +119,34 @@ def _asked(rows: DataFrame, step: Step, known: DataFrame, base: str) -> DataFram
     return responses.fetch(asked, known).where("status = 200").drop(*responses.KEY, "status", "headers")
 
 
+def _markup(wanted: Mapping[str, Locator]) -> dict[str, tuple[str, str, bool]]:
+    """The alternatives of all locators, named name.0, name.1 and so on."""
+    return {f"{name}_{i}": (one.selector, one.attr, one.exists) for name, at in wanted.items() for i, one in enumerate(at.chain())}
+
+
+def _chained(name: str, at: Locator) -> Column:
+    return text.first_filled(*[F.col(f"{name}_{i}") for i in range(len(at.chain()))], F.lit(at.default))
+
+
+def _in_json(item: Column, at: Locator, root: Column | None = None) -> Column:
+    tried = [jsonpath.value_of(item, [one.path], one.template, "", root) for one in at.chain()]
+    return text.first_filled(*tried, F.lit(at.default))
+
+
 def _found(rows: DataFrame, key: str, step: Step, wanted: Mapping[str, Locator]) -> DataFrame:
     """rows with a column for each locator over the whole body; patterns read it as it is, whatever the parse mode."""
-    markup = step.parse in ("html", "jsonHtml")
-    nodes = _nodes(rows, key, step) if markup and any(not at.regex for at in wanted.values()) else None
-    columns, joins = {}, []
+    markup = {name: at for name, at in wanted.items() if not at.regex and step.parse in ("html", "jsonHtml")}
+    columns = {}
     for name, at in wanted.items():
         if at.regex:
             columns[name] = text.first_filled(text.capture("body", at.regex), F.lit(at.default))
-        elif markup:
-            joins.append(extract.first_of(nodes, key, at.selector, at.attr or None, name))
-        else:
-            columns[name] = jsonpath.value_of(_json(step), [at.path], at.template, at.default)
+        elif name not in markup:
+            columns[name] = _in_json(_json(step), at)
     out = rows.withColumns(columns)
-    for one in joins:
-        out = out.join(one, key, "left")
-    return out.withColumns({name: text.first_filled(name, F.lit(at.default)) for name, at in wanted.items()})
+    if markup:
+        out = out.join(extract.firsts(_nodes(rows, key, step), key, _markup(markup)), key, "left")
+        out = out.withColumns({name: _chained(name, at) for name, at in markup.items()}).drop(*_markup(markup))
+    return out
 
 
 def _captured(rows: DataFrame, key: str, step: Step) -> DataFrame:
@@ -112,52 +155,99 @@ def _captured(rows: DataFrame, key: str, step: Step) -> DataFrame:
     return found.select(key, responses.layered(F.col("vars"), added).alias("vars"), "body")
 
 
+def _scripted(rows: DataFrame, key: str, script: Script, runtime: Runtime | None) -> DataFrame:
+    if runtime is None:
+        raise RuntimeError("a script step needs a runtime")
+    args = F.to_json(F.create_map(*[x for name, t in script.args.items() for x in (F.lit(name), substituted(t))])) if script.args else F.lit("{}")
+    rows = rows.withColumn("_result", text.trim(runtime(script.code, args)))
+    got = {script.capture: F.col("_result")} if script.capture else {}
+    for name, path in script.capture_json.items():
+        got[name] = F.coalesce(jsonpath.path("_result", path) if path else F.col("_result"), F.lit(""))
+    added = F.create_map(*[x for name, value in got.items() for x in (F.lit(name), value)])
+    return rows.withColumn("vars", responses.layered(F.col("vars"), added)).drop("_result") if got else rows.drop("_result")
+
+
 def _records(rows: DataFrame, key: str, step: Step, out: Output) -> DataFrame:
     if step.parse in ("html", "jsonHtml"):
         nodes = _nodes(rows, key, step)
-        items = extract.unnest(nodes, key, out.items.selector)
-        found = items.select(key, "pos")
-        for name, at in out.fields.items():
-            if at.selector:
-                within = extract.inside(nodes, key, items, at.selector)
-            else:
-                within = items.withColumn("item_node", F.col("node"))
-            value = html.attribute(at.attr) if at.attr else html.text()
-            one = within.groupBy(key, "pos").agg(F.min_by(value, F.col("node")).alias(name))
-            found = found.join(one, [key, "pos"], "left").withColumn(name, text.first_filled(name, F.lit(at.default)))
-        return found.select(key, "pos", *out.fields)
+        found = extract.item_fields(nodes, key, extract.unnest(nodes, key, out.items.selector), _markup(out.fields))
+        return found.select(key, "pos", *[_chained(name, at).alias(name) for name, at in out.fields.items()])
     whole = rows.select(key, _json(step).alias("root"))
     items = whole.select(key, "root", F.posexplode(jsonpath.items(jsonpath.path("root", out.items.path))).alias("pos", "item"))
-    fields = [jsonpath.value_of(F.col("item"), [at.path], at.template, at.default, F.col("root")).alias(name) for name, at in out.fields.items()]
-    return items.select(key, "pos", *fields)
+    return items.select(key, "pos", *[_in_json(F.col("item"), at, F.col("root")).alias(name) for name, at in out.fields.items()])
 
 
-def run(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base: str = "") -> DataFrame:
-    """rows(key, vars) through the steps over known responses: key, pos, the fields and the meta of the first output.
+def _advanced(rows: DataFrame, key: str, step: Step, known: DataFrame, base: str, runtime: Runtime | None) -> DataFrame:
+    """rows after a step's script, request and captures."""
+    if step.script is not None:
+        rows = _scripted(rows, key, step.script, runtime)
+    if step.url is not None:
+        rows = _asked(rows, step, known, base)
+    return _captured(rows, key, step) if step.capture else rows
 
-    known has the request's key columns, status, headers and body as text. Without an output there are no rows.
-    """
+
+def run_parts(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base: str = "", runtime: Runtime | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records of the first output, and key with its meta for every run that reached it, records or none."""
     rows = rows.select(key, "vars", F.lit("").alias("body"))
     for step in steps:
-        if step.url is not None:
-            rows = _asked(rows, step, known, base)
-        if step.output is None:
-            rows = _captured(rows, key, step) if step.capture else rows
-            continue
-        found = _records(rows, key, step, step.output)
-        if not step.output.meta:
-            return found
-        meta = _found(rows, key, step, step.output.meta).select(key, *step.output.meta)
-        return found.join(meta, key)
-    return rows.select(key, F.lit(0).alias("pos")).where(F.lit(False))
-
-
-def run_body(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base: str = "") -> DataFrame:
+        rows = _advanced(rows, key, step, known, base, runtime)
+        if step.output is not None:
+            meta = _found(rows, key, step, step.output.meta) if step.output.meta else rows
+            return _records(rows, key, step, step.output), meta.select(key, *step.output.meta)
+    none = rows.where(F.lit(False))
+    return none.select(key, F.lit(0).alias("pos")), none.select(key)
+
+
+def run(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base: str = "", runtime: Runtime | None = None) -> DataFrame:
+    """rows(key, vars) through the steps over known responses: key, pos, the fields and the meta of the first output.
+
+    known has the request's key columns, status, headers and body as text. Without an output there are no rows. A script
+    step calls runtime(code, args as JSON text), a column expression such as a Pandas UDF; without one it is an error.
+    """
+    found, meta = run_parts(rows, key, steps, known, base, runtime)
+    return found.join(meta, key) if len(meta.columns) > 1 else found
+
+
+def paged(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base: str = "", pages: Pagination | None = None) -> tuple[DataFrame, DataFrame]:
+    """The records of all pages of each run (key, page, pos, fields), and the meta of its last page (key, page, meta).
+
+    A run's first page runs alone; runs that go on ask for all later pages at once, and keep those up to the first that
+    ends the run. A page without a response ends it, too. So there are two passes, however many pages a run has.
+    """
+    pages = pages or Pagination()
+    if pages.has_next_meta:
+        follows = F.col(pages.has_next_meta) == "1"
+    elif pages.current_page_meta and pages.last_page_meta:
+        follows = F.coalesce(text.strict_int(pages.current_page_meta) < text.strict_int(pages.last_page_meta), F.lit(False))
+    else:
+        follows = F.lit(False)
+
+    def asked(runs: DataFrame, numbers: Column) -> tuple[DataFrame, DataFrame]:
+        each = runs.select(key, "vars", F.explode(numbers).alias("page"))
+        named = F.create_map(F.lit(pages.page_var), F.col("page").cast("string"))
+        each = each.select(F.struct(key, "page").alias("_at"), responses.layered(F.col("vars"), named).alias("vars"))
+        found, meta = run_parts(each, "_at", steps, known, base)
+        flat = lambda df: df.select(f"_at.{key}", "_at.page", *[c for c in df.columns if c != "_at"])
+        return flat(found), flat(meta)
+
+    found, meta = asked(rows, F.array(F.lit(1)))
+    if pages.max_pages > 1 and (pages.has_next_meta or pages.current_page_meta):
+        going = rows.join(meta.where(follows).select(key), key, "left_semi")
+        more, told = asked(going, F.sequence(F.lit(2), F.lit(pages.max_pages)))
+        by = Window.partitionBy(key)
+        told = told.withColumns({"_n": F.row_number().over(by.orderBy("page")), "_end": F.min(F.when(~follows, F.col("page"))).over(by)})
+        told = told.where((F.col("_n") == F.col("page") - 1) & (F.col("page") <= F.coalesce("_end", F.col("page")))).drop("_n", "_end")
+        found = found.unionByName(more.join(told.select(key, "page"), [key, "page"], "left_semi"))
+        meta = meta.unionByName(told)
+    last = meta.withColumn("_last", F.max("page").over(Window.partitionBy(key))).where("page = _last").drop("_last")
+    return found, last
+
+
+def run_body(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base: str = "", runtime: Runtime | None = None) -> DataFrame:
     """key, vars and the last body, for those who read it themselves."""
     rows = rows.select(key, "vars", F.lit("").alias("body"))
     for step in steps:
-        rows = _asked(rows, step, known, base) if step.url is not None else rows
-        rows = _captured(rows, key, step) if step.capture else rows
+        rows = _advanced(rows, key, step, known, base, runtime)
     return rows
 
 

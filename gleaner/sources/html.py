@@ -324,22 +324,24 @@ def matches(selector: str) -> Column:
     return out
 
 
+def has_siblings(selector: str) -> bool:
+    return any(s.combinator in ("+", "~") for steps in read_selector(selector) for s in steps)
+
+
 def select(table: DataFrame, key: str, selector: str) -> DataFrame:
     """Rows of the elements that match, in document order by node within a document."""
     parts = [steps for steps in read_selector(selector)]
-    if all(s.combinator not in ("+", "~") for steps in parts for s in steps):
+    if not has_siblings(selector):
         return table.where(matches(selector))
     found = []
     for steps in parts:
         rows = table.where(_all(_Row(), steps[0].simple, True))
         for step in steps[1:]:
             inner = table.where(_all(_Row(), step.simple, True))
-            left, right = rows.select(key, F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("nth").alias("_i")).distinct().alias("l"), inner.alias("r")
+            left, right = rows.select(key, F.col("node").alias("_n"), F.col("parent").alias("_p"), F.col("nth").alias("_i"), F.col("last").alias("_l")).distinct().alias("l"), inner.alias("r")
             same = F.col(f"l.{key}") == F.col(f"r.{key}")
             rule = {"+": (F.col("r.parent") == F.col("_p")) & (F.col("r.nth") == F.col("_i") + 1), "~": (F.col("r.parent") == F.col("_p")) & (F.col("r.nth") > F.col("_i"))}
-            rule |= {">": F.col("r.parent") == F.col("_n")}
-            if step.combinator == " ":
-                raise NotImplementedError("a descendant step after a sibling step")
+            rule |= {">": F.col("r.parent") == F.col("_n"), " ": (F.col("r.node") > F.col("_n")) & (F.col("r.node") <= F.col("_l"))}
             rows = right.join(left, same & rule[step.combinator], "left_semi")
         found.append(rows)
     out = found[0]
