@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import col
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) for a use that reads value many times: bound once, so that nested expressions don't multiply in the plan."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def encode_query(value: Column | str) -> Column:
     """Form encoding: blanks become +, all but letters, digits and -._~ is escaped."""
     return F.replace(F.replace(F.url_encode(col(value)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
@@ -39,7 +44,10 @@ def without_dots(path: Column) -> Column:
 
 def resolve(base: Column | str, reference: Column | str) -> Column:
     """A reference against an absolute base URL; an empty reference stays empty."""
-    base, ref = col(base), col(reference)
+    return once(col(reference), lambda ref: _resolved(col(base), ref))
+
+
+def _resolved(base: Column, ref: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     base_path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -67,7 +75,11 @@ def _with_query(head: Column, query: Column, fragment: Column) -> Column:
 
 def drop_empty_params(url: Column | str) -> Column:
     """Without the parameters none of whose values is filled."""
-    head, query, fragment = _split(col(url))
+    return once(col(url), _without_empty)
+
+
+def _without_empty(url: Column) -> Column:
+    head, query, fragment = _split(url)
     parts = F.split(query, "&")
     name = lambda p: F.regexp_extract(p, "^([^=]*)", 1)
     filled = F.transform(F.filter(parts, lambda p: p.rlike("=.")), name)
@@ -81,7 +93,11 @@ def _entry(name: str):
 
 def append_params(url: Column | str, entries: Sequence[tuple[str, Column, str | None]]) -> Column:
     """Add (name, values, join): values repeated, or joined where join is given; no values add nothing."""
-    head, query, fragment = _split(col(url))
+    return once(col(url), lambda one: _appended(one, entries))
+
+
+def _appended(url: Column, entries: Sequence[tuple[str, Column, str | None]]) -> Column:
+    head, query, fragment = _split(url)
     added = []
     for name, values, join in entries:
         values = F.coalesce(values, F.array().cast("array<string>"))

@@ -77,9 +77,16 @@ def sample_positions(n: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), (n - 1).cast("int")))).otherwise(F.array().cast("array<int>"))
 
 
-def probe_status(stages: Sequence[tuple[str, Column]]) -> Column:
-    """The first stage whose count is 0 or null; null if all passed."""
-    return F.coalesce(*[F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(name)) for name, n in stages])
+def probe_status(stages: Sequence[tuple[str, Column]], skip: Sequence[str] = ()) -> Column:
+    """The first stage whose count is 0 or null; null if all passed. Stages in skip are left out; pages need chapters."""
+    left_out = {*skip, "pages"} if "chapters" in skip else set(skip)
+    stages = [(name, n) for name, n in stages if name not in left_out]
+    return F.lit(None).cast("string") if not stages else F.coalesce(*[F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(name)) for name, n in stages])
+
+
+def guessed_tag(genres: Column, options: Column) -> Column:
+    """The tag a probe tries: the first genre of its candidate, else the first option of the first filter."""
+    return F.coalesce(F.get(genres, F.lit(0)), F.get(options, F.lit(0)))
 
 
 def latest(rows: DataFrame, key: Sequence[str], order: Sequence[Column], keep: int) -> DataFrame:

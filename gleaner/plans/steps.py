@@ -92,10 +92,15 @@ class Step:
 
 def substituted(template: str, variables: Column | str = "vars") -> Column:
     """{name} replaced by the run's variable; a name that is not set stays."""
-    out = F.lit(template)
-    for name in dict.fromkeys(re.findall(r"\{([^{}]*)\}", template)):
-        out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(F.element_at(text.col(variables), F.lit(name)), F.lit(f"{{{name}}}")))
-    return out
+    names = list(dict.fromkeys(re.findall(r"\{([^{}]*)\}", template)))
+
+    def filled(known: Column) -> Column:
+        out = F.lit(template)
+        for name in names:
+            out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(F.element_at(known, F.lit(name)), F.lit(f"{{{name}}}")))
+        return out
+
+    return urls.once(text.col(variables), filled) if names else F.lit(template)
 
 
 def regex_json(body: Column | str, pattern: str) -> Column:
@@ -115,8 +120,9 @@ def _nodes(rows: DataFrame, key: str, step: Step) -> DataFrame:
 
 def _asked(rows: DataFrame, step: Step, known: DataFrame, base: str) -> DataFrame:
     body = substituted(step.body) if step.body else None
-    asked = responses.request(rows.drop("body"), urls.resolve(F.lit(base), substituted(step.url or "")), step.method, body)
-    return responses.fetch(asked, known).where("status = 200").drop(*responses.KEY, "status", "headers")
+    rows = rows.drop("body").withColumn("_reference", substituted(step.url or ""))
+    asked = responses.request(rows, urls.resolve(F.lit(base), "_reference"), step.method, body)
+    return responses.fetch(asked, known).where("status = 200").drop(*responses.KEY, "status", "headers", "_reference")
 
 
 def _markup(wanted: Mapping[str, Locator]) -> dict[str, tuple[str, str, bool]]:
@@ -211,8 +217,8 @@ def run(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base
 def paged(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base: str = "", pages: Pagination | None = None) -> tuple[DataFrame, DataFrame]:
     """The records of all pages of each run (key, page, pos, fields), and the meta of its last page (key, page, meta).
 
-    A run's first page runs alone; runs that go on ask for all later pages at once, and keep those up to the first that
-    ends the run. A page without a response ends it, too. So there are two passes, however many pages a run has.
+    All pages up to max_pages are looked up at once, one join for all runs, and those up to the first that ends its run
+    are kept, so no pass waits for another. A page without a response ends its run, too.
     """
     pages = pages or Pagination()
     if pages.has_next_meta:
@@ -222,25 +228,16 @@ def paged(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, ba
     else:
         follows = F.lit(False)
 
-    def asked(runs: DataFrame, numbers: Column) -> tuple[DataFrame, DataFrame]:
-        each = runs.select(key, "vars", F.explode(numbers).alias("page"))
-        named = F.create_map(F.lit(pages.page_var), F.col("page").cast("string"))
-        each = each.select(F.struct(key, "page").alias("_at"), responses.layered(F.col("vars"), named).alias("vars"))
-        found, meta = run_parts(each, "_at", steps, known, base)
-        flat = lambda df: df.select(f"_at.{key}", "_at.page", *[c for c in df.columns if c != "_at"])
-        return flat(found), flat(meta)
-
-    found, meta = asked(rows, F.array(F.lit(1)))
-    if pages.max_pages > 1 and (pages.has_next_meta or pages.current_page_meta):
-        going = rows.join(meta.where(follows).select(key), key, "left_semi")
-        more, told = asked(going, F.sequence(F.lit(2), F.lit(pages.max_pages)))
-        by = Window.partitionBy(key)
-        told = told.withColumns({"_n": F.row_number().over(by.orderBy("page")), "_end": F.min(F.when(~follows, F.col("page"))).over(by)})
-        told = told.where((F.col("_n") == F.col("page") - 1) & (F.col("page") <= F.coalesce("_end", F.col("page")))).drop("_n", "_end")
-        found = found.unionByName(more.join(told.select(key, "page"), [key, "page"], "left_semi"))
-        meta = meta.unionByName(told)
-    last = meta.withColumn("_last", F.max("page").over(Window.partitionBy(key))).where("page = _last").drop("_last")
-    return found, last
+    last = pages.max_pages if pages.has_next_meta or pages.current_page_meta else 1
+    each = rows.select(key, "vars", F.explode(F.sequence(F.lit(1), F.lit(last))).alias("page"))
+    named = F.create_map(F.lit(pages.page_var), F.col("page").cast("string"))
+    each = each.select(F.struct(key, "page").alias("_at"), responses.layered(F.col("vars"), named).alias("vars"))
+    found, meta = (df.select(f"_at.{key}", "_at.page", *[c for c in df.columns if c != "_at"]) for df in run_parts(each, "_at", steps, known, base))
+    by = Window.partitionBy(key)
+    told = meta.withColumns({"_n": F.row_number().over(by.orderBy("page")), "_end": F.min(F.when(~follows, F.col("page"))).over(by)})
+    told = told.where((F.col("_n") == F.col("page")) & (F.col("page") <= F.coalesce("_end", F.col("page")))).drop("_n", "_end")
+    found = found.join(told.select(key, "page"), [key, "page"], "left_semi")
+    return found, told.withColumn("_last", F.max("page").over(by)).where("page = _last").drop("_last")
 
 
 def run_body(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame, base: str = "", runtime: Runtime | None = None) -> DataFrame:
@@ -252,15 +249,39 @@ def run_body(rows: DataFrame, key: str, steps: Sequence[Step], known: DataFrame,
 
 
 def listing_steps(config: Mapping[str, str]) -> list[Step]:
-    """The one step of a short listing description: items with title, url and, where a next control is named, has_next."""
+    """The one step of a short listing description: items with title, url and, where named, cover; has_next is '1' or ''."""
     fields = {
         "title": Locator(selector=config.get("titleSelector", "")),
         "url": Locator(selector=config.get("urlSelector", ""), attr=config.get("urlAttr", "href")),
     }
-    meta = {"has_next": Locator(selector=config["nextSelector"], attr=config.get("nextAttr", "href"))} if config.get("nextSelector") else {}
+    if config.get("coverSelector"):
+        fields["cover"] = cover_locator([(config["coverSelector"], config.get("coverAttr", "src"))])
+    meta = {"has_next": Locator(selector=config["nextSelector"], exists=True)} if config.get("nextSelector") else {}
     return [Step(url=config["path"], output=Output(Locator(selector=config["itemSelector"]), fields, meta))]
 
 
+def cover_locator(chain: Sequence[tuple[str, str]]) -> Locator:
+    """The first of several (selector, attribute) that gives anything."""
+    (selector, attr), *rest = chain
+    return Locator(selector=selector, attr=attr, otherwise=(cover_locator(rest),) if rest else ())
+
+
+def chapters_steps(config: Mapping[str, str]) -> list[Step]:
+    """The steps of a short chapters description: where idSelector is named, a first step captures {id} for the request."""
+    fields = {"url": Locator(selector=config.get("urlSelector", ""), attr=config.get("urlAttr", "href"))}
+    if config.get("nameSelector") or config.get("nameAttr"):
+        fields["name"] = Locator(selector=config.get("nameSelector", ""), attr=config.get("nameAttr", ""))
+    if config.get("dateSelector"):
+        fields["date"] = Locator(selector=config["dateSelector"], attr=config.get("dateAttr", ""))
+    if config.get("lockedSelector"):
+        fields["locked"] = Locator(selector=config["lockedSelector"], exists=True)
+    if config.get("officialSelector"):
+        fields["official"] = Locator(selector=config["officialSelector"], attr=config.get("officialAttr", ""))
+    lookup = Step(url="{url}", capture={"id": Locator(selector=config.get("idSelector", ""), attr=config.get("idAttr", ""))})
+    listed = Step(url=config.get("path", "{url}"), method=config.get("method", "GET"), output=Output(Locator(selector=config["itemSelector"]), fields))
+    return [lookup, listed] if config.get("idSelector") else [listed]
+
+
 def pages_steps(config: Mapping[str, str]) -> list[Step]:
     """The one step of a short pages description: images of the document, or of a JSON list inside a script."""
     if config.get("scriptRegex"):

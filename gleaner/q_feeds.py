@@ -77,10 +77,10 @@ def shared_requests(spark, sf_dir):
     return responses.shared_requests(rows).select("url")
 
 
-@query("""SELECT user_id, CAST(day AS VARCHAR) AS day FROM (SELECT user_id, ts::DATE AS day, list(DISTINCT event_type) AS tags FROM events GROUP BY ALL) WHERE list_has_all(tags, ['click', 'view']) AND NOT list_has_any(tags, ['error'])""")
+@query("""SELECT user_id, strftime(hour, '%Y-%m-%d %H') AS hour FROM (SELECT user_id, date_trunc('hour', ts) AS hour, list(DISTINCT event_type) AS tags FROM events GROUP BY ALL) WHERE list_has_all(tags, ['click', 'view']) AND NOT list_has_any(tags, ['error'])""")
 def tag_browse(spark, sf_dir):
-    tags = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.collect_set("event_type").alias("tags"))
-    return tags.where(feeds.tagged(F.col("tags"), ["click", "view"], ["error"])).select("user_id", "day")
+    tags = table(spark, sf_dir, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.collect_set("event_type").alias("tags"))
+    return tags.where(feeds.tagged(F.col("tags"), ["click", "view"], ["error"])).select("user_id", "hour")
 
 
 @query("""SELECT group_id, (row_number() OVER (ORDER BY CASE WHEN group_id = 'r2' THEN 0 ELSE 1 END, seen, group_id))::INT AS group_pos, options FROM (SELECT 'r' || n_regionkey AS group_id, min(n_nationkey) AS seen, string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_name, n_nationkey::VARCHAR) AS options FROM nation GROUP BY ALL HAVING true)""".replace(" GROUP BY ALL HAVING true", " GROUP BY n_regionkey"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import col
-from gleaner.functions.urls import sorted_headers
+from gleaner.functions.urls import once, sorted_headers
 
 RESPONSES = (
     "source_id string, method string, url string, body_key string, transport string, status int, "
@@ -55,9 +55,11 @@ def transport(op: Column, wants_document: Column, method: Column, rendered_ops:
 def layered(*headers: Column | Mapping[str, str]) -> Column:
     """Headers of several layers, later ones winning."""
     maps = [h if isinstance(h, Column) else F.create_map(*[F.lit(x) for kv in h.items() for x in kv]) if h else F.expr("map()").cast("map<string,string>") for h in headers]
-    entries = F.concat(*[F.map_entries(m) for m in maps])
-    latest = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(latest)
+
+    def latest(entries: Column) -> Column:
+        return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
+
+    return F.map_from_entries(once(F.concat(*[F.map_entries(m) for m in maps]), latest))
 
 
 def is_challenge(status: Column, headers: Column, body: Column) -> Column:

@@ -24,7 +24,7 @@ def test_listing_with_meta_and_missing_responses(spark, known):
     config = {"path": "{url}", "itemSelector": "div.item", "titleSelector": "a", "urlSelector": "a", "nextSelector": "a.next"}
     runs = _runs(spark, a="l", b="gone", c="nowhere")
     found = steps.run(runs, "k", steps.listing_steps(config), known, "http://x/").orderBy("pos").collect()
-    assert [(r["k"], r["pos"], r["title"], r["url"], r["has_next"]) for r in found] == [("a", 0, "One", "/t/1", "?page=2"), ("a", 1, "Two", "/t/2", "?page=2")]
+    assert [(r["k"], r["pos"], r["title"], r["url"], r["has_next"]) for r in found] == [("a", 0, "One", "/t/1", "1"), ("a", 1, "Two", "/t/2", "1")]
 
 
 def test_defaults_and_fields_within_their_item(spark, known):
