@@ -59,3 +59,22 @@ def test_json_of_scripts_and_unset_names(spark):
     assert [r["j"] for r in rows.select(steps.regex_json("body", r"go\((\{.*?\})\)").alias("j")).collect()] == ['{"a":2}', '{"a":1}', ""]
     row = spark.range(1).select(F.create_map(F.lit("a"), F.lit("1")).alias("vars"))
     assert row.select(steps.substituted("/{a}/{b}").alias("u")).first()["u"] == "/1/{b}"
+
+
+def test_script_steps_need_a_runtime_and_capture_its_result(spark, known):
+    step = Step(script=steps.Script("up", {"a": "{url}"}, capture="out"))
+    with pytest.raises(RuntimeError):
+        steps.run_body(_runs(spark, a="l"), "k", [step], known)
+    told = steps.run_body(_runs(spark, a="l"), "k", [step], known, runtime=lambda code, args: F.concat(F.lit(f" {code}:"), F.get_json_object(args, "$.a"), F.lit(" ")))
+    assert told.first()["vars"] == {"url": "l", "out": "up:l"}
+
+
+def test_pages_end_at_their_last_number_or_at_a_gap(spark):
+    body = lambda n, last: f'{{"data":[{{"v":"{n}"}}],"at":"{n}","last":"{last}"}}'
+    pages = [("a/1", body(1, 2)), ("a/2", body(2, 2)), ("a/3", body(3, 9)), ("b/1", body(1, 9)), ("b/3", body(3, 9))]
+    known = spark.createDataFrame([("GET", f"http://x/{u}", "", "plain", 200, None, b) for u, b in pages], KNOWN)
+    out = Output(Locator(path="data"), {"value": Locator(path="v")}, {"at": Locator(path="at"), "last": Locator(path="last")})
+    ask = [Step(url="{url}/{page}", parse="json", output=out)]
+    found, last = steps.paged(_runs(spark, a="a", b="b"), "k", ask, known, "http://x/", steps.Pagination(current_page_meta="at", last_page_meta="last", max_pages=4))
+    assert sorted((r["k"], r["page"], r["value"]) for r in found.collect()) == [("a", 1, "1"), ("a", 2, "2"), ("b", 1, "1")]
+    assert sorted((r["k"], r["page"]) for r in last.collect()) == [("a", 2), ("b", 1)]
