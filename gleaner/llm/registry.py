@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import q_ann, q_chat, q_decontam, q_dedup, q_hardneg, q_langid, q_lm, q_merkle, q_quality, q_tokens
+from gleaner.llm import q_ann, q_chat, q_decontam, q_dedup, q_hardneg, q_langid, q_lm, q_merkle, q_quality, q_tokens, q_wrapper
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_lm_score": q_lm.op8_lm_score,
         "op9_ordinal_quality": q_quality.op9_ordinal_quality,
         "op10_decontaminate": q_decontam.op10_decontaminate,
+        "op11_html_extraction": q_wrapper.op11_html_extraction,
         "op12_merkle_manifest": q_merkle.op12_merkle_manifest,
         "op13_hard_negatives": q_hardneg.op13_hard_negatives,
     }
@@ -25,6 +26,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": q_chat.ORACLE,
+        "op11_html_extraction": q_wrapper.ORACLE,
         "op12_merkle_manifest": q_merkle.ORACLE,
         "op13_hard_negatives": q_hardneg.ORACLE,
     }
