@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut
 
-BLOCK, BUCKET, CHUNK = 8192, 64, 1024
+BLOCK, BUCKET, CHUNK = 8192, 256, 1024
 LEAVES = 4096
 SLACK = 1e-9
 EXACT = 2.0**52
@@ -107,45 +107,59 @@ class Block:
         whole = np.frombuffer(vectors, f"<i{width}").reshape(-1, dim)
         self.x = whole.astype(np.float64 if m2 < EXACT else object)
         self.tree = np.frombuffer(tree, np.float64).reshape(-1, NODE)
+        self.nodes = self.tree.tolist()
         self.inner = np.flatnonzero(self.tree[:, 2] >= 0)
         self.vantages = whole[self.tree[self.inner, 2].astype(np.int64)].astype(np.float64)
 
-    def scores(self, lo: int, hi: int, q: np.ndarray) -> np.ndarray:
-        return self.x[lo:hi] @ q
+        self.asker: tuple = ()
+        self.told: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def scored(self, lo: int, hi: int, own: int, q: np.ndarray, label: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Negated scores, vec_ids and row_ids of a bucket's rows with a fitting label, best first; kept while the asker stays."""
+        if self.asker != (own, same):
+            self.asker, self.told = (own, same), {}
+        if lo not in self.told:
+            fits = np.flatnonzero(((self.labels[lo:hi] == label) == same) & (self.rows[lo:hi] != own)) + lo
+            minus = -(self.x[lo:hi] @ q)[fits - lo]
+            order = np.lexsort((self.rows[fits], self.ids[fits], minus))
+            self.told[lo] = minus[order], self.ids[fits][order], self.rows[fits][order]
+        return self.told[lo]
 
     def nearest(self, own: int, q: np.ndarray, label: int, same: bool, least: int, most: int, k: int) -> Iterator[tuple[int, int, int]]:
-        """(score, vec_id, row_id) of rows with a fitting label and a score in the window, best first, at most k of them."""
+        """(score, vec_id, row_id) of rows with a fitting label and a score in the window, best first, at most k of them.
+
+        The queue holds subtrees by the best score that they may have, and of each bucket that was read the next row.
+        """
         length = q.astype(np.float64)
         whole = float(length @ length) + self.m2
         slack = SLACK * whole + 1e-6
         reach = np.zeros(len(self.tree))
         reach[self.inner] = np.sqrt(np.maximum(whole - 2 * (self.vantages @ length), 0.0))
         exact = q.astype(self.x.dtype)
-        queue: list[tuple] = [(-most, 0, 0, 0, 0.0, np.inf)]
-        left = k
-        while queue and left:
-            worst, is_row, at, row, near, far = heapq.heappop(queue)
+        queue: list[tuple] = [(-most, 0, 0, 0, (0.0, np.inf))]
+        while queue and k:
+            worst, is_row, at, row, more = heapq.heappop(queue)
             if is_row:
-                left -= 1
-                yield -worst, at, row
+                k -= 1
+                yield -int(worst), at, row
+                found, i, end = more
+                if i < end:
+                    heapq.heappush(queue, (found[0][i], 1, int(found[1][i]), int(found[2][i]), (found, i + 1, end)))
                 continue
-            lo, hi, vantage, a, b, c, d, child = self.tree[at].tolist()
-            lo, hi, child = int(lo), int(hi), int(child)
+            lo, hi, vantage, a, b, c, d, child = self.nodes[at]
+            near, far = more
             if vantage < 0:
-                s = self.scores(lo, hi, exact)
-                fits = (s >= least) & (s <= most) & ((self.labels[lo:hi] == label) == same) & (self.rows[lo:hi] != own)
-                picked = np.flatnonzero(fits)
-                s = s[picked]
-                best = np.lexsort((self.rows[lo:hi][picked], self.ids[lo:hi][picked], -s))[:left] if len(s) else []
-                for i in best:
-                    heapq.heappush(queue, (-int(s[i]), 1, int(self.ids[lo + picked[i]]), int(self.rows[lo + picked[i]]), 0.0, 0.0))
+                found = self.scored(int(lo), int(hi), own, exact, label, same)
+                i, end = np.searchsorted(found[0], -most, "left"), np.searchsorted(found[0], -least, "right")
+                if i < end:
+                    heapq.heappush(queue, (found[0][i], 1, int(found[1][i]), int(found[2][i]), (found, i + 1, end)))
                 continue
             r = reach[at]
-            for node, inner, outer in ((child, a, b), (child + 1, c, d)):
+            for node, inner, outer in ((int(child), a, b), (int(child) + 1, c, d)):
                 nearest, farthest = max(near, r - outer, inner - r), min(far, r + outer)
                 upper, lower = (whole - nearest * nearest) / 2 + slack, (whole - farthest * farthest) / 2 - slack
                 if upper >= least and lower <= most:
-                    heapq.heappush(queue, (-min(upper, most), 0, node, 0, nearest, farthest))
+                    heapq.heappush(queue, (-min(upper, most), 0, node, 0, (nearest, farthest)))
 
 
 @dataclass
@@ -290,11 +304,11 @@ class Index:
         m2, chunks = self.m2, max(1, -(-n_queries // CHUNK))
         parts = self.blocks.groupBy("leaf").agg(F.max("part").alias("last"))
         asks = visits.join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).drop("last")
-        asks = asks.withColumns({"chunk": F.pmod(F.xxhash64("q_row", "p_row"), F.lit(chunks)), "turn": F.lit(1)})
+        asks = asks.withColumns({"chunk": F.pmod(F.xxhash64("q_row"), F.lit(chunks)), "turn": F.lit(1)})
         heads = self.blocks.withColumns({"chunk": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))), "turn": F.lit(0)})
         both = heads.unionByName(asks, allowMissingColumns=True)
         blob = ["dim", "rows", "ids", "labels", "vectors", "width", "tree"]
-        both = both.repartition("leaf", "part", "chunk").sortWithinPartitions("leaf", "part", "chunk", "turn").select("turn", *blob, *QUERY)
+        both = both.repartition("leaf", "part", "chunk").sortWithinPartitions("leaf", "part", "chunk", "turn", "q_row").select("turn", *blob, *QUERY)
 
         def run(batches):
             block = None

@@ -69,6 +69,7 @@ def test_queue_leaves_out_subtrees(monkeypatch):
     """On rows that stand in clusters more than half of them are never looked at."""
     import numpy as np
 
+    monkeypatch.setattr(vptree, "BUCKET", 64)
     rng = np.random.default_rng(5)
     x = np.repeat(rng.integers(-4000, 4000, (40, 6)), 100, axis=0) + rng.integers(-20, 20, (4000, 6))
     m2 = float((x.astype(float) ** 2).sum(axis=1).max())
@@ -76,8 +77,8 @@ def test_queue_leaves_out_subtrees(monkeypatch):
     ids = np.arange(4000)[order].astype(np.int64)
     block = vptree.Block(m2, 6, ids.tobytes(), ids.tobytes(), (ids % 2).tobytes(), x[order].astype("<i4").tobytes(), 4, tree.tobytes())
     looked = []
-    scores = block.scores
-    monkeypatch.setattr(block, "scores", lambda lo, hi, q: looked.append(hi - lo) or scores(lo, hi, q))
+    scored = block.scored
+    monkeypatch.setattr(block, "scored", lambda lo, hi, *rest: looked.append(hi - lo) or scored(lo, hi, *rest))
     q = x[17]
     best = int((q @ q) * 1.1)
     got = [s for s, _, _ in block.nearest(17, q, 1, False, best // 2, best, 10)]
