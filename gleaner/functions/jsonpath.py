@@ -75,17 +75,20 @@ def scalar(node: Column) -> Column:
     return F.when(_is(node, "{") | _is(node, "["), None).otherwise(node)
 
 
-def template(text: str, item: Column, root: Column | None = None, variables: Mapping[str, Column] | None = None, value: Column | None = None) -> Column:
-    """{value}, {variable}, {path in item} or {path in root}, in that order of preference; null if one is missing."""
+def template(text: str, item: Column, root: Column | None = None, variables: Mapping[str, Column] | Column | None = None, value: Column | None = None) -> Column:
+    """{value}, {variable}, {path in item} or {path in root}, in that order of preference; null if one is missing.
+
+    variables are columns by name, or one map column whose names are only known by row.
+    """
     found: dict[str, Column] = {}
     for name in re.findall(r"\{([^{}]*)\}", text):
         if name == "value" and value is not None:
             found[name] = value
-        elif variables and name in variables:
+        elif isinstance(variables, Mapping) and name in variables:
             found[name] = variables[name]
         else:
-            own = scalar(path(item, name))
-            found[name] = F.coalesce(own, scalar(path(root, name))) if root is not None else own
+            own = [scalar(path(item, name)), *([scalar(path(root, name))] if root is not None else [])]
+            found[name] = F.coalesce(*([F.element_at(variables, F.lit(name))] if isinstance(variables, Column) else []), *own)
     return render(text, found)
 
 
@@ -107,13 +110,32 @@ def name_of(item: Column, parts: list[str], join: str = " ", default: str = "")
 
 def unwrapped(node: Column, times: int = 5) -> Column:
     """JSON text that is itself a JSON string, unwrapped up to so many times."""
-    for _ in range(times):
-        inner = F.get_json_object(F.concat(F.lit('{"v":'), node, F.lit("}")), "$.v")
-        node = F.when(_is(node, '"'), F.coalesce(inner, node)).otherwise(node)
-    return node
+    inner = lambda n: F.coalesce(F.get_json_object(F.concat(F.lit('{"v":'), n, F.lit("}")), "$.v"), n)
+    return F.aggregate(F.array_repeat(F.lit(0), times), node, lambda n, _: F.when(_is(n, '"'), inner(n)).otherwise(n))
 
 
 def number(node: Column | str, dotted: str) -> Column:
     """The number at a path of keys and positions; null for anything else, digits inside a JSON string included."""
     whole = F.try_variant_get(F.try_parse_json(col(node)), "$." + dotted, "variant")
     return F.when(F.schema_of_variant(whole).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(F.try_parse_json(col(node)), "$." + dotted, "double"))
+
+
+def with_path(node: Column | str, names: list[str], value: Column) -> Column:
+    """JSON text with value (JSON text) put at a path of keys; objects that are missing there, or are none, are made.
+
+    Everything else stays, numbers and texts each as what they are; the keys of changed objects are in order of their names.
+    """
+    if not names:
+        return value
+    name, *rest = names
+
+    def put(whole: Column) -> Column:
+        entries = F.coalesce(F.map_entries(F.try_variant_get(F.try_parse_json(whole), "$", "map<string,variant>")), F.expr("map_entries(cast(map() as map<string,variant>))"))
+        told = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v")))
+        inner = F.get(F.transform(F.filter(told, lambda e: e["k"] == name), lambda e: e["v"]), F.lit(0))
+        new = F.array(F.struct(F.lit(name).alias("k"), with_path(inner, rest, value).alias("v")))
+        every = F.array_sort(F.concat(F.filter(told, lambda e: e["k"] != name), new))
+        quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+        return F.concat(F.lit("{"), F.array_join(F.transform(every, lambda e: F.concat(quoted(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+
+    return F.get(F.transform(F.array(col(node)), put), F.lit(0))

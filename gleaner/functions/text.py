@@ -46,9 +46,9 @@ def capture(value: Column | str, pattern: str) -> Column:
 
 
 def _java_replacement(replacement: str) -> str:
-    """$1 to $9 stay group references of one digit, all else is literal."""
-    parts = re.split(r"(\$[0-9])", replacement)
-    return "".join(p if re.fullmatch(r"\$[0-9]", p) else p.replace("\\", "\\\\").replace("$", "\\$") for p in parts)
+    """$0 to $9 stay group references of one digit, all else is literal, a digit straight after a reference included."""
+    literal = lambda p: re.sub(r"^(?=[0-9])", r"\\", p.replace("\\", "\\\\").replace("$", "\\$"))
+    return "".join(p if re.fullmatch(r"\$[0-9]", p) else literal(p) for p in re.split(r"(\$[0-9])", replacement))
 
 
 def rewrite(value: Column | str, find: str | None = None, pattern: str | None = None, replace: str = "") -> Column:
@@ -57,8 +57,6 @@ def rewrite(value: Column | str, find: str | None = None, pattern: str | None =
         return F.replace(col(value), F.lit(find), F.lit(replace))
     if not pattern:
         return col(value)
-    if re.search(r"\$[0-9](?=[0-9])", replace):
-        raise ValueError("a digit straight after a group reference is ambiguous")
     return F.regexp_replace(col(value), pattern, _java_replacement(replace))
 
 

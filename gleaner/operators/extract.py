@@ -96,21 +96,21 @@ def inside(nodes: DataFrame, key: str, items: DataFrame, selector: str) -> DataF
     return below.join(nxt, key).where((F.col("node") >= F.col("item_node")) & (F.col("node") < F.col("until")) & (F.col("node") <= F.col("item_last")))
 
 
-def label_rows(rows: DataFrame, key: str, labels: Mapping[str, Sequence[str]], joins: Mapping[str, str] | None = None) -> DataFrame:
-    """rows(key, row_pos, label, value_pos, value) gathered by field: every value of a row whose label holds one of the field's.
+def label_values(rows: DataFrame, key: str, labels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """rows(key, row_pos, label, value_pos, value) gathered by field: key, field, values of all rows whose label holds one of the field's.
 
-    Values are tidied, empty ones dropped, and joined in order by the field's separator.
+    Values are tidied and in order; empty ones are dropped. All fields share one grouping.
     """
-    out = None
-    for name, wanted in labels.items():
-        test = F.lit(False)
-        for label in wanted:
-            test = test | F.contains(F.lower("label"), F.lit(label.lower()))
-        one = rows.where(test).select(key, "row_pos", "value_pos", tidy("value").alias("v")).where("v <> ''")
-        ordered = F.transform(F.array_sort(F.collect_list(F.struct("row_pos", "value_pos", "v"))), lambda s: s["v"])
-        one = one.groupBy(key).agg(F.array_join(ordered, (joins or {}).get(name, ", ")).alias("value")).select(key, F.lit(name).alias("field"), "value")
-        out = one if out is None else out.unionByName(one)
-    return out
+    fields = F.filter(F.array(*[F.when(F.exists(F.array(*[F.lit(w.lower()) for w in wanted]), lambda w: F.contains(F.lower("label"), w)), F.lit(name)) for name, wanted in labels.items()]), lambda f: f.isNotNull())
+    each = rows.select(key, "row_pos", "value_pos", tidy("value").alias("v"), F.explode(fields).alias("field")).where("v <> ''")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("row_pos", "value_pos", "v"))), lambda s: s["v"])
+    return each.groupBy(key, "field").agg(ordered.alias("values"))
+
+
+def label_rows(rows: DataFrame, key: str, labels: Mapping[str, Sequence[str]], joins: Mapping[str, str] | None = None) -> DataFrame:
+    """label_values as one text a field: key, field, value, joined by the field's separator."""
+    separator = F.coalesce(*[F.when(F.col("field") == name, F.lit(j)) for name, j in (joins or {}).items()], F.lit(", "))
+    return label_values(rows, key, labels).select(key, "field", F.array_join("values", "\x00").alias("_v"), separator.alias("_j")).select(key, "field", F.replace("_v", F.lit("\x00"), F.col("_j")).alias("value"))
 
 
 def lazy_source(source: Column, lazy: Column, within: str) -> Column:

@@ -8,6 +8,7 @@ page, with its items in an array, as a page is one response; all else is a row f
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,18 +49,31 @@ def _fetched(asks: DataFrame, url: Column, known: DataFrame) -> DataFrame:
     return got.drop(*responses.KEY, "status", "headers")
 
 
-def listing(asks: DataFrame, key: str, config: Mapping[str, str], known: DataFrame, base: str, page_size: int = 0, path_safe: bool = False, params: Params = ()) -> DataFrame:
+def asked_for(query: Column | str, config: Mapping) -> Column:
+    """A query as the site wants it: by its queryMap, else as it is, then through queryReplace (find, pattern, replacement)."""
+    whole = F.coalesce(text.lookup(query, config.get("queryMap", {})), text.col(query)) if config.get("queryMap") else text.col(query)
+    if config.get("queryReplace"):
+        find, pattern, put = config["queryReplace"]
+        whole = text.rewrite(whole, find=find or None, pattern=pattern or None, replace=put)
+    return text.trim(whole)
+
+
+def listing(asks: DataFrame, key: str, config: Mapping, known: DataFrame, base: str, page_size: int = 0, path_safe: bool = False, params: Params = ()) -> DataFrame:
     """asks(key, page, query) of a listing in markup: key, items (title, url, cover) that have address and title, has_next.
 
-    has_next: by the total where totalSelector finds one, by a full page where no nextSelector is named, else by that.
+    has_next: by the total where totalSelector finds one, by a full page where no nextSelector is named, else by that. With a
+    method POST the body is sent, filled like the path.
     """
-    asks = page_urls(asks, config.get("path", ""), base, page_size, path_safe=path_safe, params=params)
-    described = steps.listing_steps({**config, "path": "{listing}"})[0]
+    asks = page_urls(asks.withColumn("query", asked_for("query", config)), config.get("path", ""), base, page_size, path_safe=path_safe, params=params)
+    query = urls.encode_component("query") if path_safe else urls.encode_query("query")
+    post = config.get("method", "GET").upper() == "POST"
+    body = text.substitute(F.lit(config.get("body", "") if post else ""), text.page_values(F.col("page"), page_size, query))
+    described = steps.listing_steps({**config, "path": "{listing}", "body": "{body}" if post and config.get("body") else ""})[0]
     meta = dict(described.output.meta)
     if config.get("totalSelector"):
         meta["total"] = Locator(selector=config["totalSelector"])
-    step = steps.Step(url="{listing}", output=steps.Output(described.output.items, described.output.fields, meta))
-    runs = asks.select(key, F.create_map(F.lit("listing"), F.col("_url")).alias("vars"))
+    step = replace(described, output=steps.Output(described.output.items, described.output.fields, meta))
+    runs = asks.select(key, F.create_map(F.lit("listing"), F.col("_url"), F.lit("body"), body).alias("vars"))
     found, told = steps.run_parts(runs, key, [step], known, base)
     cover = F.col("cover") if "cover" in found.columns else F.lit("")
     kept = feeds.complete(found).select(key, "pos", F.struct("title", urls.resolve(F.lit(base), "url").alias("url"), urls.resolve(F.lit(base), cover).alias("cover")).cast(ITEM).alias("item"))
@@ -96,43 +110,71 @@ def tag_asks(asks: DataFrame, included: str = "included") -> DataFrame:
     return asks.where(F.size(included) > 0).withColumn("query", F.get(included, F.lit(0)))
 
 
-def details(items: DataFrame, key: str, known: DataFrame, base: str, fields: Mapping[str, Locator], genres: tuple[str, str] | None = None, rows: Mapping | None = None, kept: Sequence[str] = ("title", "cover")) -> DataFrame:
+def details(
+    items: DataFrame, key: str, known: DataFrame, base: str, fields: Mapping[str, Locator], genres: tuple[str, str] | None = None, rows: Mapping | None = None, kept: Sequence[str] = ("title", "cover", "banner", "background"),
+    absolute: Sequence[str] = ("cover", "banner", "background"), statuses: Mapping[str, str] | None = None, unlisted: tuple[str, str] | None = None,
+) -> DataFrame:
     """items(key, url and columns of the fields) with what their pages say; without a response an item stays as it is.
 
-    An empty finding keeps the old value of the columns in kept and empties the others. rows names selectors row, label
-    and value, and labels and joins by field: what labelled rows say of a field goes before its locator. genres are a list.
+    An empty finding keeps the old value of the columns in kept and empties the others; those in absolute are resolved. rows
+    names selectors row, label and value, and labels and joins by field: what labelled rows say of a field goes before its
+    locator, the first of them for status, which is mapped by statuses, and all of them for genres. genres are a list;
+    unlisted (selector, attribute) gives a column of the first number there, 0 without one.
     """
     got = _fetched(items.select(key, "url"), urls.resolve(F.lit(base), "url"), known)
     nodes = html.nodes(got.select(key, F.col("body").alias("html")), key)
-    found = extract.firsts(nodes, key, steps._markup(fields))
-    found = got.select(key).join(found, key, "left").select(key, *[steps._chained(name, at).alias(f"_{name}") for name, at in fields.items()])
+    wanted = {**fields, **({"unlisted": Locator(selector=unlisted[0], attr=unlisted[1])} if unlisted else {})}
+    found = extract.firsts(nodes, key, steps._markup(wanted))
+    found = got.select(key).join(found, key, "left").select(key, *[steps._chained(name, at).alias(f"_{name}") for name, at in wanted.items()])
+    found = found.withColumns({f"_{name}": urls.resolve(F.lit(base), f"_{name}") for name in absolute if name in fields})
+    if unlisted:
+        found = found.withColumn("_unlisted", text.first_digits("_unlisted"))
     if genres:
         found = found.join(extract.texts_of(nodes, key, *genres, "_genres"), key, "left").withColumn("_genres", F.coalesce("_genres", F.array().cast("array<string>")))
-    if rows:
-        labelled = extract.label_rows(extract.label_table(nodes, key, rows["row"], rows["label"], rows.get("value", "")), key, rows["labels"], rows.get("joins"))
-        labelled = labelled.groupBy(key).agg(*[F.max(F.when(F.col("field") == name, F.col("value"))).alias(f"_row_{name}") for name in rows["labels"]])
-        found = found.join(labelled, key, "left")
-        for name in rows["labels"]:
-            found = found.withColumn(f"_{name}", F.coalesce(f"_row_{name}", *([f"_{name}"] if name in fields else [])))
-    named = [*dict.fromkeys([*fields, *(["genres"] if genres else []), *(rows["labels"] if rows else [])])]
+    labels = rows["labels"] if rows else {}
+    if labels:
+        told = extract.label_values(extract.label_table(nodes, key, rows["row"], rows["label"], rows.get("value", "")), key, labels)
+        told = told.groupBy(key).agg(*[F.max(F.when(F.col("field") == name, F.col("values"))).alias(f"_row_{name}") for name in labels])
+        found = found.join(told, key, "left")
+        for name in labels:
+            joined = F.array_join(f"_row_{name}", (rows.get("joins") or {}).get(name, ", "))
+            own = F.col(f"_row_{name}") if name == "genres" else text.status(F.get(f"_row_{name}", F.lit(0)), statuses) if name == "status" else joined
+            first = F.when(F.col(f"_row_{name}").isNotNull(), own)
+            found = found.withColumn(f"_{name}", F.coalesce(first, *([F.col(f"_{name}")] if f"_{name}" in found.columns else [])))
+    named = [*dict.fromkeys([*wanted, *(["genres"] if genres else []), *labels])]
     out = items.join(found.withColumn("_read", F.lit(True)), key, "left")
     for name in named:
         old = F.col(name) if name in items.columns else F.lit(None)
-        new = F.coalesce(F.nullif(F.col(f"_{name}"), F.lit("")), old) if name in kept else F.col(f"_{name}")
+        new = F.col(f"_{name}")
+        if name in kept:
+            new = F.coalesce(F.nullif(new, F.lit("")), old)
+        elif name in labels and name not in fields and not (name == "genres" and genres):
+            new = F.coalesce(new, old)
         out = out.withColumn(name, F.when(F.col("_read"), new).otherwise(old))
     return out.select(*items.columns, *[n for n in named if n not in items.columns])
 
 
-def api_details(items: DataFrame, key: str, path: str, at: str, spec: Mapping[str, Locator], known: DataFrame, base: str, kept: Sequence[str] = ("title", "cover")) -> DataFrame:
-    """items(key, url, columns of spec) with what JSON details say: {url} in path; no item leaves them as they are."""
+def api_details(items: DataFrame, key: str, path: str, at: str, spec: Mapping[str, Locator], known: DataFrame, base: str, kept: Sequence[str] = ("title", "cover"), genres: tuple[str, str] | None = None) -> DataFrame:
+    """items(key, url, columns of spec) with what JSON details say: {url} in path; no item leaves them as they are.
+
+    Nor does an item change anything whose url, where spec names one, is empty. description loses its markup; genres, a list
+    and the value in its elements, replace the old ones unless there are none.
+    """
     got = _fetched(items.select(key, "url"), F.concat(F.lit(base), text.substitute(F.lit(path), {"url": F.col("url")})), known)
     item = jsonpath.path("body", at) if at else F.col("body")
-    got = got.withColumn("_item", item).where("_item IS NOT NULL").select(key, api_item(F.col("_item"), F.col("body"), spec).alias("_new"))
+    got = got.withColumn("_item", item).where("_item IS NOT NULL").select(key, api_item(F.col("_item"), F.col("body"), spec).alias("_new"), *([jsonpath.list_of(F.col("_item"), *genres).alias("_genres")] if genres else []))
+    if "url" in spec:
+        got = got.where(F.coalesce("_new.url", F.lit("")) != "")
     out = items.join(got, key, "left")
     for name in spec:
         new, old = F.col(f"_new.{name}"), F.col(name)
-        out = out.withColumn(name, F.when(F.col("_new").isNull(), old).otherwise(F.coalesce(F.nullif(new, F.lit("")), old) if name in kept else new))
-    return out.select(*items.columns)
+        new = text.plain_text(new) if name == "description" else new
+        if name != "url":
+            out = out.withColumn(name, F.when(F.col("_new").isNull(), old).otherwise(F.coalesce(F.nullif(new, F.lit("")), old) if name in kept else new))
+    if genres:
+        old = F.col("genres") if "genres" in items.columns else F.array().cast("array<string>")
+        out = out.withColumn("genres", F.when(F.size(F.coalesce("_genres", F.array().cast("array<string>"))) > 0, F.col("_genres")).otherwise(old))
+    return out.select(*items.columns, *(["genres"] if genres and "genres" not in items.columns else []))
 
 
 def chapters(items: DataFrame, key: str, config: Mapping[str, str], known: DataFrame, base: str, newest_first: bool = True) -> DataFrame:
@@ -152,9 +194,12 @@ def told_chapters(found: DataFrame, key: str, config: Mapping[str, str], base: s
     return told.select(key, "pos", urls.resolve(F.lit(base), "url").alias("url"), "name", "uploaded", "locked", "official")
 
 
-def api_chapters(items: DataFrame, key: str, path: str, at: str, spec: Mapping[str, Locator], known: DataFrame, base: str, page_size: int, total: str = "", skip_if: str = "", max_items: int = 1000, ceiling: int = 10_000) -> DataFrame:
+def api_chapters(items: DataFrame, key: str, path: str, at: str, spec: Mapping[str, Locator], known: DataFrame, base: str, page_size: int, total: str = "", skip_if: str = "", max_items: int = 1000, ceiling: int = 10_000, name_parts: Sequence[str] = (), join: str = " ", default: str = "", locked: str = "", official: str = "") -> DataFrame:
     """Chapters of items(key, url) in a JSON feed: key, pos and the fields of spec, number as a double (-1 without one).
 
+    A name may be joined from name_parts, paths of the item; a date of spec becomes the time uploaded; locked and official
+    are paths whose value counts as true unless it is false, zero or empty.
+
     Pages follow until one is empty, the total (at most ceiling; max_items where none is told) is reached, or no total is
     told and a page is short. First pages are asked alone, then all later ones of the feeds that go on.
     """
@@ -178,7 +223,12 @@ def api_chapters(items: DataFrame, key: str, path: str, at: str, spec: Mapping[s
     rows = first.unionByName(later).select(key, "page", "body", F.posexplode("data").alias("_pos", "item"))
     if skip_if:
         rows = rows.where(jsonpath.path("item", skip_if).isNull())
-    rows = rows.select(key, "page", "_pos", api_item(F.col("item"), F.col("body"), spec).alias("c")).select(key, "page", "_pos", "c.*").where("url <> ''")
+    more = {"name": jsonpath.name_of(F.col("item"), list(name_parts), join, default)} if name_parts else {}
+    more |= {name: text.truthy(jsonpath.path("item", at)) for name, at in (("locked", locked), ("official", official)) if at}
+    rows = rows.select(key, "page", "_pos", api_item(F.col("item"), F.col("body"), spec).alias("c"), *[c.alias(name) for name, c in more.items()])
+    rows = rows.select(key, "page", "_pos", "c.*", *more).where("url <> ''")
+    if "date" in spec:
+        rows = rows.withColumn("uploaded", text.source_date("date")).drop("date")
     if "number" in spec:
         rows = rows.withColumn("number", text.number_or("number"))
     pos = F.row_number().over(Window.partitionBy(key).orderBy("page", "_pos")) - 1

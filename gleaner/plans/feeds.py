@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import first_filled
+from gleaner.sources.store import cut
 
 
 def catalog_page(items: DataFrame, key: Sequence[str], order: Sequence[Column | str], page: int, page_size: int) -> DataFrame:
@@ -105,15 +106,19 @@ def first_of_each(tables: Sequence[DataFrame], key: str) -> DataFrame:
 
 
 def follow(start: DataFrame, responses: DataFrame, max_pages: int = 50) -> DataFrame:
-    """Pages reached from start(url) by responses(url, next): url, page. A recursive query; next null or '' ends a chain."""
-    spark = start.sparkSession
-    start.createOrReplaceTempView("_follow_start")
-    responses.createOrReplaceTempView("_follow_responses")
-    return spark.sql(
-        f"""WITH RECURSIVE reached(origin, url, page) AS (
-              SELECT url, url, 1 FROM _follow_start
-              UNION ALL
-              SELECT origin, n.next, page + 1 FROM reached JOIN _follow_responses n ON n.url = reached.url
-              WHERE n.next <> '' AND page < {int(max_pages)})
-            SELECT origin, url, page FROM reached"""
-    )
+    """Pages reached from start(url) by responses(url, next): origin, url, page, at most max_pages a chain; next null or '' ends one.
+
+    Links are joined with themselves, so that they lead 1, 2, 4 and more pages on, and each round doubles what is reached:
+    as many rounds as max_pages has binary digits, without any bound on rows. Repeated starts and links count once.
+    """
+    reached = start.select(F.col("url").alias("origin"), "url", F.lit(1).alias("page")).distinct()
+    leap = responses.where("next <> ''").select("url", "next").distinct()
+    step = 1
+    while step < max_pages:
+        far = reached.where(F.col("page") + step <= max_pages).join(leap, "url").select("origin", F.col("next").alias("url"), (F.col("page") + step).alias("page"))
+        reached = cut(reached.unionByName(far))
+        step *= 2
+        if step < max_pages:
+            again = leap.select(F.col("url").alias("next"), F.col("next").alias("_then"))
+            leap = cut(leap.join(again, "next").select("url", F.col("_then").alias("next")))
+    return reached

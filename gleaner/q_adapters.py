@@ -214,3 +214,75 @@ def probe_stages(spark, sf_dir):
     genres = F.when(F.col("c_custkey") % 2 == 0, F.array("c_mktsegment")).otherwise(F.array().cast("array<string>"))
     tag = feeds.guessed_tag(genres, F.array(F.lit("first"), F.lit("second")))
     return rows.select("c_custkey", feeds.probe_status(stages).alias("full_run"), feeds.probe_status(stages, ["chapters"]).alias("without_chapters"), tag.alias("tag"))
+
+
+@query("""WITH i AS (SELECT p_partkey, i, CASE (p_size + i) % 4 WHEN 0 THEN '' WHEN 1 THEN 'data:image/png;base64,AA' WHEN 2 THEN '/spinner.gif' ELSE '/' || p_partkey || '-' || i || '.png' END AS src, CASE WHEN p_size % 9 = 0 THEN '' ELSE '/real/' || p_partkey || '-' || i || '.png' END AS real FROM part, range(6) AS r(i)),
+  v AS (SELECT *, CASE WHEN src = '' OR src LIKE 'data:%' OR count(*) OVER (PARTITION BY p_partkey, src) > 1 THEN real ELSE src END AS v FROM i)
+  SELECT p_partkey, (row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1)::INT AS pos, 'http://x.test' || v AS value FROM v WHERE v <> ''""")
+def adapter_lazy_pages(spark, sf_dir):
+    """Images that load late: no source, inline data or a picture that several share give way to data-src; without one the image goes."""
+    part = table(spark, sf_dir, "part")
+    numbers = F.sequence(F.lit(0), F.lit(5))
+    name = lambda i: _text(_string("p_partkey"), "-", i.cast("string"), ".png")
+    src = lambda i: F.when((F.col("p_size") + i) % 4 == 0, "").when((F.col("p_size") + i) % 4 == 1, ' src=" data:image/png;base64,AA "').when((F.col("p_size") + i) % 4 == 2, ' src="/spinner.gif"').otherwise(_text(' src="/', name(i), '"'))
+    image = lambda i: _text("<img", src(i), F.when(F.col("p_size") % 9 == 0, "").otherwise(_text(' data-src="/real/', name(i), '"')), ">")
+    known = _known(part, _text(SITE, "c/", _string("p_partkey")), _text("<main>", F.array_join(F.transform(numbers, image), ""), "</main>"))
+    items = part.select("p_partkey", _text("/c/", _string("p_partkey")).alias("url"))
+    return adapters.pages(items, "p_partkey", {"imageSelector": "main img"}, known, SITE)
+
+
+@query(_BRANDS + """ SELECT p_brand || '/' || page AS ask, (row_number() OVER (PARTITION BY p_brand, page ORDER BY p_partkey) - 1)::INT AS pos, p_name AS title, 'http://x.test/p/' || p_partkey AS url,
+  'http://x.test/' || CASE WHEN p_size % 2 = 0 THEN 'b/' ELSE 'c/' END || p_partkey || '.png' AS cover, count(*) OVER (PARTITION BY p_brand, page) >= 10 AS has_next FROM q""")
+def adapter_post_search(spark, sf_dir):
+    """A search by POST: queries by a map or with their words joined, titles from an attribute, covers by a chain; a full page says that one follows."""
+    parts = table(spark, sf_dir, "part")
+    first = parts.agg(F.min("p_brand")).first()[0]
+    wanted = F.when(F.col("p_brand") == first, "the first").otherwise(F.regexp_replace("p_brand", "#", "_"))
+    item = lambda s: _text('<div class="item"><a href="p/', s["p_partkey"].cast("string"), '" title=" ', s["p_name"], ' ">x</a>', F.when(s["p_size"] % 2 == 0, _text('<img class="big" src="b/', s["p_partkey"].cast("string"), '.png">')).otherwise(""), '<img src="c/', s["p_partkey"].cast("string"), '.png"></div>')
+    sent = F.sha2(_text("q=", urls.encode_query(wanted), "&from=", ((F.col("page") - 1) * 10).cast("string")), 256)
+    known = _known(_brand_pages(parts, 10).withColumn("sent", sent), F.lit(SITE + "find"), F.array_join(F.transform("parts", item), ""), F.col("sent"))
+    config = {"path": "find", "method": "POST", "body": "q={query}&from={offset}", "itemSelector": "div.item", "titleSelector": "a", "titleAttr": "title", "urlSelector": "a", "coverChain": [("img.big", "src"), ("img", "src")], "queryMap": {first.upper(): "the first"}, "queryReplace": ("", "#", "_")}
+    return adapters.listing(_asks(parts), "ask", config, known, SITE, 10).select("ask", "has_next", F.posexplode("items").alias("pos", "i")).select("ask", "pos", "i.*", "has_next")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'old' WHEN c_custkey % 2 = 0 THEN 'http://x.test/a.png' ELSE 'http://x.test/b/' || c_custkey || '.png' END AS cover, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 3 = 0 THEN 'old' ELSE 'http://x.test/banner' END AS banner,
+  CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'A|B C' ELSE c_mktsegment || '|x' END AS genres, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 'ongoing' WHEN c_custkey % 4 = 2 THEN 'unknown' END AS status,
+  CASE WHEN c_custkey % 5 = 0 THEN -1 WHEN c_custkey % 2 = 0 THEN c_custkey ELSE 0 END AS unlisted FROM customer""")
+def adapter_details_rows(spark, sf_dir):
+    """Details by labelled rows: genres stay a list, the first status is mapped, covers are resolved, an empty banner keeps the old one, a number of unlisted chapters."""
+    customer = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    labelled = F.when(key % 2 == 0, _text("<p><b>Genre(s)</b> <i>A,</i><i> B\n C; </i></p><p><b>State</b><i>", F.when(key % 4 == 0, "Still Running").otherwise("who knows"), "</i><i>completed</i></p><em>and ", _string("c_custkey"), " more of 99</em>")).otherwise("<em>none</em>")
+    html = _text(F.when(key % 2 == 0, '<img class="a" src="/a.png">').otherwise(""), '<img class="b" src="b/', _string("c_custkey"), '.png">', F.when(key % 3 == 0, "").otherwise('<div data-bg="banner"></div>'), "<ul><li>", F.col("c_mktsegment"), "</li><li>x</li></ul>", labelled)
+    known = _known(customer.where("c_custkey % 5 <> 0"), _text(SITE, "c/", _string("c_custkey")), html)
+    items = customer.select("c_custkey", _text("c/", _string("c_custkey")).alias("url"), F.lit("old").alias("cover"), F.lit("old").alias("banner"))
+    fields = {"cover": steps.cover_locator([("img.a", "src"), ("img.b", "src")]), "banner": Locator(selector="div", attr="data-bg")}
+    rows = {"row": "p", "label": "b", "value": "i", "labels": {"genres": ["genre"], "status": ["state"]}}
+    found = adapters.details(items, "c_custkey", known, SITE, fields, ("li", ""), rows, statuses={"still running": "ongoing"}, unlisted=("em", ""))
+    return found.select("c_custkey", "cover", "banner", F.array_join("genres", "|").alias("genres"), "status", F.coalesce(F.col("unlisted").cast("long"), F.lit(-1)).alias("unlisted"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 IN (0, 1) THEN 'old' ELSE 'A line' || chr(10) || 'and & ' || c_mktsegment END AS description, CASE WHEN c_custkey % 5 IN (0, 1) OR c_custkey % 3 = 0 THEN 'kept' ELSE c_mktsegment || '|x' END AS genres FROM customer""")
+def adapter_api_about(spark, sf_dir):
+    """Details in JSON: descriptions lose their markup, an empty list of genres keeps the old one, an item without an address changes nothing."""
+    customer = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    tags = F.when(key % 3 == 0, F.from_json(F.lit("[]"), "array<struct<n:string>>")).otherwise(F.array(F.struct(F.col("c_mktsegment").alias("n")), F.struct(F.lit("").alias("n")), F.struct(F.lit("x").alias("n"))))
+    item = F.struct(F.when(key % 5 == 1, "").otherwise(_string("c_custkey")).alias("id"), _text("<p>A line<br>and &amp; ", F.col("c_mktsegment"), "</p>").alias("d"), tags.alias("tags"))
+    known = _known(customer, _text(SITE, "c/", _string("c_custkey")), F.to_json(F.struct(F.when(key % 5 != 0, item).alias("data"))))
+    items = customer.select("c_custkey", _string("c_custkey").alias("url"), F.lit("old").alias("description"), F.array(F.lit("kept")).alias("genres"))
+    spec = {"url": Locator(path="id"), "description": Locator(path="d")}
+    return adapters.api_details(items, "c_custkey", "c/{url}", "data", spec, known, SITE, genres=("tags", "n")).select("c_custkey", "description", F.array_join("genres", "|").alias("genres"))
+
+
+@query("""SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS pos, CASE WHEN role = 'system' THEN 'no name' ELSE role || ' - ' || turn END AS name, turn % 2 = 1 AS locked, turn % 3 = 0 AS official, 86400000000 * turn AS uploaded_us FROM conversations""")
+def adapter_api_flags(spark, sf_dir):
+    """Chapters in JSON: names joined of parts, dates in seconds, flags that are booleans, numbers or texts."""
+    listed = _turn_pages(spark, sf_dir, 100)
+    truth = lambda t: F.when(t % 2 == 1, "true").otherwise("0")
+    item = lambda s: _text('{"id":', s["turn"].cast("string"), F.when(s["role"] == "system", "").otherwise(_text(',"r":"', s["role"], '","t":"', s["turn"].cast("string"), '"')), ',"l":', truth(s["turn"]), ',"o":"', F.when(s["turn"] % 3 == 0, "yes").otherwise(""), '","at":', (s["turn"] * 86400).cast("string"), "}")
+    known = _known(listed, _text(SITE, "f/", _string("conv_id")), _text('{"data":[', F.array_join(F.transform("turns", item), ","), "]}"))
+    items = listed.select("conv_id", _string("conv_id").alias("url")).distinct()
+    spec = {"url": Locator(path="id", template="/t/{value}"), "date": Locator(path="at")}
+    found = adapters.api_chapters(items, "conv_id", "f/{url}", "data", spec, known, SITE, 100, name_parts=["r", "t"], join=" - ", default="no name", locked="l", official="o")
+    return found.select("conv_id", "pos", "name", "locked", "official", F.unix_micros("uploaded").alias("uploaded_us"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import col
@@ -33,13 +33,58 @@ def request(df: DataFrame, url: Column, method: str = "GET", body: Column | None
     )
 
 
-def fetch(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """requests with status, headers and body of their response; equal requests are looked up once."""
+def transient(status: Column) -> Column:
+    """Whether another try may help: no answer at all, 429 or 5xx."""
+    return status.isNull() | (status == 429) | (status >= 500)
+
+
+def visits(responses: DataFrame, gap: str = "1 minute") -> DataFrame:
+    """responses with visit and attempt: answers to one request no more than gap apart are attempts of one visit, in their order."""
+    by = Window.partitionBy(*KEY).orderBy("fetched_at", F.col("status").desc_nulls_first())
+    begins = F.lag("fetched_at").over(by).isNull() | (F.col("fetched_at") > F.lag("fetched_at").over(by) + F.expr(f"INTERVAL {gap}"))
+    rows = responses.withColumn("visit", F.sum(begins.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.withColumn("attempt", F.row_number().over(Window.partitionBy(*KEY, "visit").orderBy("fetched_at", F.col("status").desc_nulls_first())))
+
+
+def settled(responses: DataFrame, as_of: Column | None = None, attempts: int = 3, gap: str = "1 minute") -> DataFrame:
+    """One answer a request: of its last visit (begun by as_of) the first attempt that trying again would not mend, at most the third.
+
+    A challenge (403, or 503 by its marks) ends a visit, too. What was fetched after as_of is not seen.
+    """
+    rows = visits(responses if as_of is None else responses.where(F.col("fetched_at") <= as_of), gap)
+    rows = rows.withColumn("_last", F.max("visit").over(Window.partitionBy(*KEY))).where("visit = _last").drop("_last")
+    header = "headers" in responses.columns and "body" in responses.columns
+    text = F.col("body").cast("string") if header else None
+    again = transient(F.col("status")) & (~F.coalesce(is_challenge(F.col("status"), F.col("headers"), text), F.lit(False)) if header else F.lit(True))
+    by = Window.partitionBy(*KEY)
+    rows = rows.withColumn("_stop", F.least(F.coalesce(F.min(F.when(~again, F.col("attempt"))).over(by), F.lit(attempts)), F.max("attempt").over(by), F.lit(attempts)))
+    return rows.where("attempt = _stop").drop("_stop")
+
+
+def fetch(requests: DataFrame, responses: DataFrame, as_of: Column | None = None, attempts: int = 3) -> DataFrame:
+    """requests with status, headers and body of their response; equal requests are looked up once and answered once.
+
+    Responses with a time (fetched_at) are attempts and versions of an answer, see settled. Without one, of several answers
+    to a request one of status 200 counts, the least body first.
+    """
     wanted = requests.select(*KEY).distinct()
-    got = wanted.join(responses.select(*KEY, "status", "headers", "body"), KEY, "left")
+    timed = "fetched_at" in responses.columns
+    got = wanted.join(responses.select(*KEY, "status", "headers", "body", *(["fetched_at"] if timed else [])), KEY)
+    if timed:
+        got = settled(got, as_of, attempts).drop("fetched_at", "visit", "attempt")
+    else:
+        order = Window.partitionBy(*KEY).orderBy(F.coalesce(F.col("status") == 200, F.lit(False)).desc(), "status", "body")
+        got = got.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
     return requests.join(got, KEY, "left")
 
 
+def form_headers(headers: Column, body: Column) -> Column:
+    """Headers of a POST: a form's content type where a body has none of its own."""
+    named = F.exists(F.map_keys(headers), lambda k: F.lower(k) == "content-type")
+    form = F.create_map(F.lit("Content-Type"), F.lit("application/x-www-form-urlencoded; charset=UTF-8"))
+    return F.when((F.coalesce(body, F.lit("")) != "") & ~named, F.map_concat(form, headers)).otherwise(headers)
+
+
 def shared_requests(requests: DataFrame, headers: str = "headers") -> DataFrame:
     """One row for each distinct request: url, transport and headers in any order."""
     return requests.withColumn("headers_key", sorted_headers(headers)).dropDuplicates(["url", "transport", "headers_key"])
@@ -85,7 +130,7 @@ def body_kind(body: Column | str) -> Column:
 
 def outcome(status: Column, challenge: Column, attempt: Column, attempts: int = 3) -> Column:
     """ok, challenge, retry or failed: transport errors (null status), 429 and 5xx are tried again."""
-    again = status.isNull() | (status == 429) | (status >= 500)
+    again = transient(status)
     return F.when(status == 200, "ok").when(challenge, "challenge").when(again & (attempt < attempts), "retry").otherwise("failed")
 
 
@@ -122,8 +167,6 @@ def index_entries(files: DataFrame, text: str = "value") -> DataFrame:
 
 def build_index(entries: DataFrame, content: str = "content") -> DataFrame:
     """Entries with a content hash as version, one for each package, by lower-cased name; a repeated package is an error."""
-    from pyspark.sql import Window
-
     copies = F.count(F.lit(1)).over(Window.partitionBy("pkg"))
     checked = F.when(copies > 1, F.raise_error(F.concat(F.lit("package twice: "), F.col("pkg"))).cast("string")).otherwise(F.substring(F.sha2(content, 256), 1, 16))
     return entries.withColumn("version", checked).orderBy(F.lower("name"), "pkg")
@@ -131,8 +174,6 @@ def build_index(entries: DataFrame, content: str = "content") -> DataFrame:
 
 def icon_candidates(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Icon links of each page, touch icons first, then by size, tile images last: key, rank, href."""
-    from pyspark.sql import Window
-
     tags = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(r"(?i)(<(?:link|meta)\b[^>]*>)"), 1)).alias("pos", "tag"))
     attr = lambda n: F.regexp_extract("tag", rf"(?i)\b{n}=[\"']?([^\"'\s>]*)", 1)
     rows = tags.select(key, "pos", F.lower(F.regexp_extract("tag", r"(?i)\brel=[\"']?([^\"'>]*)", 1)).alias("rel"), F.lower(attr("name")).alias("name"), attr("href").alias("link"), attr("content").alias("content"), attr("sizes").alias("sizes"))
