@@ -14,7 +14,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.bytetools import pack_sorted, unpack_sorted
@@ -40,14 +41,27 @@ def to_table(rows: list[tuple], ddl: str) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def rows_place(documents: DataFrame) -> list[Column]:
+    """What tells equal rows apart and is the same however often they are read: file and row where they come from files, else nothing."""
+    try:
+        documents.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return []
+    return [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+
+
 def blocked(documents: DataFrame, least: int = BLOCK_BYTES, keep: Sequence[str] = ()) -> tuple[DataFrame, int]:
-    """documents(doc_id, text) dealt into blocks by both columns, with others to keep, and the number of blocks. Null text becomes empty."""
+    """documents(doc_id, text) dealt into blocks, with others to keep, and the number of blocks. Null text becomes empty.
+
+    Rows of files are dealt by their place there, too, so that rows that are equal in all columns spread over the blocks.
+    Rows that come from elsewhere, such as a join, have no place that lasts; equal ones of these share a block.
+    """
     total = text_bytes(documents)
     size = min(max(least, total // MANY_BLOCKS), LARGEST_BLOCK)
     n = blocks_for(documents.sparkSession, total, size)
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
-    return rows.withColumn("block", block).repartition(n, "block"), n
+    block = F.pmod(F.xxhash64("doc_id", "text", *rows_place(documents)), F.lit(n)).cast("int")
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep, block.alias("block"))
+    return rows.repartition(n, "block"), n
 
 
 def block_texts(block: pa.Table) -> list[bytes]:

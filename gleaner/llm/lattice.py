@@ -3,13 +3,15 @@
 A word is written with the boundary mark in front. Its lattice has an arc for every vocabulary piece that equals a
 stretch of it; single bytes after the mark have fallback arcs. The forward recursion in log space sums over all paths.
 Words of equal length are handled together, so each step is one numpy operation over all of them; words of more than LONG
-bytes one by one, with a numpy step over all positions for each length of a piece, so the work grows with their length.
+bytes one by one, in stretches of STRETCH bytes, with a numpy step for each length of a piece, so the work grows with their
+length, and what is held of a word are its bytes and 8 or 16 bytes a position.
 """
 
 from __future__ import annotations
 
 import math
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ _FILTER_BITS = 21
 _PREFIX, _PIECE = 1, 2
 PIECES = "piece_bpe_32k.model"
 LOG_ZERO = -1e30
-LONG = 64
+LONG, STRETCH = 64, 1 << 14
 
 
 def vocabulary_path(vocabulary: str) -> str:
@@ -128,46 +130,57 @@ class Lattice:
         out = np.empty(len(words))
         for at, x in self._by_length(words):
             if x.shape[1] > LONG:
-                out[at] = [self._along(row)[1][-1] for row in x]
+                out[at] = [self._along(row)[-1] for row in x]
             else:
                 out[at] = self._forward(x, list(self._arcs(x)))[-1]
         return out
 
-    def _along(self, x: np.ndarray) -> tuple[list[tuple[int, int, int]], list[float]]:
-        """Arcs (start, end, piece) of one long word by end, and the forward values of all its positions."""
+    def _stretches(self, x: np.ndarray, backwards: bool = False) -> Iterator[tuple[list[tuple[int, int, int]], list[float]]]:
+        """Arcs (start, end, piece) of one long word and their weights, a stretch of STRETCH ends at a time, by end, then start."""
         n, mark = len(x), len(MARK)
-        codes, h = x.astype(np.uint64) + np.uint64(1), np.zeros(n, dtype=np.uint64)
-        starts, ends, ids = [np.arange(mark, n)], [np.arange(mark, n) + 1], [self.byte_id[x[mark:]]]
-        for size in range(1, min(n, self.longest) + 1):
-            h = h[: n - size + 1] * _BASE + codes[size - 1 :]
-            hit = np.flatnonzero(self.filter[self._slot(h)] & _PIECE)
-            hit = hit[((hit == 0) | (hit >= mark)) & (hit + size >= mark)]
-            at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
-            same = self.keys[at] == h[hit]
-            starts.append(hit[same])
-            ends.append(hit[same] + size)
-            ids.append(self.ids[at[same]])
-        start, end, piece = (np.concatenate(c) for c in (starts, ends, ids))
-        start, end, piece = (c[piece >= 0] for c in (start, end, piece))
-        order = np.lexsort((start, end))
-        arcs = list(zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), strict=True))
-        weight, alpha = self.log_p[piece[order]].tolist(), [LOG_ZERO] * (n + 1)
+        for lo in sorted(range(0, n, STRETCH), reverse=backwards):
+            hi, first = min(n, lo + STRETCH), max(0, lo + 1 - self.longest)
+            part = x[first:hi]
+            codes, h = part.astype(np.uint64) + np.uint64(1), np.zeros(len(part), dtype=np.uint64)
+            own = np.arange(max(lo, mark), hi)
+            starts, ends, ids = [own], [own + 1], [self.byte_id[x[own]]]
+            for size in range(1, min(len(part), self.longest) + 1):
+                h = h[: len(part) - size + 1] * _BASE + codes[size - 1 :]
+                hit = np.flatnonzero(self.filter[self._slot(h)] & _PIECE)
+                begin = hit + first
+                own = ((begin == 0) | (begin >= mark)) & (begin + size >= mark) & (begin + size > lo)
+                hit, begin = hit[own], begin[own]
+                at = np.minimum(np.searchsorted(self.keys, h[hit]), len(self.keys) - 1)
+                same = self.keys[at] == h[hit]
+                starts.append(begin[same])
+                ends.append(begin[same] + size)
+                ids.append(self.ids[at[same]])
+            start, end, piece = (np.concatenate(c) for c in (starts, ends, ids))
+            start, end, piece = (c[piece >= 0] for c in (start, end, piece))
+            order = np.lexsort((start, end))
+            yield list(zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), strict=True)), self.log_p[piece[order]].tolist()
+
+    def _along(self, x: np.ndarray) -> array:
+        """The forward values of all positions of one long word, 8 bytes each; arcs are held for one stretch."""
+        alpha = array("d", [LOG_ZERO]) * (len(x) + 1)
         alpha[0] = 0.0
-        for (a, b, _), w in zip(arcs, weight, strict=True):
-            alpha[b] = _log_add(alpha[b], alpha[a] + w)
-        return arcs, alpha
+        for arcs, weights in self._stretches(x):
+            for (a, b, _), w in zip(arcs, weights, strict=True):
+                alpha[b] = _log_add(alpha[b], alpha[a] + w)
+        return alpha
 
     def _expected_along(self, x: np.ndarray, times: float, out: np.ndarray) -> None:
-        arcs, alpha = self._along(x)
-        beta = [LOG_ZERO] * len(alpha)
+        alpha = self._along(x)
+        beta = array("d", [LOG_ZERO]) * len(alpha)
         beta[-1] = 0.0
-        used = np.empty(len(arcs))
-        for k in range(len(arcs) - 1, -1, -1):
-            a, b, i = arcs[k]
-            path = float(self.log_p[i]) + beta[b]
-            used[k] = math.exp(min(alpha[a] + path - alpha[-1], 0.0)) * times
-            beta[a] = _log_add(beta[a], path)
-        np.add.at(out, [i for _, _, i in arcs], used)
+        for arcs, weights in self._stretches(x, backwards=True):
+            used = np.empty(len(arcs))
+            for k in range(len(arcs) - 1, -1, -1):
+                a, b, _ = arcs[k]
+                path = weights[k] + beta[b]
+                used[k] = math.exp(min(alpha[a] + path - alpha[-1], 0.0)) * times
+                beta[a] = _log_add(beta[a], path)
+            np.add.at(out, [i for _, _, i in arcs], used)
 
     def expected_counts(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over words that occur so many times."""

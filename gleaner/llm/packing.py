@@ -121,8 +121,8 @@ def _one_argument(f):
 def pack(rows: DataFrame, capacity: int = 4096, part_pieces: int = 20_000, spread: int = 24, max_rounds: int = 8) -> DataFrame:
     """rows of pieces() with sequence_id and offset.
 
-    rows are read several times and should be cut first. The lengths' histogram, at most capacity rows, is all that
-    the driver sees.
+    rows are read several times and must be cut first: pieces are dealt by their place in them, too, so that equal ones
+    spread over the parts. The lengths' histogram, at most capacity rows, is all that the driver sees.
     """
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole, left = counts.pop(capacity, 0), sum(counts.values())
@@ -135,7 +135,7 @@ def pack(rows: DataFrame, capacity: int = 4096, part_pieces: int = 20_000, sprea
     for turn in range(max_rounds):
         parts = max(1, -(-left // part_pieces))
         last = parts == 1 or turn + 1 == max_rounds
-        dealt = todo.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start", "length", F.lit(turn)), F.lit(parts)).alias("part"))
+        dealt = todo.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start", "length", F.monotonically_increasing_id(), F.lit(turn)), F.lit(parts)).alias("part"))
 
         def run(group: pa.Table, last: bool = last) -> pa.Table:
             return _pack_part(group, capacity, spread, last)

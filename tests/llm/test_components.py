@@ -42,3 +42,31 @@ def test_stars_reach_the_fixed_point(spark):
 
 def test_no_links(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_equal_rows_of_files_spread_over_blocks(spark, tmp_path):
+    """A row that stands a third of a table is no block's alone, nor is it any part's in packing."""
+    import statistics
+
+    from pyspark.sql import functions as F
+
+    from gleaner.llm import exchange, packing
+    from gleaner.llm.common import cut
+
+    rows = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit("the same words").alias("text"))
+    rows = rows.unionByName(spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("other words "), F.col("id").cast("string")).alias("text")))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("text", "doc_id")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        blocks, n = exchange.blocked(docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = [r["count"] for r in blocks.groupBy("block").count().collect()]
+    assert n == len(sizes) == 16 and max(sizes) < 1.2 * statistics.median(sizes)
+    where = lambda: sorted((r.block, r.doc_id) for r in blocks.where("doc_id = 7").collect())
+    assert where() == where()
+    pieces = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(1500).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    packed = packing.pack(cut(pieces), part_pieces=300)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+    assert packed.select("sequence_id").distinct().count() == 1500

@@ -35,3 +35,17 @@ def test_counts_are_kept_in_64_bits():
     assert abs(p[0] - 0.5) < 1e-9
     rare = totals.log_word(np.zeros(2), np.array([-2000.0, -3000.0]))
     assert rare[0] - rare[1] == 1000.0
+
+
+def test_a_very_long_word_is_scored_in_stretches(monkeypatch):
+    import numpy as np
+
+    from gleaner.llm import lattice
+
+    model = lmscore.Lattice(*lmscore.read_pieces())
+    words = [(b"the" * 60)[:n] for n in (65, 99, 100, 101, 180)]
+    whole, uses = model.log_likelihood(words), model.expected_counts(words, np.ones(5))
+    monkeypatch.setattr(lattice, "STRETCH", 7)
+    assert np.allclose(model.log_likelihood(words), whole, rtol=1e-12) and np.allclose(model.expected_counts(words, np.ones(5)), uses, atol=1e-9)
+    monkeypatch.setattr(lattice, "LONG", 1000)
+    assert np.allclose(model.log_likelihood(words), whole, rtol=1e-9)
