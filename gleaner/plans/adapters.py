@@ -17,7 +17,7 @@ from gleaner.functions import jsonpath, text, urls
 from gleaner.operators import extract
 from gleaner.plans import feeds, steps
 from gleaner.plans.steps import Locator
-from gleaner.sources import html, responses
+from gleaner.sources import fused, responses
 
 Params = Sequence[tuple[str, Column, str | None]]
 ITEM = "struct<title:string,url:string,cover:string>"
@@ -122,18 +122,20 @@ def details(
     unlisted (selector, attribute) gives a column of the first number there, 0 without one.
     """
     got = _fetched(items.select(key, "url"), urls.resolve(F.lit(base), "url"), known)
-    nodes = html.nodes(got.select(key, F.col("body").alias("html")), key)
+    pages = got.select(key, F.col("body").alias("html"))
     wanted = {**fields, **({"unlisted": Locator(selector=unlisted[0], attr=unlisted[1])} if unlisted else {})}
-    found = extract.firsts(nodes, key, steps._markup(wanted))
+    found = fused.firsts(pages, key, steps._markup(wanted))
     found = got.select(key).join(found, key, "left").select(key, *[steps._chained(name, at).alias(f"_{name}") for name, at in wanted.items()])
     found = found.withColumns({f"_{name}": urls.resolve(F.lit(base), f"_{name}") for name in absolute if name in fields})
     if unlisted:
         found = found.withColumn("_unlisted", text.first_digits("_unlisted"))
     if genres:
-        found = found.join(extract.texts_of(nodes, key, *genres, "_genres"), key, "left").withColumn("_genres", F.coalesce("_genres", F.array().cast("array<string>")))
+        told = fused.matches(pages, key, genres[0], {"v": genres[1]}).where("v <> ''")
+        told = told.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("_genres"))
+        found = found.join(told, key, "left").withColumn("_genres", F.coalesce("_genres", F.array().cast("array<string>")))
     labels = rows["labels"] if rows else {}
     if labels:
-        told = extract.label_values(extract.label_table(nodes, key, rows["row"], rows["label"], rows.get("value", "")), key, labels)
+        told = extract.label_values(fused.labelled(pages, key, rows["row"], rows["label"], rows.get("value", "")), key, labels)
         told = told.groupBy(key).agg(*[F.max(F.when(F.col("field") == name, F.col("values"))).alias(f"_row_{name}") for name in labels])
         found = found.join(told, key, "left")
         for name in labels:
@@ -262,8 +264,7 @@ def scraped_options(asks: DataFrame, key: str, selector: str, value_attr: str, k
     Asks whose page gives none get the options of static(key, pos, option_id, label).
     """
     got = _fetched(asks.select(key, "url"), urls.resolve(F.lit(base), "url"), known)
-    nodes = html.nodes(got.select(key, F.col("body").alias("html")), key)
-    found = extract.item_fields(nodes, key, extract.unnest(nodes, key, selector), {"option_id": ("", value_attr, False), "label": (label, "", False)})
+    found = fused.records(got.select(key, F.col("body").alias("html")), key, selector, {"option_id": ("", value_attr, False), "label": (label, "", False)})
     found = found.where("option_id <> ''").withColumn("label", text.first_filled("label", "option_id"))
     by = Window.partitionBy(key).orderBy("label", "option_id", "pos")
     found = found.select(key, (F.row_number().over(by) - 1).cast("int").alias("pos"), "option_id", "label")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import crypto, jsonpath, text, urls
 from gleaner.operators import extract
-from gleaner.sources import html, responses
+from gleaner.sources import fused, responses
 from gleaner.sources.store import cut
 
 Runtime = Callable[[str, Column], Column]
@@ -183,9 +183,9 @@ def _json(step: Step) -> Column:
     return F.when(F.try_parse_json(whole).isNotNull(), jsonpath.unwrapped(F.trim(whole)))
 
 
-def _nodes(rows: DataFrame, key: str, step: Step) -> DataFrame:
+def _pages(rows: DataFrame, key: str, step: Step) -> DataFrame:
     lifted = jsonpath.path("body", step.html_from) if step.parse == "jsonHtml" else F.col("body")
-    return html.nodes(rows.select(key, lifted.alias("html")), key)
+    return rows.select(key, lifted.alias("html"))
 
 
 def _request(step: Step) -> tuple[Column, Column | None]:
@@ -274,7 +274,7 @@ def _found(rows: DataFrame, key: str, step: Step, wanted: Mapping[str, Locator],
             columns[name] = F.when(F.col("_json").isNotNull(), value).otherwise(F.lit("") if missing is None else missing)
     out = rows.withColumn("_json", _json(step)).withColumns(columns).drop("_json") if columns else rows
     if markup:
-        out = out.join(extract.firsts(_nodes(rows, key, step), key, _markup(markup)), key, "left")
+        out = out.join(fused.firsts(_pages(rows, key, step), key, _markup(markup)), key, "left")
         out = out.withColumns({name: _chained(name, at, "vars") for name, at in markup.items()}).drop(*_markup(markup))
     for name, at in wanted.items():
         if at.encode:
@@ -324,8 +324,7 @@ def _records(rows: DataFrame, key: str, step: Step, out: Output) -> DataFrame:
     if out.count is not None:
         return _made(rows, key, step, out)
     if step.parse in ("html", "jsonHtml"):
-        nodes = _nodes(rows, key, step)
-        found = extract.item_fields(nodes, key, extract.unnest(nodes, key, out.items.selector), _markup(out.fields))
+        found = fused.records(_pages(rows, key, step), key, out.items.selector, _markup(out.fields))
         if any(one.template for at in out.fields.values() for one in at.chain()):
             found = found.join(rows.select(key, "vars"), key)
         known = F.col("vars") if "vars" in found.columns else None

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text, urls
 from gleaner.operators import extract
-from gleaner.sources import html, responses
+from gleaner.sources import fused, html, responses
 
 QUERIES: dict = {}
 
@@ -24,6 +24,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.nodes(pages(spark, sf_dir), "page_id")
 
@@ -35,12 +39,23 @@ DECODE = "replace(replace(replace(replace({0}, '&quot;', '\"'), '&copy;', '©'),
 
 @query(f"SELECT page_id, pos, url, trim(name) AS name FROM ({LINKS})")
 def html_links(spark, sf_dir):
+    return fused.matches(pages(spark, sf_dir), "page_id", "nav ul > li > a", {"url": "href", "name": ""}).drop("node")
+
+
+@query(f"SELECT page_id, trim({DECODE.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
+def html_details(spark, sf_dir):
+    return fused.firsts(pages(spark, sf_dir), "page_id", {"title": ("head > title", "", False), "lang": ("html", "lang", False)})
+
+
+@query(f"SELECT page_id, pos, url, trim(name) AS name FROM ({LINKS})")
+def html_links_from_elements(spark, sf_dir):
+    """The same from the table of all elements."""
     found = extract.unnest(page_nodes(spark, sf_dir), "page_id", "nav ul > li > a")
     return found.select("page_id", "pos", html.attribute("href").alias("url"), html.text().alias("name"))
 
 
 @query(f"SELECT page_id, trim({DECODE.format(chr(39).join(['regexp_extract(html, ', '<title>([^<]*)</title>', ', 1)']))}) AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages")
-def html_details(spark, sf_dir):
+def html_details_from_elements(spark, sf_dir):
     nodes = page_nodes(spark, sf_dir)
     title = extract.first_of(nodes, "page_id", "head > title", name="title")
     lang = extract.first_of(nodes, "page_id", "html", attr="lang", name="lang")
@@ -208,3 +223,22 @@ def retry_outcome(spark, sf_dir):
 def transport_route(spark, sf_dir):
     op = F.when(F.col("page_id") % 2 == 0, "chapters").otherwise("search")
     return pages(spark, sf_dir).select("page_id", responses.transport(op, F.lit(True), F.lit("GET"), ["chapters"]).alias("transport"))
+
+
+@query("""SELECT p_partkey, 'table > tbody > tr > td' AS selector, 4::BIGINT AS n, p_name || p_brand || p_size || p_type AS said FROM part UNION ALL SELECT p_partkey, 'table > tr', 0, '' FROM part
+  UNION ALL SELECT p_partkey, 'p > b', CASE WHEN p_size % 2 = 0 THEN 3 ELSE 1 END, CASE WHEN p_size % 2 = 0 THEN 'firstnextlast' ELSE 'first' END FROM part
+  UNION ALL SELECT p_partkey, 'td:empty ~ td', 2, p_size || p_type FROM part UNION ALL SELECT p_partkey, 'div:contains(next) p:last-child', 1, 'last' FROM part""")
+def html_tree(spark, sf_dir):
+    """Tables whose sections are implied, formatting that goes on in the next block, siblings after a gap, and what an ancestor says."""
+    c = lambda name: F.col(name).cast("string")
+    bold = F.when(F.col("p_size") % 2 == 0, "").otherwise("</b>")
+    body = F.concat(F.lit("<table><tr><td>"), "p_name", F.lit("<td>"), "p_brand", F.lit("</table><table><td>"), c("p_size"), F.lit("<tr><td>"), "p_type", F.lit("</table><div><p><b>first"), bold, F.lit("<p>next<p>last</div>"))
+    parts = table_of(spark, sf_dir, "part")
+    made = parts.select("p_partkey", body.alias("html"))
+    gap = parts.select("p_partkey", F.concat(F.lit("<table><tr><td>x<td><td>"), c("p_size"), F.lit("<td>"), "p_type", F.lit("</table>")).alias("html"))
+    out = None
+    for selector, rows in (("table > tbody > tr > td", made), ("table > tr", made), ("p > b", made), ("td:empty ~ td", gap), ("div:contains(next) p:last-child", made)):
+        found = fused.matches(rows, "p_partkey", selector, {"said": ""}).groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "said"))), lambda s: s["said"]), "").alias("said"))
+        one = rows.select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.lit(selector).alias("selector"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("said", F.lit("")).alias("said"))
+        out = one if out is None else out.unionByName(one)
+    return out

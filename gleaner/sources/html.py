@@ -4,8 +4,9 @@
 the chain of its ancestors. Everything after that is relational: a selector is a column over one row's element and its
 ancestors, so selecting neither joins nor shuffles; only sibling combinators join elements of one parent.
 
-Elements that HTML leaves open are closed by tag (p, li, option, table parts, dt and dd); html, head and body are implied.
-Unclosed formatting elements end with their block and are not opened again in the next one.
+Elements that HTML leaves open are closed by tag (p, li, option, table parts, dt and dd); html, head, body, tbody and tr are
+implied. Formatting elements that a block closes are opened again in the text after it, until their end tag or, in a cell, its
+end. An end tag of a formatting element that stands around an open block ends the element and leaves the block open.
 """
 
 from __future__ import annotations
@@ -25,7 +26,12 @@ from gleaner.functions.text import trim
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEAD = frozenset("title meta link style base".split())
 BLOCKS = "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
-CLOSES = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tbody": {"tr", "td", "th", "thead", "tbody"}} | {b: {"p"} for b in BLOCKS}
+CLOSES = {"li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, **{part: {"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"} for part in ("thead", "tbody", "tfoot")}} | {b: {"p"} for b in BLOCKS}
+STRUCTURE = frozenset("html head body script style template frameset frame center dir menu search hgroup figure figcaption details summary dialog optgroup".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+TABLE_PARTS = SECTIONS | {"table", "tr", "colgroup"}
+CELLS = frozenset("td th caption".split())
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 FENCES = frozenset("ul ol select table dl body html article section div nav td th".split())
 
 _ELEMENT = T.StructType(
@@ -46,13 +52,25 @@ _NODE = [
 ]
 
 
-class _Tree(HTMLParser):
-    """Elements in document order with parents and text pieces."""
+class Tree(HTMLParser):
+    """Elements in document order with parents and text pieces.
+
+    formats are the formatting elements that are to be opened again, each with its open element, and None where a cell began.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.tags, self.attrs, self.parents, self.spans, self.pieces = [], [], [], [], []
         self.open: list[int] = []
+        self.formats: list[int | None] = []
+
+    @classmethod
+    def of(cls, html: str) -> Tree:
+        tree = cls()
+        tree.feed(html)
+        tree.close()
+        tree._pop(0)
+        return tree
 
     def _push(self, tag: str, attrs: dict) -> None:
         self.tags.append(tag)
@@ -63,7 +81,62 @@ class _Tree(HTMLParser):
 
     def _pop(self, to: int) -> None:
         while len(self.open) > to:
-            self.spans[self.open.pop()][1] = len(self.pieces)
+            i = self.open.pop()
+            self.spans[i][1] = len(self.pieces)
+            if self.tags[i] in CELLS:
+                while self.formats and self.formats.pop() is not None:
+                    pass
+
+    def _reopen(self) -> None:
+        """Open the formatting elements again that a block has closed since."""
+        if not self.formats or self.formats[-1] is None or self.formats[-1] in self.open or not self.open or self.tags[self.open[-1]] in TABLE_PARTS:
+            return
+        at = len(self.formats)
+        while at and self.formats[at - 1] is not None and self.formats[at - 1] not in self.open:
+            at -= 1
+        for k in range(at, len(self.formats)):
+            old = self.formats[k]
+            self._push(self.tags[old], self.attrs[old])
+            self.formats[k] = len(self.tags) - 1
+
+    def _format(self) -> None:
+        """Keep the element just opened, and of its equals since the last cell the last three."""
+        new = len(self.tags) - 1
+        equal = []
+        for k in range(len(self.formats) - 1, -1, -1):
+            if (old := self.formats[k]) is None:
+                break
+            if (self.tags[old], self.attrs[old]) == (self.tags[new], self.attrs[new]):
+                equal.append(k)
+        if len(equal) > 2:
+            del self.formats[equal[-1]]
+        self.formats.append(new)
+
+    def _unformat(self, tag: str) -> bool:
+        """End the last formatting element of this tag; whether there was one."""
+        for k in range(len(self.formats) - 1, -1, -1):
+            if (i := self.formats[k]) is None:
+                return False
+            if self.tags[i] == tag:
+                del self.formats[k]
+                if i in self.open:
+                    at = self.open.index(i)
+                    if any(self.tags[j] in BLOCKS or self.tags[j] in FENCES or self.tags[j] == "li" for j in self.open[at + 1 :]):
+                        self.spans[i][1] = len(self.pieces)
+                        del self.open[at]
+                    else:
+                        self._pop(at)
+                return True
+        return False
+
+    def _imply_parts(self, tag: str) -> None:
+        """A table's rows stand in a section, and its cells in a row."""
+        here = self.tags[self.open[-1]] if self.open else ""
+        if tag in ("tr", "td", "th") and here == "table":
+            self._push("tbody", {})
+            here = "tbody"
+        if tag in ("td", "th") and here in SECTIONS:
+            self._push("tr", {})
 
     def _imply(self, tag: str) -> None:
         if not self.open:
@@ -99,14 +172,29 @@ class _Tree(HTMLParser):
                 self._pop(i)
             elif name in FENCES:
                 break
+        if tag == "a" and any(i is not None and self.tags[i] == "a" for i in self.formats[self._cell() :]):
+            self._unformat("a")
+        if tag in FORMATTING or not (tag in CLOSES or tag in TABLE_PARTS or tag in CELLS or tag in HEAD or tag in STRUCTURE):
+            self._reopen()
+        self._imply_parts(tag)
         self._push(tag, found)
         if tag in VOID:
             self._pop(len(self.open) - 1)
+        elif tag in FORMATTING:
+            self._format()
+        elif tag in CELLS:
+            self.formats.append(None)
+
+    def _cell(self) -> int:
+        """Where the formats of the current cell begin."""
+        return max((k + 1 for k, i in enumerate(self.formats) if i is None), default=0)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if tag in FORMATTING and self._unformat(tag):
+            return
         for i in range(len(self.open) - 1, 0 if tag not in ("html",) else -1, -1):
             if self.tags[self.open[i]] == tag:
                 if tag not in ("body", "html"):
@@ -118,14 +206,12 @@ class _Tree(HTMLParser):
             if not data.strip():
                 return
             self._imply("#text")
+        self._reopen()
         self.pieces.append(data)
 
 
 def _rows(html: str) -> list[tuple]:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    tree._pop(0)
+    tree = Tree.of(html)
     children: dict[int, list[int]] = {}
     for i, p in enumerate(tree.parents):
         children.setdefault(p, []).append(i)
@@ -264,7 +350,7 @@ def _meets(e, s: dict, own: bool) -> Column:
     if name == "not":
         return ~_all(e, read_selector(arg)[0][-1].simple, own)
     if name in ("contains", "empty", "lang") and not own:
-        raise NotImplementedError(f":{name} on an ancestor")
+        raise NotImplementedError(f":{name} on an ancestor; fused.matches reads it")
     last, last_of_type = e["siblings"] + 1 - e["nth"], e["of_type"] + 1 - e["nth_of_type"]
     if name == "lang":
         chain = F.transform(F.array_append(e["ancestors"], F.struct(e["tag"].alias("tag"), attrs.alias("attrs"), *(e[n].alias(n) for n in ("nth", "siblings", "nth_of_type", "of_type")))), lambda a: F.element_at(a["attrs"], F.lit("lang")))
