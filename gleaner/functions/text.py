@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -159,16 +160,11 @@ def holds(value: Column | str, needle: str) -> Column:
     return F.contains(col(value), F.lit(needle)) if needle else F.lit(False)
 
 
-# Named character references; the ampersand comes last.
-ENTITIES = {
-    "nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "deg": "°", "times": "×", "euro": "€",
-    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "amp": "&",
-}
+def _entities(text: Column) -> Column:
+    """&eacute;, &#233; and &#xE9; as their characters, each kind once over; the ampersand's own reference comes last.
 
-
-def _numeric_entities(text: Column) -> Column:
-    """&#233; and &#xE9; as their characters."""
+    Names are those of HTML5 that end in a semicolon; unknown ones stay.
+    """
 
     def character(entity: Column) -> Column:
         digits = F.regexp_extract(entity, "([0-9a-fA-F]+);", 1)
@@ -176,17 +172,19 @@ def _numeric_entities(text: Column) -> Column:
         known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         return F.when(known, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(&#(?:[0-9]+|[xX][0-9a-fA-F]+);)"), 1))
-    return F.when(F.contains(text, F.lit("&#")), F.aggregate(found, text, lambda t, e: F.replace(t, e, character(e)))).otherwise(text)
+    names = sorted(n for n in html5 if n.endswith(";"))
+    known = F.map_from_arrays(F.lit(names), F.lit([html5[n] for n in names]))
+    meant = lambda e: F.when(F.startswith(e, F.lit("&#")), character(e)).otherwise(F.coalesce(F.element_at(known, F.substring(e, F.lit(2), F.length(e))), e))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(&(?:#(?:[0-9]+|[xX][0-9a-fA-F]+)|[A-Za-z][A-Za-z0-9]*);)"), 1))
+    last = F.array_sort(F.transform(found, lambda e: F.struct((e == "&amp;").alias("last"), e.alias("e"))))
+    return F.when(F.contains(text, F.lit("&")), F.aggregate(last, text, lambda t, s: F.replace(t, s["e"], meant(s["e"])))).otherwise(text)
 
 
 def plain_text(value: Column | str) -> Column:
     """Text of an HTML fragment: breaks and block ends become line ends, tags go, entities are decoded. Text without tags stays as it is."""
     text = F.regexp_replace(col(value), r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = _numeric_entities(text)
-    for name, mark in ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(mark))
+    text = F.get(F.transform(F.array(text), _entities), F.lit(0))
     text = trim(F.regexp_replace(text, r"\n{3,}", "\n\n"))
     return F.when(col(value).rlike("<[a-zA-Z/!]"), text).otherwise(col(value))
 

@@ -242,3 +242,49 @@ def html_tree(spark, sf_dir):
         one = rows.select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.lit(selector).alias("selector"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("said", F.lit("")).alias("said"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<br>|</(?:p|div|li|h1)>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&aacute;', 'á'), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)) || ' á → ☃ &zwx;' AS txt FROM pages""")
+def plain_text_pages(spark, sf_dir):
+    """Whole pages as text, with references by name and by number at their end."""
+    whole = F.concat("html", F.lit("<p> &aacute; &rarr; &#x2603; &zwx;"))
+    return pages(spark, sf_dir).select("page_id", text.plain_text(whole).alias("txt"))
+
+
+@query("""SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'gif' WHEN 3 THEN 'webp' WHEN 4 THEN 'avif' WHEN 5 THEN 'wall' WHEN 6 THEN 'unknown' WHEN 7 THEN 'wall' ELSE 'bmp' END AS kind FROM pages""")
+def body_kinds(spark, sf_dir):
+    """Bodies that begin like images, like markup after a byte order mark, or like nothing known; and empty ones."""
+    heads = ["FFD8FFE0", "89504E470D", "474946383961", "524946460000000057454250", "0000001C6674797061766966", "EFBBBF200A3C68", "ABCDEF", None, "424D00"]
+    kind = F.col("page_id") % 9
+    head = F.coalesce(*[F.when(kind == i, F.unhex(F.lit(h))) for i, h in enumerate(heads) if h])
+    body = F.when(kind == 7, F.unhex(F.lit(""))).otherwise(F.concat(head, F.encode("html", "UTF-8")))
+    return pages(spark, sf_dir).select("page_id", responses.body_kind(body).alias("kind"))
+
+
+@query("""SELECT page_id, 'Ünï ' || page_id AS said FROM pages""")
+def charsets(spark, sf_dir):
+    """The same text in several encodings, named by the header, by a meta tag in other bytes than UTF-8, or not at all."""
+    said, kind = F.concat(F.lit("Ünï "), F.col("page_id").cast("string")), F.col("page_id") % 4
+    meta = F.concat(F.lit("<meta charset='latin1'>"), said)
+    body = F.when(kind == 0, F.encode(said, "ISO-8859-1")).when(kind == 1, F.encode(meta, "ISO-8859-1")).when(kind == 2, F.encode(said, "UTF-16")).otherwise(F.encode(said, "UTF-8"))
+    header = F.when(kind == 0, "text/html; charset=ISO-8859-1").when(kind == 2, 'text/plain; charset="utf-16"').otherwise("text/html")
+    return pages(spark, sf_dir).select("page_id", F.regexp_replace(responses.decoded(body, header), "^<[^>]*>", "").alias("said"))
+
+
+@query("""SELECT page_id, page_id % 4 = 0 AND page_id % 3 <> 2 AS challenge FROM pages""")
+def challenge_marks(spark, sf_dir):
+    """Challenges told by their pages: a server of the kind, a status of refusal, and one of the marks in the page."""
+    status = F.when(F.col("page_id") % 3 == 2, 200).when(F.col("page_id") % 3 == 1, 503).otherwise(403)
+    headers = F.create_map(F.lit("server"), F.when(F.col("page_id") % 4 < 2, "Cloudflare").otherwise("nginx"))
+    body = F.concat("html", F.when(F.col("page_id") % 2 == 0, F.lit('<script src="/cdn-cgi/challenge-platform/x">')).otherwise(""))
+    return pages(spark, sf_dir).select("page_id", responses.is_challenge(status, headers, body).alias("challenge"))
+
+
+@query("""SELECT p_partkey, 'maker' AS field, p_brand || ' / ' || p_type AS value FROM part UNION ALL SELECT p_partkey, 'size', p_size || ' mm' FROM part WHERE p_size % 3 <> 0""")
+def label_rows_many(spark, sf_dir):
+    """Labels that hold one of a field's words, in any case; several rows and values of a field in order; rows without a label and empty values left out."""
+    row = lambda label, *values: F.concat(F.lit("<li><b>"), label, F.lit("</b>"), *[F.concat(F.lit("<i> "), v, F.lit(",</i>")) for v in values], F.lit("</li>"))
+    size = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.col("p_size").cast("string"), F.lit("\n  mm")))
+    page = F.concat(F.lit("<ul>"), row(F.lit("MADE by:"), "p_brand", F.lit(" ")), row(F.lit(""), F.lit("none")), row(F.lit("Dimensions"), size), row(F.lit("Manufacturer"), "p_type"), F.lit("</ul>"))
+    told = fused.labelled(table_of(spark, sf_dir, "part").select("p_partkey", page.alias("html")), "p_partkey", "li", "b", "i")
+    return extract.label_rows(told, "p_partkey", {"maker": ["made", "manufacturer"], "size": ["size", "dimension"]}, {"maker": " / "})

@@ -179,3 +179,13 @@ def decrypt_envelope(spark, sf_dir):
 def header_layers(spark, sf_dir):
     layers = responses.layered({"accept": "a", "agent": "x"}, F.create_map(F.lit("agent"), F.col("n_name")), {"accept": "b"})
     return table(spark, sf_dir, "nation").select("n_nationkey", layers["accept"].alias("accept"), layers["agent"].alias("agent"))
+
+
+@query("""SELECT p_partkey, trim(regexp_replace(p_name, ' +', ' ', 'g')) || CASE WHEN p_size % 3 = 0 THEN ',' ELSE '' END || ' x' || CASE WHEN p_size % 3 = 2 THEN ';' ELSE '' END AS v FROM part""")
+def tidy_texts(spark, sf_dir):
+    """White space of all kinds as one blank, and one closing comma or semicolon gone, of two the last."""
+    space = F.when(F.col("p_size") % 2 == 0, "\n\t ").otherwise("\u00a0\u2003")
+    middle = F.when(F.col("p_size") % 3 == 0, ",").otherwise("")
+    end = F.when(F.col("p_size") % 3 == 2, ";,").when(F.col("p_size") % 3 == 1, ",").otherwise("")
+    whole = F.concat(space, F.regexp_replace("p_name", " ", F.lit(" \n ")), middle, space, F.lit("x"), end, space)
+    return table(spark, sf_dir, "part").select("p_partkey", text.tidy(whole).alias("v"))
