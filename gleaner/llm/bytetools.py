@@ -12,6 +12,7 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+STRETCH = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 #: ASCII white space, bytes 9 to 13 and 32.
@@ -74,6 +75,21 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """span_hash of every word, over stretches of about STRETCH bytes, so that sums and powers stay small for any text."""
+    if not len(starts) or int(ends[-1] - starts[0]) <= STRETCH:
+        first = int(starts[0]) if len(starts) else 0
+        part = data[first : int(ends[-1])] if len(starts) else data[:0]
+        return span_hash(prefix(part), starts - first, ends - first)
+    out, at = np.empty(len(starts), dtype=np.uint64), 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + STRETCH, "right")))
+        out[at:to] = span_hash(prefix(data[first : int(ends[to - 1])]), starts[at:to] - first, ends[at:to] - first)
+        at = to
+    return out
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted unsigned 64-bit values as differences in byte planes, which compress well."""
     if not len(values):

@@ -11,9 +11,13 @@ distinct ones and the discount d = n1 / (n1 + 2 n2) from the words seen once and
 where no path leaves log space, so no text is too long or too odd for a finite score. No segmentation crosses white space,
 so the forward recursion over a text is the sum over its words, and each distinct word of the corpus is spelled once.
 
-Every block of texts gives its distinct words and counts; Spark sums them by word, spells them, and joins them back. All
-words are compared as they are, not by hash, and neither words nor counts are gathered anywhere: the driver gets five
-totals and one number for each piece of the vocabulary.
+Every block of texts gives its distinct words and counts; Spark sums them by word, spells them, and joins them back. Within
+a block words are told apart by 64 bits, between blocks as they are. Neither words nor counts are gathered anywhere: the
+driver gets five totals and one number for each piece of the vocabulary.
+
+The share d V / N of all probability is the lattice's own; training words have the rest besides. A count-based base without
+that share gives more on texts all of whose words are known, by log10(1 - d V / N) a token, and gives unseen words what no
+model of all strings can, so it is no measure of this one.
 
 Defined results: null text counts as empty (its score is the end's); equal texts score alike; a null doc_id is never
 held out; without training texts counts are zero; no rows give no rows; other columns are ignored.
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
-from gleaner.llm.bytetools import groups_of, prefix, span_hash, word_spans
+from gleaner.llm.bytetools import groups_of, word_hashes, word_spans
 from gleaner.llm.common import new_path, written
 from gleaner.llm.lattice import PIECES, Lattice, read_pieces, reestimated
 
@@ -85,7 +89,7 @@ class Words:
             raw = b" ".join([*lowered, b""])
             data = np.frombuffer(raw, dtype=np.uint8)
             starts, ends = word_spans(data)
-            key, example, which = np.unique(span_hash(prefix(data), starts, ends), return_index=True, return_inverse=True)
+            key, example, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
             keys.append(key)
             names += [raw[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
             uses.append(key[which])

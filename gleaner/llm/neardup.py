@@ -11,12 +11,14 @@ has no near copy; it is set aside exactly, before any sampling. Equal texts meet
 
 In a bucket of more than SURE texts, a text is compared with the bucket's least text and with its neighbours in the order of
 other samples. Then every text outside its bucket's largest class meets all others of the bucket, until links have joined
-their classes. Work is about linear in a bucket whose texts are alike, and no candidate of different classes goes
-unchecked. Buckets are sorted over ranges that may cut one; they hold keys and samples, and shingles only join the pairs to
+their classes, but for pairs whose samples agree so seldom (five standard deviations below what the threshold lets expect)
+that a pair at the threshold is so unlike itself in about two of a million cases, and more similar ones less often. Work is
+about linear in a bucket whose texts are alike. Buckets are sorted over ranges that may cut one; they hold keys and samples, and shingles only join the pairs to
 compare and the chunks of buckets that stay mixed.
 
 Shingles are told apart by 48 bits, texts by 64. A chance equality of shingles moves a similarity or a count by one
-shingle; it never makes texts equal.
+shingle; one of texts, of which a trillion texts expect about 0.03, makes them one. A text is read in stretches; what is held
+of it are some ten numbers a word, about 10 bytes a byte.
 
 Defined results: null text counts as empty; texts without words are copies of each other; equal texts share a class;
 a class is named by its smallest doc_id; rows with a null doc_id take part like any other, and a class of none but such rows
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
-from gleaner.llm.bytetools import groups_of, mix, pack_sorted, prefix, span_hash, unpack_sorted, word_spans
+from gleaner.llm.bytetools import groups_of, mix, pack_sorted, unpack_sorted, word_hashes, word_spans
 from gleaner.llm.common import cut, new_path, remove, written
 from gleaner.llm.components import components
 
@@ -46,27 +48,34 @@ SKETCH = "block int, doc_id long, key long, candidate boolean, bands binary, sam
 LINK = "a long, b long, similarity double"
 
 
+def _text_keys(word: np.ndarray, first: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A key of the words of each text, in their order."""
+    each = (np.arange(len(word)) - first[owner]).astype(np.uint64)
+    each *= np.uint64(0xD6E8FEB86659FD93)
+    each += word
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(each), dtype=np.uint64)])
+    return mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64))
+
+
 def shingles_of(texts: list[bytes], n_words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text index, 48-bit shingle and count of each distinct shingle of each text, sorted; and a key of each text's words."""
     texts = [t.decode("utf-8", "replace").lower().encode("utf-8") for t in texts]
     sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
     starts, ends = word_spans(data)
-    word = span_hash(prefix(data), starts, ends)
+    word = word_hashes(data, starts, ends)
     first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes + 1)]))
     words = np.diff(first)
-    owner = np.repeat(np.arange(len(texts)), words)
-    position = (np.arange(len(word)) - first[owner]).astype(np.uint64)
-    each = mix(word + position * np.uint64(0xD6E8FEB86659FD93))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(each, dtype=np.uint64)])
-    key = mix(sums[first[1:]] - sums[first[:-1]] + words.astype(np.uint64))
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), words)
+    key = _text_keys(word, first, owner)
     h = np.zeros(max(0, len(word) - n_words + 1), dtype=np.uint64)
     for j in range(n_words):
         h = mix(h * np.uint64(0x9FB21C651E98DF25) + word[j : j + len(h)])
     inside = owner[: len(h)] == owner[n_words - 1 :] if len(h) else np.zeros(0, dtype=bool)
     short = np.flatnonzero((words > 0) & (words < n_words))
     value = np.concatenate([h[inside], key[short]]) >> np.uint64(64 - BITS)
-    of = np.concatenate([owner[: len(h)][inside], short])
+    of = np.concatenate([owner[: len(h)][inside], short.astype(np.int32)])
+    del h, inside, word, owner, starts, ends
     order = np.lexsort((value, of))
     of, value = of[order], value[order]
     new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (value[1:] != value[:-1])])) if len(of) else np.empty(0, dtype=np.int64)

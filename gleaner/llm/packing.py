@@ -121,6 +121,8 @@ def _one_argument(f):
 def pack(rows: DataFrame, capacity: int = 4096, part_pieces: int = 20_000, spread: int = 24, max_rounds: int = 8) -> DataFrame:
     """rows of pieces() with sequence_id and offset.
 
+    A round keeps some spread * (1 + gap) open sequences of each part_pieces pieces, less than a hundredth of them, so
+    max_rounds rounds, which nothing comes near, are for more pieces than there can be: 8 for 20,000 * 100 ** 7.
     rows are read several times and must be cut first: pieces are dealt by their place in them, too, so that equal ones
     spread over the parts. The lengths' histogram, at most capacity rows, is all that the driver sees.
     """

@@ -19,7 +19,8 @@ is its content.
 
 Only the first ranks and contents are hashes (two first ranks share a long, so a rank of half the threshold compares 128
 bits, a content 64 more, a pair of starts 128); the ranks of later rounds are places in Spark's order. A key has one row a block at most, except for contents,
-whose order is cut at will: a rank cut between two tasks simply shows its starts.
+whose order is cut at will: a rank cut between two tasks simply shows its starts. Long texts are read in stretches of STRETCH
+starts; what is held of a text is about ten times its size.
 
 Defined results: null text counts as empty; texts shorter than the threshold keep every byte; equal rows repeat each
 other; no rows give no rows; other columns are ignored.
@@ -40,7 +41,7 @@ from gleaner.llm import exchange
 from gleaner.llm.bytetools import groups_of, joined, mix, powers, prefix, span_hash
 from gleaner.llm.common import new_path, remove, written
 
-BATCH = 1 << 19
+BATCH, STRETCH = 1 << 19, 1 << 20
 LONGEST_RUN = 256
 RESOLVED, SUPPLIES = 1, 2
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
@@ -117,10 +118,20 @@ class Ranks:
         return starts, mix(own * np.uint64(3) + mix(self.rank[starts + self.half])), own
 
 
+def _stretches(text: bytes, threshold: int) -> list[tuple[int, bytes]]:
+    """Where a long text is cut, and its parts: each start of a threshold-byte string lies in one of them alone."""
+    return [(at, text[at : at + STRETCH + threshold - 1]) for at in range(0, max(1, len(text) - threshold + 1), STRETCH)]
+
+
 def _batches(block: pa.Table, threshold: int):
+    """(first text, last, None, Ranks) of texts together; for each part of a long text (it, next, place, Ranks)."""
     texts = exchange.block_texts(block)
     for lo, hi in groups_of(map(len, texts), BATCH):
-        yield lo, hi, texts[lo:hi], Ranks(texts[lo:hi], threshold)
+        if hi == lo + 1 and len(texts[lo]) > 2 * STRETCH:
+            for at, part in _stretches(texts[lo], threshold):
+                yield lo, hi, at, Ranks([part], threshold)
+        else:
+            yield lo, hi, None, Ranks(texts[lo:hi], threshold)
 
 
 def _runs(block: pa.Table, threshold: int) -> pa.Table:
@@ -282,19 +293,33 @@ def repeated_starts(ranks: Ranks, content: np.ndarray, flags: np.ndarray, pairs:
 
 def covered(starts: np.ndarray, threshold: int) -> np.ndarray:
     """Bytes within threshold after a marked start."""
-    seen = np.concatenate([[0], np.cumsum(starts[:-1], dtype=np.int64)])
     n = len(starts) - 1
-    return seen[1:] > seen[np.maximum(np.arange(n) - threshold + 1, 0)]
+    out = np.empty(n, dtype=bool)
+    for at in range(0, n, STRETCH):
+        lo, stop = max(0, at - threshold + 1), min(n, at + STRETCH)
+        seen = np.concatenate([[0], np.cumsum(starts[lo:stop], dtype=np.int64)])
+        own = np.arange(at, stop)
+        out[at:stop] = seen[own - lo + 1] > seen[np.maximum(own - threshold + 1, lo) - lo]
+    return out
 
 
 def _apply(block: pa.Table, answers: pa.Table, threshold: int, emit, ddl: str, keep: Sequence[str]) -> pa.Table:
     content, flags = exchange.received(answers, 0, np.uint8)
     pairs, first = exchange.received(answers, 1, np.uint64)
-    ids, rows = block["doc_id"].to_pylist(), []
-    for lo, hi, texts, ranks in _batches(block, threshold):
-        gone = covered(repeated_starts(ranks, content, flags, pairs, first), threshold)
-        for doc_id, text, a, b in zip(ids[lo:hi], texts, ranks.starts.tolist(), ranks.ends.tolist(), strict=True):
-            rows.append(emit(doc_id, text, gone[a:b], ranks.data[a:b]))
+    ids, texts, rows = block["doc_id"].to_pylist(), exchange.block_texts(block), []
+    for lo, hi, at, ranks in _batches(block, threshold):
+        starts = repeated_starts(ranks, content, flags, pairs, first)
+        if at is None:
+            gone = covered(starts, threshold)
+            for doc_id, text, a, b in zip(ids[lo:hi], texts[lo:hi], ranks.starts.tolist(), ranks.ends.tolist(), strict=True):
+                rows.append(emit(doc_id, text, gone[a:b], ranks.data[a:b]))
+            continue
+        if at == 0:
+            marked = np.zeros(len(texts[lo]) + 1, dtype=bool)
+        own = marked[at : at + STRETCH]
+        own |= starts[: len(own)]
+        if at + STRETCH > len(texts[lo]) - threshold:
+            rows.append(emit(ids[lo], texts[lo], covered(marked, threshold), np.frombuffer(texts[lo], dtype=np.uint8)))
     out = exchange.to_table(rows, ddl)
     for name in keep:
         out = out.append_column(name, block[name])

@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from gleaner.llm.bytetools import groups_of, joined, prefix, span_hash, word_spans
+from gleaner.llm.bytetools import groups_of, joined, word_hashes, word_spans
 
 WORD_BPE = "word_bpe_49k.json"
 BATCH_BYTES = 1 << 20
@@ -95,7 +95,7 @@ class ChunkTokenizer:
         starts, ends = word_spans(data)
         if not len(starts):
             return [np.empty(0, dtype=np.uint32)] * len(texts)
-        keys, example, which = np.unique(span_hash(prefix(data), starts, ends), return_index=True, return_inverse=True)
+        keys, example, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > self.limit:
             self.forget()
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
@@ -107,7 +107,11 @@ class ChunkTokenizer:
         at = np.searchsorted(self.keys, keys)[which]
         first, count = self.first[at], self.count[at]
         upto = np.cumsum(count)
-        ids = self.flat[np.repeat(first - (upto - count), count) + np.arange(upto[-1])]
+        ids = np.empty(int(upto[-1]), dtype=np.uint32)
+        for lo in range(0, len(at), BATCH_BYTES):
+            hi = min(len(at), lo + BATCH_BYTES)
+            a, b = int(upto[lo] - count[lo]), int(upto[hi - 1])
+            ids[a:b] = self.flat[np.repeat(first[lo:hi] - (upto[lo:hi] - count[lo:hi]), count[lo:hi]) + np.arange(a, b)]
         words = np.searchsorted(starts, np.cumsum(sizes + 1))
         cuts = np.concatenate([[0], upto])[words]
         return np.split(ids, cuts[:-1])

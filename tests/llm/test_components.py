@@ -70,3 +70,44 @@ def test_equal_rows_of_files_spread_over_blocks(spark, tmp_path):
     packed = packing.pack(cut(pieces), part_pieces=300)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     assert packed.select("sequence_id").distinct().count() == 1500
+
+
+def test_long_texts_are_read_in_stretches(spark, monkeypatch):
+    """Cutting texts into stretches changes no hash, no shingle and no removed byte."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gleaner.llm import bytetools, exchange, suffixdedup
+
+    text = " ".join(["ab", "c" * 90, "d"] * 40 + [f"w{i}" for i in range(300)]).encode()
+    data = np.frombuffer(text, dtype=np.uint8)
+    starts, ends = bytetools.word_spans(data)
+    whole = bytetools.span_hash(bytetools.prefix(data), starts, ends)
+    for stretch in (1, 64, 1000, 1 << 20):
+        monkeypatch.setattr(bytetools, "STRETCH", stretch)
+        assert (bytetools.word_hashes(data, starts, ends) == whole).all()
+    assert len(bytetools.word_hashes(data[:0], starts[:0], ends[:0])) == 0
+
+    def found(block):
+        answers = exchange.to_table([], exchange.ANSWER)
+        return suffixdedup._apply(block, answers, 50, suffixdedup._digest, suffixdedup.OUT, ["more"]).to_pylist()
+
+    block = pa.table({"doc_id": [1, 2, 3], "text": [text.decode(), "", "x" * 49], "block": pa.array([0] * 3, pa.int32()), "more": [5, 6, 7]})
+    one = found(block)
+    marked = np.random.default_rng(1).random(len(text) + 1) < 0.01
+    cover = suffixdedup.covered(marked, 50)
+    assert cover.tolist() == [bool(marked[max(0, i - 49) : i + 1].any()) for i in range(len(text))]
+    monkeypatch.setattr(suffixdedup, "STRETCH", 128)
+    monkeypatch.setattr(suffixdedup, "BATCH", 256)
+    assert found(block) == one and (suffixdedup.covered(marked, 50) == cover).all()
+    rng = np.random.default_rng(2)
+    same = "".join(map(chr, rng.integers(97, 123, 700)))
+    rows = [(1, same[:400] + "?" + same[100:700]), (2, "".join(map(chr, rng.integers(97, 123, 900))) + same[50:350]), (3, same[300:380])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in suffixdedup.removal_digests(docs, 60).collect()}
+    places = {}
+    for d, t in rows:
+        for i in range(len(t) - 59):
+            places.setdefault(t[i : i + 60], []).append((d, i))
+    gone = {(d, j) for at in places.values() if len(at) > 1 for d, i in at for j in range(i, i + 60)}
+    assert got == {d: (sum((d, j) in gone for j in range(len(t))), "".join(c for j, c in enumerate(t) if (d, j) not in gone)) for d, t in rows}
