@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
-from gleaner.plans import adapters, feeds, steps
+from gleaner.plans import adapters, feeds, probe, steps
 from gleaner.plans.steps import Locator, Script, Step
 from gleaner.q_steps import _known, table
 
@@ -286,3 +286,31 @@ def adapter_api_flags(spark, sf_dir):
     spec = {"url": Locator(path="id", template="/t/{value}"), "date": Locator(path="at")}
     found = adapters.api_chapters(items, "conv_id", "f/{url}", "data", spec, known, SITE, 100, name_parts=["r", "t"], join=" - ", default="no name", locked="l", official="o")
     return found.select("conv_id", "pos", "name", "locked", "official", F.unix_micros("uploaded").alias("uploaded_us"))
+
+
+@query("""WITH s AS (SELECT n_nationkey, s_suppkey AS s, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS r, count(*) OVER (PARTITION BY n_nationkey) AS n FROM nation JOIN supplier ON s_nationkey = n_nationkey),
+  e AS (SELECT *, s % 7 = 0 OR s % 11 = 0 OR s % 3 > 0 AS ends FROM s WHERE r < 5), c AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY ends DESC, CASE WHEN ends THEN r END, r DESC) = 1),
+  b AS (SELECT *, CASE WHEN s % 7 = 0 THEN 'details' WHEN s % 11 = 0 THEN 'chapters' END AS broken, CASE WHEN s % 11 = 0 THEN 0 ELSE s % 3 END AS chapters FROM c),
+  p AS (SELECT *, CASE WHEN broken IS NULL AND chapters > 0 THEN CASE WHEN chapters = 2 OR s % 2 = 1 THEN 1 ELSE 0 END END AS pages, CASE WHEN broken IS NULL THEN CASE WHEN s % 2 = 0 THEN 'g' || n_nationkey ELSE 'first' END END AS tag FROM b)
+  SELECT n.n_nationkey, coalesce(p.n, 0) AS n_popular, coalesce('http://x.test/s/' || s, '') AS candidate, coalesce(chapters, -1) AS n_chapters, CASE WHEN pages = 1 THEN 'http://x.test/ch/' || s || '-' || CASE WHEN s % 2 = 1 THEN 0 ELSE 1 END ELSE '' END AS chapter,
+  coalesce(pages, CASE WHEN broken IS NOT NULL AND chapters > 0 THEN 0 ELSE -1 END) AS n_pages, coalesce(tag, '') AS tag, CASE WHEN tag LIKE 'g%' THEN 2 ELSE -1 END AS n_tag,
+  CASE WHEN p.n IS NULL THEN 'popular' WHEN broken IS NOT NULL THEN broken WHEN chapters = 0 THEN 'chapters' WHEN pages = 0 THEN 'pages' ELSE '' END AS failed_stage FROM nation n LEFT JOIN p ON p.n_nationkey = n.n_nationkey""")
+def probe_run(spark, sf_dir):
+    """A probe of a site for each nation: its suppliers are listed, some don't answer, some have no chapters, some chapters no pages."""
+    nation, supplier = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    card = lambda k: _text('<div class="item"><a href="/s/', k.cast("string"), '">s</a></div>')
+    s, key = _string("s_suppkey"), F.col("s_suppkey")
+    listed = supplier.groupBy("s_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s_suppkey")), card), "").alias("html"))
+    about = _text("<h1>x</h1>", F.when(key % 2 == 0, _text("<i>g", _string("s_nationkey"), "</i><i>other</i>")).otherwise(""))
+    # Listed newest first, so the last comes first.
+    rows = F.array_join(F.transform(F.reverse(F.slice(F.array(F.lit("0"), F.lit("1")), 1, (key % 3).cast("int"))), lambda i: _text('<li><a href="/ch/', s, "-", i, '">c</a></li>')), "")
+    pages = supplier.select("s_suppkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    known = _known(listed, _text(SITE, "n/", _string("s_nationkey")), F.col("html"))
+    known = known.unionByName(_known(supplier.where("s_suppkey % 7 <> 0"), _text(SITE, "s/", s), about)).unionByName(_known(supplier.where("s_suppkey % 11 <> 0"), _text(SITE, "s/", s, "/list"), rows))
+    known = known.unionByName(_known(pages, _text(SITE, "ch/", s, "-", _string("i")), F.when((key + F.col("i")) % 2 == 1, '<img src="/1.png">').otherwise("<p></p>")))
+    known = known.unionByName(_known(nation, _text(SITE, "t/g", _string("n_nationkey")), F.concat(card(F.lit(1)), card(F.lit(2)))))
+    listing = {"itemSelector": "div.item", "titleSelector": "a", "urlSelector": "a"}
+    config = {"popular": {"path": "n/{query}", **listing}, "tag": {"path": "t/{query}", **listing}, "details": {"genres": ("i", "")}, "chapters": {"transform": steps.Transform(suffix="/list"), "itemSelector": "li", "urlSelector": "a"}, "pages": {"imageSelector": "img"}}
+    found = probe.probed(nation.select("n_nationkey", _string("n_nationkey").alias("query")), "n_nationkey", config, known, SITE, first_option="first")
+    filled = {n: F.coalesce(n, F.lit(0 if n == "n_popular" else -1)).cast("long") for n in ("n_popular", "n_chapters", "n_pages", "n_tag")}
+    return found.withColumns(filled | {n: F.coalesce(n, F.lit("")) for n in ("candidate", "chapter", "tag", "failed_stage")})
