@@ -314,3 +314,14 @@ def probe_run(spark, sf_dir):
     found = probe.probed(nation.select("n_nationkey", _string("n_nationkey").alias("query")), "n_nationkey", config, known, SITE, first_option="first")
     filled = {n: F.coalesce(n, F.lit(0 if n == "n_popular" else -1)).cast("long") for n in ("n_popular", "n_chapters", "n_pages", "n_tag")}
     return found.withColumns(filled | {n: F.coalesce(n, F.lit("")) for n in ("candidate", "chapter", "tag", "failed_stage")})
+
+
+@query("SELECT n_nationkey, (row_number() OVER (PARTITION BY n_nationkey ORDER BY r_regionkey) - 1)::INT AS pos, r_name AS title, 'http://x.test/r/' || r_regionkey AS url FROM nation, region")
+def adapter_root_listing(spark, sf_dir):
+    """A listing without a path is the site itself, asked for once however many ask."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    item = F.transform(F.array_sort(F.collect_list(F.struct("r_regionkey", "r_name"))), lambda s: _text('<li><a href="/r/', s["r_regionkey"].cast("string"), '">', s["r_name"], "</a></li>"))
+    known = _known(region.agg(F.array_join(item, "").alias("html")), F.lit(SITE), F.col("html"))
+    asks = nation.select("n_nationkey", F.lit(1).alias("page"), F.lit("").alias("query"))
+    found = adapters.listing(asks, "n_nationkey", {"path": "", "itemSelector": "li", "titleSelector": "a", "urlSelector": "a"}, known, SITE)
+    return found.select("n_nationkey", F.posexplode("items").alias("pos", "i")).select("n_nationkey", "pos", "i.title", "i.url")

@@ -288,3 +288,38 @@ def label_rows_many(spark, sf_dir):
     page = F.concat(F.lit("<ul>"), row(F.lit("MADE by:"), "p_brand", F.lit(" ")), row(F.lit(""), F.lit("none")), row(F.lit("Dimensions"), size), row(F.lit("Manufacturer"), "p_type"), F.lit("</ul>"))
     told = fused.labelled(table_of(spark, sf_dir, "part").select("p_partkey", page.alias("html")), "p_partkey", "li", "b", "i")
     return extract.label_rows(told, "p_partkey", {"maker": ["made", "manufacturer"], "size": ["size", "dimension"]}, {"maker": " / "})
+
+
+@query("""SELECT p_brand, 'li' AS tag, 'a' || CASE WHEN count(DISTINCT p_size % 2) = 1 THEN ' k' || min(p_size % 2) ELSE '' END || ' z' AS classes FROM part GROUP BY p_brand""")
+def html_classes_in_common(spark, sf_dir):
+    """The classes that all items of a list share, each in an order of its own and some twice."""
+    item = F.concat(F.lit("<li class=' z  k"), (F.col("p_size") % 2).cast("string"), F.lit(" a z'>x</li>"))
+    lists = table_of(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(F.lit("<ul class='own'>"), F.array_join(F.collect_list(item), ""), F.lit("</ul>")).alias("html"))
+    shared = extract.shared_classes(html.nodes(lists, "p_brand"), "p_brand").where("tag = 'li'")
+    return shared.select("p_brand", "tag", F.array_join("classes", " ").alias("classes"))
+
+
+@query("SELECT p_partkey, 14::BIGINT AS plain, 14 + 2 * p_size AS rendered, 2 * p_size > 30 AS hydrated FROM part")
+def hydration_by_count(spark, sf_dir):
+    """Pages that fill themselves by script: plain and rendered they differ by so many elements and by half."""
+    page = lambda n: F.concat(F.lit("<body><main><ul>"), F.repeat(F.lit("<li>x"), n), F.lit("</ul></main></body>"))
+    parts = table_of(spark, sf_dir, "part")
+    count = lambda n, name: html.nodes(parts.select("p_partkey", page(n).alias("html")), "p_partkey").groupBy("p_partkey").agg(F.count(F.lit(1)).alias(name))
+    both = count(F.lit(10), "plain").join(count(F.lit(10) + 2 * F.col("p_size"), "rendered"), "p_partkey")
+    return both.select("p_partkey", "plain", "rendered", extract.hydrated(F.col("plain"), F.col("rendered")).alias("hydrated"))
+
+
+@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'browser' WHEN 1 THEN 'browser' WHEN 2 THEN 'http_error' WHEN 3 THEN 'empty' WHEN 4 THEN 'browser' ELSE 'bytes' END AS outcome FROM pages""")
+def image_outcomes(spark, sf_dir):
+    """What an image's response amounts to: a challenge, no answer, another status, nothing, a page instead of an image, or an image, of known kind or not."""
+    case = F.col("page_id") % 7
+    status = F.when(case == 0, 403).when(case == 1, F.lit(None).cast("int")).when(case == 2, 404).otherwise(200)
+    body = F.when(case == 3, F.unhex(F.lit(""))).when(case == 4, F.encode("html", "UTF-8")).when(case == 5, F.unhex(F.lit("89504E470D0A"))).otherwise(F.unhex(F.lit("ABCD")))
+    challenge = responses.is_challenge(status, F.create_map(F.lit("cf-mitigated"), F.lit("challenge")), F.lit(""))
+    return pages(spark, sf_dir).select("page_id", responses.image_outcome(status, challenge, responses.body_kind(body), F.length(body) == 0).alias("outcome"))
+
+
+@query("SELECT p_partkey, 'data:image/webp;base64,' || to_base64(encode(p_name)) AS uri FROM part")
+def data_uris(spark, sf_dir):
+    named = table_of(spark, sf_dir, "part").select("p_partkey", F.encode("p_name", "UTF-8").alias("image"))
+    return named.select("p_partkey", text.data_uri("image", "image/webp").alias("uri"))
