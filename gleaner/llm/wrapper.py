@@ -40,7 +40,8 @@ LEAST, SHARE, FAN, WIDE, DEPTH = 3, 0.7, 64, 16, 150
 HELD, BROADCAST_BYTES = 4000, 8 << 20
 TREE = "host string, bucket long, tree string"
 
-# Block elements; elements that are no content; roles and words of classes and ids that say the same.
+# Block elements; elements that are no content; roles and words of classes and ids that say the same, words that
+# turn them round (with-sidebar), and whose header a content's own is.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption tbody tfoot thead tr ul".split())
 SPACED = frozenset("br td th".split())
 FLOW = frozenset("p li h2 h3 h4 h5 h6 tr dd dt blockquote pre ul ol dl table hr figure #".split())
@@ -52,7 +53,8 @@ ASIDE = frozenset(
     "share sharing social cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login related recommended recommendations "
     "pagination pager toolbar search widget skip disclaimer copyright".split()
 )
-QUALIFIERS = frozenset("with has no without is body main content article post entry".split())
+QUALIFIERS = frozenset("with has no without is".split())
+OWN_HEADS = frozenset("article post entry content story page".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -63,7 +65,8 @@ def names_of(value: str) -> list[list[str]]:
 
 def says(attrs: dict[str, str], words: frozenset[str]) -> bool:
     named = names_of(f"{attrs.get('class', '')} {attrs.get('id', '')}")
-    return any(words & {*one} and not QUALIFIERS & {*one} for one in named)
+    own_head = lambda one: words & {*one} == {"header"} and OWN_HEADS & {*one}
+    return any(words & {*one} and not QUALIFIERS & {*one} and not own_head(one) for one in named)
 
 
 class Node:

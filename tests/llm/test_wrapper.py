@@ -82,6 +82,7 @@ def test_copies_and_repeated_lines_stay(spark):
         ("<div class='with-sidebar'><div class=sidebar>s</div><article>body</article></div>", "body"),
         ("<div class=sidebar><article>body</article></div>", "body"),
         ("<main><h1>t</h1><p>b</p></main><p>out</p>", "t\nb"),
+        ("<div id=main-nav>menu</div><div class='entry-header'><h1>t</h1></div><p>b</p><div class='post-footer'>by x</div><div class=commentContent>c</div><div class='site-header'>s</div>", "t\nb"),
         ("<article><![foo[x]]><!-- c --><p>a <!-- d -->b</p><script>if (a<b) '</article>'</script></article>", "a b"),
         ("<article><p>cut off in the mid", "cut off in the mid"),
         ("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p></article>", "deep\nafter"),
