@@ -90,6 +90,17 @@ def examples_store(spark, sf_dir):
     return store.read(spark, path, rows.schema).where("step IS NOT NULL")
 
 
+@query("SELECT c_custkey AS pkg, c_name AS name FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_custkey % 4 <> 0")
+def uninstalled_store(spark, sf_dir):
+    """Packages put in and taken out again by segment, then those of every fourth, some of which are gone already."""
+    customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pkg"), F.col("c_name").alias("name"), "c_mktsegment")
+    rows, path = customer.select("pkg", "name"), _new_store(spark, "uninstalled")
+    store.upsert(rows, path, ["pkg"], buckets=16)
+    for gone in (customer.where("c_mktsegment = 'BUILDING'"), rows.where("pkg % 4 = 0")):
+        store.remove(gone, path, ["pkg"], rows.schema, buckets=16)
+    return store.read(spark, path, rows.schema)
+
+
 @query("SELECT c_custkey AS pkg, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS version FROM customer")
 def installed_store(spark, sf_dir):
     """Packages put in, then every third in a newer version."""

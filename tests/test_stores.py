@@ -129,6 +129,19 @@ def test_writing_twice_changes_nothing(spark, tmp_path):
     assert store.read(spark, f"{tmp_path}/none", rows.schema).count() == 0
 
 
+def test_what_is_taken_out_is_gone_even_if_it_was_all(spark, tmp_path):
+    path = f"{tmp_path}/r"
+    rows = spark.createDataFrame([(i, str(i)) for i in range(6)], "k int, v string")
+    store.remove(rows, path, ["k"], rows.schema)
+    store.upsert(rows, path, ["k"], buckets=4)
+    store.remove(rows.where("k < 3"), path, ["k"], rows.schema, buckets=4)
+    assert sorted(r.k for r in store.read(spark, path, rows.schema).collect()) == [3, 4, 5]
+    store.remove(rows, path, ["k"], rows.schema, buckets=4)
+    assert store.read(spark, path, rows.schema).count() == 0
+    store.upsert(rows.where("k = 1"), path, ["k"], buckets=4)
+    assert [tuple(r) for r in store.read(spark, path, rows.schema).collect()] == [(1, "1")]
+
+
 def test_what_was_not_found_is_asked_again(spark, tmp_path):
     asks = spark.createDataFrame([("a",), ("b",)], "k string")
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])
