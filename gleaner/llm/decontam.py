@@ -22,6 +22,8 @@ give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ from gleaner.llm.common import cut
 
 WORDS, LITERAL, FEWEST, SHORTEST = 8, 5, 3, 4
 NAME, POINT = "", ""
+SLOTS = ("<name>", "<num>", "<unit>")
 #: Units of measure, money and time.
 UNITS = (
     "%", "percent", "mm", "cm", "m", "km", "meter", "meters", "metre", "metres", "inch", "inches", "ft", "feet", "mile", "miles",
@@ -39,30 +42,57 @@ UNITS = (
 
 #: Windows that may be sent to every task; a larger benchmark is joined by shuffling.
 BROADCAST_WINDOWS = 500_000
+#: Windows that may stand in the plan as a list, so that documents without any of them are passed over before the join.
+LISTED_WINDOWS = 20_000
 BROADCAST_DOCUMENTS = 500_000
 
 
+def _marked(text: Column) -> Column:
+    """A name starts with NAME, POINT stands for the point or comma inside a number. What few places have is looked for first."""
+    text = F.regexp_replace(text, r"(?=\p{Lu}\p{Ll})(?<=[\p{Ll}\p{N},;:]\s)", NAME)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", POINT), r"(?<=[0-9])(?=[\p{L}%])", " ")).otherwise(text)
+
+
+def _words(marked: Column) -> Column:
+    return F.array_remove(F.split(F.lower(marked), rf"[^a-z0-9\p{{L}}\p{{N}}%{NAME}{POINT}]+|%(?:(?![\s.,;:!?)]|$)|(?<![0-9] %))"), "")
+
+
 def marked_words(text: Column) -> Column:
     """Lower-cased words; a name starts with NAME, POINT stands for the point or comma inside a number."""
-    text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;:]\s)(?=\p{Lu}\p{Ll})", NAME)
-    text = F.when(text.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", POINT), r"(?<=[0-9])(?=[\p{L}%])", " ")).otherwise(text)
-    return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}%{NAME}{POINT}]+|%(?![\s.,;:!?)]|$)|(?<![0-9] )%"), "")
+    return _words(_marked(text))
+
+
+def _number(word: Column) -> Column:
+    """Whether a word starts with one of 0 to 9."""
+    return (word >= "0") & (word < ":")
 
 
 def plain(words: Column) -> Column:
     return F.transform(words, lambda w: F.replace(w, F.lit(NAME), F.lit("")))
 
 
-def template(words: Column) -> Column:
-    number = r"^[0-9]"
+def template(words: Column, name: object = SLOTS[0], number: object = SLOTS[1], unit: object = SLOTS[2], other: Callable[[Column], Column] = lambda w: w) -> Column:
+    """The words with typed placeholders, or what stands for either."""
 
     def slot(w: Column, i: Column) -> Column:
-        after_number = F.coalesce(F.get(words, i - 1).rlike(number), F.lit(False))
-        return F.when(F.startswith(w, F.lit(NAME)), "<name>").when(w.rlike(number), "<num>").when(after_number & w.isin(*UNITS), "<unit>").otherwise(w)
+        after_number = F.coalesce(_number(F.get(words, i - 1)), F.lit(False))
+        return F.when(F.startswith(w, F.lit(NAME)), name).when(_number(w), number).when(w.isin(*UNITS) & after_number, unit).otherwise(other(w))
 
     return F.transform(words, slot)
 
 
+def _slots(words: Column) -> Column:
+    return F.exists(words, lambda w: F.startswith(w, F.lit(NAME)) | _number(w))
+
+
+def _codes(words: Column, slots: Column) -> Column:
+    """A number for each word of the wording (plain) and, where there may be placeholders, of the template (shape, else null)."""
+    wording = F.transform(words, lambda w: F.xxhash64(F.replace(w, F.lit(NAME), F.lit(""))))
+    shape = template(words, *[F.xxhash64(F.lit(s)) for s in SLOTS], other=F.xxhash64)
+    plain = F.when(slots, wording).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.struct(plain.alias("plain"), F.when(slots, shape).alias("shape"))
+
+
 def _once(value: Column) -> Column:
     """The value behind a generator of one row, which the optimiser doesn't copy into the lambdas that use it."""
     return F.explode(F.array(value))
@@ -71,46 +101,61 @@ def _once(value: Column) -> Column:
 def _prepared(table: DataFrame, *key: str) -> DataFrame:
     """key, words, and where there are placeholders their template (else null)."""
     words = table.select(*key, _once(marked_words(F.coalesce("text", F.lit("")))).alias("words"))
-    slots = F.exists("words", lambda w: w.rlike(f"^[0-9{NAME}]"))
-    return words.select(*key, "words", F.when(slots, template(F.col("words"))).alias("template"))
+    return words.select(*key, "words", F.when(_slots(F.col("words")), template(F.col("words"))).alias("template"))
 
 
-def _windows(hashes: Column, n: int) -> Column:
-    count = F.size(hashes) - (n - 1)
-    each = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(hashes, i, n)))
-    return F.when(count > 0, each).otherwise(F.array().cast("array<bigint>"))
+def _windows(codes: Column, n: int) -> Column:
+    """Hashes of every n consecutive codes."""
+    count = F.greatest(F.size(codes) - (n - 1), F.lit(0))
+    return F.transform(F.slice(codes, 1, count), lambda first, i: F.xxhash64(first, *[F.get(codes, i + j) for j in range(1, n)]))
 
 
 def _literal(template: Column, words: Column) -> Column:
     """1 for every word that is no placeholder, else 0."""
-    return F.when(template.isNull(), F.transform(words, lambda w: F.lit(1))).otherwise(F.transform(template, lambda w: F.when(w.isin("<name>", "<num>", "<unit>"), 0).otherwise(1)))
-
-
-def windows(table: DataFrame, n: int, *key: str) -> DataFrame:
-    """The key columns, pos, form (0 wording, 1 template), hash of every window of n words. Template windows without a placeholder or without any other word are left out."""
-    code = lambda column: F.transform(column, lambda w: F.xxhash64(w))
-    slot = F.transform("template", lambda w: F.when(w.isin("<name>", "<num>", "<unit>"), 1).otherwise(0))
-    parts = F.struct(code(plain(F.col("words"))).alias("plain"), code("template").alias("shape"), slot.alias("slots"))
-    hashed = _prepared(table, *key).select(*key, _once(parts).alias("h")).select(*key, "h.*")
-    forms = F.struct(_windows(F.col("plain"), n).alias("wording"), F.when(F.col("shape").isNotNull(), _windows(F.col("shape"), n)).alias("shape"))
-    told = hashed.select(*key, "slots", _once(forms).alias("f")).select(*key, "slots", "f.*")
-    used = lambda i: F.aggregate(F.slice(F.col("slots"), i + 1, n), F.lit(0), lambda a, b: a + b)
-    shaped = F.filter(
-        F.transform("shape", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), used(i).alias("slots"))),
-        lambda s: (s["slots"] > 0) & (s["slots"] < n),
-    )
-    wording = F.transform("wording", lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), F.lit(0).alias("form")))
-    shaped = F.transform(shaped, lambda s: F.struct(s["pos"].alias("pos"), s["hash"].alias("hash"), F.lit(1).alias("form")))
-    both = F.when(F.col("shape").isNull(), wording).otherwise(F.concat(wording, shaped))
-    return told.select(*key, F.explode(both).alias("s")).select(*key, "s.pos", "s.form", "s.hash")
+    return F.when(template.isNull(), F.transform(words, lambda w: F.lit(1))).otherwise(F.transform(template, lambda w: F.when(w.isin(*SLOTS), 0).otherwise(1)))
+
+
+def windows(table: DataFrame, n: int, *key: str, wanted: list[int] | None = None) -> DataFrame:
+    """The key columns, pos, hash of every window of n words in wording, and of every window of the template where there are placeholders.
+
+    Words and placeholders have different codes, so a window that holds a placeholder never equals one in wording, and a
+    template window without any is the same as in wording. Of rows with none of the wanted hashes, if given, no windows are returned.
+    """
+    marked = table.select(*key, _once(_marked(F.coalesce("text", F.lit("")))).alias("marked"))
+    slots = F.contains("marked", F.lit(NAME)) | F.col("marked").rlike("[0-9]")
+    words = marked.select(*key, slots.alias("slots"), _once(_words(F.col("marked"))).alias("words"))
+    coded = words.select(*key, _once(_codes(F.col("words"), F.col("slots"))).alias("c"))
+    wording = _windows(F.col("c.plain"), n)
+    both = F.when(F.col("c.shape").isNull(), wording).otherwise(F.concat(wording, _windows(F.col("c.shape"), n)))
+    hashed = coded.select(*key, (F.size("c.plain") - (n - 1)).alias("count"), _once(both).alias("hashes"))
+    if wanted is not None:
+        listed = ", ".join(f"{h}L" for h in wanted) or "NULL"  # as text: a column for each of thousands takes the driver a second
+        hashed = hashed.where(f"exists(hashes, h -> h IN ({listed}))")
+    placed = hashed.select(*key, "count", F.posexplode("hashes").alias("at", "hash"))
+    return placed.select(*key, (F.col("at") % F.col("count")).alias("pos"), "hash")
+
+
+def forms(items: DataFrame, n: int) -> DataFrame:
+    """item_row, item_pos, form (0 wording, 1 template), hash of the windows to look for. Template windows without a placeholder or without any other word are left out."""
+    slots = F.transform("template", lambda w: F.when(w.isin(*SLOTS), 1).otherwise(0))
+    words = _prepared(items, "item_row").select("item_row", "words", slots.alias("slots"))
+    told = words.select("item_row", "slots", _once(_codes(F.col("words"), F.col("slots").isNotNull())).alias("c")).select("item_row", "slots", "c.*")
+    used = F.aggregate(F.slice("slots", F.col("item_pos") + 1, n), F.lit(0), lambda a, b: a + b)
+    wording = told.select("item_row", F.posexplode(_windows(F.col("plain"), n)).alias("item_pos", "hash"), F.lit(0).alias("form"))
+    shaped = told.where(F.col("shape").isNotNull()).select("item_row", "slots", F.posexplode(_windows(F.col("shape"), n)).alias("item_pos", "hash"), F.lit(1).alias("form"))
+    shaped = shaped.where((used > 0) & (used < n))
+    columns = ["item_row", "item_pos", "form", "hash"]
+    return wording.select(*columns).unionByName(shaped.select(*columns))
 
 
 def matches(documents: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """doc_id, doc_row, item_row, pos, item_pos, form of equal windows."""
-    wanted = cut(windows(items, n, "item_row").withColumnRenamed("pos", "item_pos"))
-    if wanted.count() <= BROADCAST_WINDOWS:
+    wanted = cut(forms(items, n))
+    count = wanted.count()
+    few = [r["hash"] for r in wanted.select("hash").distinct().collect()] if count <= LISTED_WINDOWS else None
+    if count <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
-    found = windows(documents, n, "doc_id", "doc_row").join(wanted, ["form", "hash"])
+    found = windows(documents, n, "doc_id", "doc_row", wanted=few).join(wanted, "hash")
     return found.select("doc_id", "doc_row", "item_row", "pos", "item_pos", "form").distinct()
 
 
@@ -130,7 +175,7 @@ def _consistent(found: DataFrame, documents: DataFrame, items: DataFrame, n: int
         .join(own, "doc_row")
         .select(*place, "item_pos", F.explode(F.arrays_zip(at("item_template", "item_pos").alias("kind"), plain(at("item_words", "item_pos")).alias("theirs"), plain(at("doc_words", "pos")).alias("own"))).alias("s"))
         .select(*place, "item_pos", "s.*")
-        .where(F.col("kind").isin("<name>", "<num>", "<unit>"))
+        .where(F.col("kind").isin(*SLOTS))
     )
     uses = F.count(F.lit(1)).over(Window.partitionBy(*place, "kind", "theirs", "own"))
     usual = F.first("own").over(Window.partitionBy(*place, "kind", "theirs").orderBy(F.desc("uses"), "own"))

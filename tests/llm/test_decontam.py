@@ -96,3 +96,29 @@ def test_leaks_are_those_of_a_brute_force_search(spark):
     expected = _brute_force(*sides)
     assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["reparameterised"]) for r in found} == expected
     assert len(found) == len(expected) > 20
+
+
+def test_documents_without_wanted_windows_are_passed_over(spark, monkeypatch):
+    docs = [(1, "it was told that Anna bought 12 red apples at the old market in May"), (2, "nothing of that kind is in here at all, nor is it there"), (3, None), (4, "told that Peter bought 7 red apples at the old market in May")]
+    items = [(1, "told that Maria bought 5 red apples at the old market in June"), (2, "short words of five here")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    told = decontam.windows(table, 8, "doc_id").collect()
+    wanted = [r["hash"] for r in told if r["doc_id"] == 4][:2]
+    assert {r["doc_id"] for r in told} == {1, 2, 4}
+    assert {r["doc_id"] for r in decontam.windows(table, 8, "doc_id", wanted=wanted).collect()} == {4}
+    assert decontam.windows(table, 8, "doc_id", wanted=[]).count() == 0
+    listed = _leaks(spark, docs, items)
+    assert set(listed) == {(1, 1), (4, 1)}
+    monkeypatch.setattr(decontam, "LISTED_WINDOWS", 0)
+    assert _leaks(spark, docs, items) == listed
+
+
+def test_words_of_odd_texts(spark):
+    texts = {
+        "12 % of A, 5%x %": ["12", "%", "of", "a", "5", "x"], "3 %x and 4%)": ["3", "x", "and", "4", "%"], "1,5mm Éa\nBéla x2": ["1,5", "mm", "éa", "béla", "x2"],
+        "a Bc;\tDe: Fg É": ["a", "bc", "de", "fg", "é"], "%%": [], "": [],
+    }
+    said = decontam.plain(decontam.marked_words(F.col("text")))
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r["text"]: [w.replace(decontam.POINT, ",") for w in r["w"]] for r in table.select("text", said.alias("w")).collect()}
+    assert found == texts
