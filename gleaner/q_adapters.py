@@ -39,8 +39,10 @@ def _brand_pages(parts, size):
     return rows.groupBy("p_brand", "page").agg(F.max("n").alias("n"), listed.alias("parts"))
 
 
-def _asks(parts):
-    pages = parts.select("p_brand").distinct().select("p_brand", F.explode(F.array(F.lit(1), F.lit(2), F.lit(99))).alias("page"))
+def _asks(parts, size=10):
+    """Of each brand the first two pages and the one after its last, which nothing answers."""
+    after = F.greatest(F.ceil(F.count(F.lit(1)) / size).cast("int") + 1, F.lit(3))
+    pages = parts.groupBy("p_brand").agg(after.alias("after")).select("p_brand", F.explode(F.array(F.lit(1), F.lit(2), F.col("after"))).alias("page"))
     return pages.select(F.concat_ws("/", "p_brand", "page").alias("ask"), "page", F.col("p_brand").alias("query"))
 
 
