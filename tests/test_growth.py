@@ -34,6 +34,6 @@ def parts(spark, tmp_path):
     return made
 
 
-@pytest.mark.parametrize("name", ["adapter_search", "adapter_api_search"])
+@pytest.mark.parametrize("name", ["adapter_search", "adapter_api_search", "adapter_post_search"])
 def test_a_brand_of_more_than_98_pages(same, parts, name):
     assert len(same(name, parts(995, 1), "part"))
