@@ -12,7 +12,11 @@ end. An end tag of a formatting element that stands around an open block ends th
 from __future__ import annotations
 
 import re
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -34,6 +38,15 @@ CELLS = frozenset("td th caption".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
 FENCES = frozenset("ul ol select table dl body html article section div nav td th".split())
 
+# What stands for an ampersand that begins no reference while a document is parsed; no valid text holds half a surrogate pair.
+HELD = "\udc26"
+_REFERENCE = re.compile(r"&(?:(#[0-9]+;|#[xX][0-9a-fA-F]+;)|([A-Za-z][A-Za-z0-9]*;))?")
+
+
+def held(html: str) -> str:
+    """html with the ampersands held that begin no reference ended by a semicolon."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] or m[2] in html5 else HELD + m[0][1:], html)
+
 _ELEMENT = T.StructType(
     [
         T.StructField("tag", T.StringType()),
@@ -56,33 +69,44 @@ class Tree(HTMLParser):
     """Elements in document order with parents and text pieces.
 
     formats are the formatting elements that are to be opened again, each with its open element, and None where a cell began.
+    As HTML5 has it, old names are references without their semicolon, too; with ended, none is.
     """
 
-    def __init__(self):
+    def __init__(self, ended: bool = False):
         super().__init__(convert_charrefs=True)
-        self.tags, self.attrs, self.parents, self.spans, self.pieces = [], [], [], [], []
+        self.ended = ended
+        self.tags, self.attrs, self.pieces = [], [], []
+        self.parents, self.begins, self.ends = array("i"), array("i"), array("i")
+        self.alike: dict[tuple, dict] = {}
         self.open: list[int] = []
         self.formats: list[int | None] = []
 
     @classmethod
-    def of(cls, html: str) -> Tree:
-        tree = cls()
-        tree.feed(html)
+    def of(cls, html: str, ended: bool = False) -> Tree:
+        tree = cls(ended)
+        tree.feed(held(html) if ended else html)
         tree.close()
         tree._pop(0)
         return tree
 
     def _push(self, tag: str, attrs: dict) -> None:
-        self.tags.append(tag)
-        self.attrs.append(attrs)
+        self.tags.append(sys.intern(tag))
+        self.attrs.append(self._shared(attrs))
         self.parents.append(self.open[-1] if self.open else -1)
-        self.spans.append([len(self.pieces), len(self.pieces)])
+        self.begins.append(len(self.pieces))
+        self.ends.append(len(self.pieces))
         self.open.append(len(self.tags) - 1)
 
+    def _shared(self, attrs: dict) -> dict:
+        """Equal attributes, such as those of a list's items, as one object; nothing changes it later."""
+        if len(self.alike) > 1000:
+            self.alike.clear()
+        return self.alike.setdefault(tuple(attrs.items()), attrs)
+
     def _pop(self, to: int) -> None:
         while len(self.open) > to:
             i = self.open.pop()
-            self.spans[i][1] = len(self.pieces)
+            self.ends[i] = len(self.pieces)
             if self.tags[i] in CELLS:
                 while self.formats and self.formats.pop() is not None:
                     pass
@@ -122,7 +146,7 @@ class Tree(HTMLParser):
                 if i in self.open:
                     at = self.open.index(i)
                     if any(self.tags[j] in BLOCKS or self.tags[j] in FENCES or self.tags[j] == "li" for j in self.open[at + 1 :]):
-                        self.spans[i][1] = len(self.pieces)
+                        self.ends[i] = len(self.pieces)
                         del self.open[at]
                     else:
                         self._pop(at)
@@ -157,6 +181,8 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         found = {}
+        if self.ended:
+            tag, attrs = tag.replace(HELD, "&"), [(name.replace(HELD, "&"), (value or "").replace(HELD, "&")) for name, value in attrs]
         for name, value in attrs:
             found.setdefault(name, value or "")
         if tag in ("html", "body", "head") and tag in self.tags:
@@ -193,6 +219,8 @@ class Tree(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if self.ended:
+            tag = tag.replace(HELD, "&")
         if tag in FORMATTING and self._unformat(tag):
             return
         for i in range(len(self.open) - 1, 0 if tag not in ("html",) else -1, -1):
@@ -202,6 +230,8 @@ class Tree(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.ended:
+            data = data.replace(HELD, "&")
         if len(self.open) <= 1:
             if not data.strip():
                 return
@@ -210,49 +240,117 @@ class Tree(HTMLParser):
         self.pieces.append(data)
 
 
-def _rows(html: str) -> list[tuple]:
-    tree = Tree.of(html)
-    children: dict[int, list[int]] = {}
+# Bytes of text and ancestors that a batch of elements holds, about.
+BATCH = 1 << 22
+
+
+def _places(tree: Tree) -> dict[str, array]:
+    """For each element its nth, siblings, nth_of_type, of_type, how many children it has, and the last element inside it."""
+    n = len(tree.tags)
+    out = {name: array("i", [0]) * n for name in ("nth", "siblings", "nth_of_type", "of_type", "children")}
+    last = out["last"] = array("i", range(n))
+    first, after, newest = array("i", [-1]) * (n + 1), array("i", [-1]) * n, array("i", [-1]) * (n + 1)
     for i, p in enumerate(tree.parents):
-        children.setdefault(p, []).append(i)
-    elements: list[dict] = [{}] * len(tree.tags)
-    for own in children.values():
-        seen: dict[str, int] = {}
-        total: dict[str, int] = {}
-        for i in own:
-            total[tree.tags[i]] = total.get(tree.tags[i], 0) + 1
-        for nth, i in enumerate(own, 1):
-            tag = tree.tags[i]
-            seen[tag] = seen.get(tag, 0) + 1
-            elements[i] = {"tag": tag, "attrs": list(tree.attrs[i].items()), "nth": nth, "siblings": len(own), "nth_of_type": seen[tag], "of_type": total[tag]}
-    last = list(range(len(tree.tags)))  # the last element inside each
-    for i in range(len(last) - 1, -1, -1):
+        if newest[p] < 0:
+            first[p] = i
+        else:
+            after[newest[p]] = i
+        newest[p] = i
+        if p >= 0:
+            out["children"][p] += 1
+    for p in range(-1, n):
+        i, total, nth = first[p], {}, 0
+        while i >= 0:
+            nth += 1
+            total[tree.tags[i]] = out["nth_of_type"][i] = total.get(tree.tags[i], 0) + 1
+            out["nth"][i], i = nth, after[i]
+        i = first[p]
+        while i >= 0:
+            out["siblings"][i], out["of_type"][i], i = nth, total[tree.tags[i]], after[i]
+    for i in range(n - 1, -1, -1):
         if (p := tree.parents[i]) >= 0:
             last[p] = max(last[p], last[i])
-    chains: list[list[dict]] = []
-    out = []
-    for i, p in enumerate(tree.parents):
-        chains.append([*chains[p], elements[p]] if p >= 0 else [])
-        e, (a, b) = elements[i], tree.spans[i]
-        out.append((i, p, e["tag"], e["attrs"], e["nth"], e["siblings"], e["nth_of_type"], e["of_type"], "".join(tree.pieces[a:b]), len(children.get(i, ())), last[i], chains[i]))
     return out
 
 
-def nodes(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """A row for every element of every document: key and the columns of _NODE. Null documents have no elements."""
+def _path(parents: array, i: int) -> list[int]:
+    """An element's ancestors and itself, the root first; nothing for -1."""
+    out = []
+    while i >= 0:
+        out.append(i)
+        i = parents[i]
+    return out[::-1]
+
+
+class _Elements:
+    """Rows of elements on their way into a batch. An element that is the ancestor of many rows stands in the pool once."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema = schema
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows = {name: [] for name in self.schema.names if name not in ("ancestors", *_ELEMENT.fieldNames())}
+        self.pool, self.weights, self.own, self.above, self.ends, self.size = [], [], [], [], [0], 0
+
+    def batch(self) -> pa.RecordBatch:
+        element = self.schema.field("ancestors").type.value_type
+        columns = list(zip(*self.pool, strict=True))
+        pool = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, element, strict=True)], fields=list(element))
+        own = pool.take(pa.array(self.own, pa.int32()))
+        made = {name: own.field(name) for name in _ELEMENT.fieldNames()}
+        made["ancestors"] = pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), pool.take(pa.array(self.above, pa.int32())), type=self.schema.field("ancestors").type)
+        out = [made[f.name] if f.name in made else pa.array(self.rows[f.name], f.type) for f in self.schema]
+        self.clear()
+        return pa.RecordBatch.from_arrays(out, schema=self.schema)
+
+
+def _batches(documents: Iterable[tuple], key: str, schema: pa.Schema, ended: bool) -> Iterator[pa.RecordBatch]:
+    """The elements of (key, document) in batches of bounded size: a document may fill many, and many may share one."""
+    out = _Elements(schema)
+    for k, html in documents:
+        tree = Tree.of(html, ended)
+        places = _places(tree)
+        at: dict[int, int] = {}
+        path: list[int] = []
+        for i, p in enumerate(tree.parents):
+            while path and path[-1] != p:
+                path.pop()
+            if not path:
+                path = _path(tree.parents, p)
+            path.append(i)
+            for j in path:
+                if j not in at:
+                    at[j] = len(out.pool)
+                    out.pool.append((tree.tags[j], list(tree.attrs[j].items()), *(places[name][j] for name in ("nth", "siblings", "nth_of_type", "of_type"))))
+                    out.weights.append(50 + sum(len(n) + len(v) + 10 for n, v in tree.attrs[j].items()))
+            text = "".join(tree.pieces[tree.begins[i] : tree.ends[i]])
+            for name, value in ((key, k), ("node", i), ("parent", p), ("text", text), ("children", places["children"][i]), ("last", places["last"][i])):
+                out.rows[name].append(value)
+            above = [at[j] for j in path]
+            out.own.append(above.pop())
+            out.above += above
+            out.ends.append(len(out.above))
+            out.size += len(text) + 50 + sum(out.weights[x] for x in (*above, out.own[-1]))
+            if out.size >= BATCH:
+                yield out.batch()
+                at.clear()
+    if out.own:
+        yield out.batch()
+
+
+def nodes(pages: DataFrame, key: str, html: str = "html", ended: bool = False) -> DataFrame:
+    """A row for every element of every document: key and the columns of _NODE. Null documents have no elements.
+
+    With ended, references without their semicolon stay as they are.
+    """
     schema = T.StructType([T.StructField(key, pages.schema[key].dataType), *_NODE])
-    names = [f.name for f in schema.fields]
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
-        for batch in batches:
-            rows = []
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(k, *r) for r in _rows(text)] if text else []
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+        documents = ((k.as_py(), text.as_py()) for batch in batches for k, text in zip(batch.column(0), batch.column(1), strict=True))
+        yield from _batches(((k, text) for k, text in documents if text), key, to_arrow_schema(schema), ended)
 
     return pages.select(key, html).mapInArrow(run, schema)
 

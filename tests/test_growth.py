@@ -2,8 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleaner import registry
+from gleaner.sources import html
 from tests.test_queries import rows_of
 
 
@@ -37,3 +40,33 @@ def parts(spark, tmp_path):
 @pytest.mark.parametrize("name", ["adapter_search", "adapter_api_search", "adapter_post_search"])
 def test_a_brand_of_more_than_98_pages(same, parts, name):
     assert len(same(name, parts(995, 1), "part"))
+
+
+@pytest.fixture
+def captured(spark, tmp_path):
+    """A folder with these pages."""
+
+    def made(documents):
+        rows = [(i, f"https://x.test/{i}", d) for i, d in enumerate(documents)]
+        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+        return tmp_path
+
+    return made
+
+
+def test_elements_leave_in_bounded_batches():
+    schema = to_arrow_schema(T.StructType([T.StructField("k", T.IntegerType()), *html._NODE]))
+    long = "<main id='m' class='wide shelf'>" + "<div class='card'><p><b>some words</b></p></div>" * 40_000 + "</main>"
+    small = ["<ul>" + "<li><a href='/x'>y</a>" * 20 + "</ul>"] * 3000
+    rows = 0
+    for batch in html._batches(enumerate([long, *small]), "k", schema, False):
+        rows += batch.num_rows
+        assert batch.nbytes < 4 * html.BATCH
+    assert rows == 2 + 1 + 3 * 40_000 + 3000 * (2 + 1 + 40)
+
+
+@pytest.mark.parametrize("name", ["html_links_from_elements", "html_attribute_prefix", "repeating_groups", "html_exists", "html_genres", "html_lang", "url_resolve", "label_rows"])
+def test_pages_of_many_batches(same, captured, name):
+    links = lambda n: "".join(f'<li><a href="/t{i}">name {i}</a></li>' for i in range(n))
+    documents = [f'<html lang="de"><head><title>t</title></head><body><nav><ul>{links(3000 if i % 3 else 5)}</ul></nav><div class="ad">x</div><h1>h</h1></body></html>' for i in range(6)]
+    assert len(same(name, captured(documents), "pages"))
