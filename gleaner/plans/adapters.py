@@ -18,6 +18,7 @@ from gleaner.operators import extract
 from gleaner.plans import feeds, steps
 from gleaner.plans.steps import Locator
 from gleaner.sources import fused, responses
+from gleaner.sources.store import cut
 
 Params = Sequence[tuple[str, Column, str | None]]
 ITEM = "struct<title:string,url:string,cover:string>"
@@ -203,7 +204,8 @@ def api_chapters(items: DataFrame, key: str, path: str, at: str, spec: Mapping[s
     are paths whose value counts as true unless it is false, zero or empty.
 
     Pages follow until one is empty, the total (at most ceiling; max_items where none is told) is reached, or no total is
-    told and a page is short. First pages are asked alone, then all later ones of the feeds that go on.
+    told and a page is short. Each round asks for as many pages as all before, of the feeds that go on, so for no more than
+    twice as many as there are and one; there are as many rounds as the longest feed's pages have binary digits.
     """
 
     def asked(feed: DataFrame, numbers: Column) -> DataFrame:
@@ -216,13 +218,20 @@ def api_chapters(items: DataFrame, key: str, path: str, at: str, spec: Mapping[s
         ends = (F.size("data") == 0) | (F.col("page") * page_size >= limit) | (F.col("total").isNull() & (F.size("data") < page_size))
         return got.select(key, "page", "data", "body", ends.alias("ends"))
 
-    first = asked(items, F.array(F.lit(1)))
-    going = items.join(first.where("NOT ends").select(key), key, "left_semi")
-    later = asked(going, F.sequence(F.lit(2), F.lit(-(-max(max_items, ceiling) // page_size)) + 1))
+    # Pages 1, 2 and 3, 4 to 7 and so on, each time of the feeds that answered all before and go on.
+    found, going, begin, most = None, items, 1, -(-max(max_items, ceiling) // page_size) + 1
     by = Window.partitionBy(key)
-    later = later.withColumns({"_n": F.row_number().over(by.orderBy("page")), "_end": F.min(F.when(F.col("ends"), F.col("page"))).over(by)})
-    later = later.where((F.col("_n") == F.col("page") - 1) & (F.col("page") <= F.coalesce("_end", F.col("page")))).drop("_n", "_end")
-    rows = first.unionByName(later).select(key, "page", "body", F.posexplode("data").alias("_pos", "item"))
+    while True:
+        until = min(2 * begin - 1, most)
+        told = asked(going, F.sequence(F.lit(begin), F.lit(until)))
+        told = told.withColumns({"_n": F.row_number().over(by.orderBy("page")), "_end": F.min(F.when(F.col("ends"), F.col("page"))).over(by)})
+        told = cut(told.where((F.col("_n") == F.col("page") - begin + 1) & (F.col("page") <= F.coalesce("_end", F.col("page")))).drop("_n", "_end"))
+        found = told if found is None else found.unionByName(told)
+        on = told.where((F.col("page") == until) & ~F.col("ends"))
+        if until == most or on.isEmpty():
+            break
+        going, begin = items.join(on.select(key), key, "left_semi"), until + 1
+    rows = found.select(key, "page", "body", F.posexplode("data").alias("_pos", "item"))
     if skip_if:
         rows = rows.where(jsonpath.path("item", skip_if).isNull())
     more = {"name": jsonpath.name_of(F.col("item"), list(name_parts), join, default)} if name_parts else {}

@@ -1,12 +1,16 @@
 """Queries against their SQL on tables that are longer or odder than the given ones."""
 
+import itertools
+
 import duckdb
 import pytest
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleaner import registry
-from gleaner.sources import fused, html
+from gleaner.plans import adapters
+from gleaner.plans.steps import Locator
+from gleaner.sources import fused, html, responses
 from gleaner.sources.html import Tree
 from tests.test_queries import rows_of
 
@@ -105,3 +109,18 @@ def test_counts_of_pages_without_a_shuffle(spark, same, parts, name):
     folder = parts(200, 3)
     same(name, folder, "part")
     assert "Exchange" not in registry.queries()[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_feed_is_asked_for_no_more_than_twice_its_pages(spark, monkeypatch):
+    """Feeds of 1 to 40 pages, one with a gap: all pages up to the end or the gap are told, and few more are asked for."""
+    feeds = [(k, page) for k in range(1, 41) for page in range(1, k + 1) if (k, page) != (30, 17)]
+    body = lambda k, page: '{"data":[%s],"n":%d}' % (",".join(f'{{"id":"{i}"}}' for i in range(page * 2 - 1, page * 2 + 1)), k * 2)
+    rows = [("GET", f"http://x.test/{k}/{page}", "", "plain", 200, None, body(k, page)) for k, page in feeds]
+    known = spark.createDataFrame(rows, "method string, url string, body_key string, transport string, status int, headers map<string,string>, body string")
+    items = spark.createDataFrame([(k, str(k)) for k in range(0, 41)], "k int, url string")
+    asked, fetch = [], responses.fetch
+    monkeypatch.setattr(responses, "fetch", lambda requests, *a: asked.append(requests.count()) or fetch(requests, *a))
+    found = adapters.api_chapters(items, "k", "{url}/{page}", "data", {"url": Locator(path="id")}, known, "http://x.test/", 2, "n")
+    told = {k: [r["url"] for r in sorted(rs, key=lambda r: r["pos"])] for k, rs in itertools.groupby(sorted(found.collect(), key=lambda r: r["k"]), lambda r: r["k"])}
+    assert told == {k: [str(i) for i in range(1, 2 * (16 if k == 30 else k) + 1)] for k in range(1, 41)}
+    assert sum(asked) <= 2 * len(rows) + 41
