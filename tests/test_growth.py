@@ -124,3 +124,11 @@ def test_a_feed_is_asked_for_no_more_than_twice_its_pages(spark, monkeypatch):
     told = {k: [r["url"] for r in sorted(rs, key=lambda r: r["pos"])] for k, rs in itertools.groupby(sorted(found.collect(), key=lambda r: r["k"]), lambda r: r["k"])}
     assert told == {k: [str(i) for i in range(1, 2 * (16 if k == 30 else k) + 1)] for k in range(1, 41)}
     assert sum(asked) <= 2 * len(rows) + 41
+
+
+@pytest.mark.parametrize("name", ["induce_rows"])
+def test_pages_are_parsed_once_for_all_that_is_tried_on_them(spark, same, parts, name):
+    folder = parts(60, 3)
+    assert len(same(name, folder, "part"))
+    plan = registry.queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and len(plan) < 30_000
