@@ -4,10 +4,12 @@ import itertools
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleaner import registry
+from gleaner.operators import induce
 from gleaner.plans import adapters
 from gleaner.plans.steps import Locator
 from gleaner.sources import fused, html, responses
@@ -132,3 +134,21 @@ def test_pages_are_parsed_once_for_all_that_is_tried_on_them(spark, same, parts,
     assert len(same(name, folder, "part"))
     plan = registry.queries()[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and len(plan) < 30_000
+
+
+def test_fields_are_found_in_nested_roots_without_comparing_all_with_all(spark):
+    body = '<main><div class="card"><b>x</b><div class="card"><i>z</i><b>y</b></div></div><div class="card"><b>w</b></div><b>v</b></main>'
+    nodes = html.nodes(spark.createDataFrame([(1, body)], "k int, html string"), "k").withColumn("ask", F.lit("a")).cache()
+    roots = html.select(nodes, "k", "div.card").select("k", "ask", "node", "last")
+    clicks = html.select(nodes, "k", "i + b").select("k", "ask", "node")
+    found = induce.field_selectors(nodes, "k", roots, clicks)
+    # The click lies in the outer card, too, whose first b is another; so no proposal wins.
+    assert [tuple(r) for r in found.select("selector", "matched", "items", "preview").collect()] == [("b", 2, 3, "y")]
+    first = induce.field_selectors(nodes, "k", roots, html.select(nodes, "k", "div.card:first-child > b").select("k", "ask", "node").groupBy("k", "ask").agg(F.min("node").alias("node")))
+    assert [tuple(r) for r in first.select("selector", "matched", "items", "preview").collect()] == [("b", 3, 3, "x")]
+    assert "<= until" not in first._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["induce_field", "induce_items"])
+def test_shelves_of_one_brand(same, parts, name):
+    assert len(same(name, parts(700, 1), "part"))
